@@ -85,14 +85,16 @@ def minimax_cuts(ends: DataFrame, total: int, n: int = N_SHARDS, blocks: int = B
         if high - low == 1 and seen.cuts(high, n, False) == seen.cuts(high, n, True):
             return seen.cuts(high, n, False)
         near, far = seen.cuts(low, n, False), seen.cuts(high, n, True)
-        open_ = sorted({k[:2] for lo, hi in zip(near, far, strict=True) for k in known if k[2] > 2 and k[0] <= hi and k[1] >= lo})
-        spans = []
-        for a, b in open_:
-            if spans and spans[-1][1] >= a - 1:
-                spans[-1] = (spans[-1][0], b)
-            else:
+        spans = []  # at most one for each cut: the blocks from the nearest to the farthest place it may have
+        for lo, hi in zip(near, far, strict=True):
+            own = [k for k in known if k[2] > 2 and k[0] <= hi and k[1] >= lo]
+            if own:
+                a, b = min(k[0] for k in own), max(k[1] for k in own)
+                while spans and spans[-1][1] >= a - 1:
+                    first, last = spans.pop()
+                    a, b = min(a, first), max(b, last)
                 spans.append((a, b))
-        if sum(k[2] for k in known if k[:2] in set(open_)) <= exact:
+        if sum(k[2] for k in known if any(a <= k[0] and k[1] <= b for a, b in spans)) <= exact:
             blocks = 1 << 62
 
 
