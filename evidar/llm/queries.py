@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, sharding
+from . import html_extract, near_dedup, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op2_html_extraction": html_extract.op2_html_extraction,
         "op4_sharding": sharding.op4_sharding,
         "op6_quality_rules": quality.op6_quality_rules,
+        "op7_near_dedup": near_dedup.op7_near_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
