@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, near_dedup, quality, sharding, toxicity
+from . import chat_format, html_extract, mixing, near_dedup, pii, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,12 +15,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_html_extraction": html_extract.op2_html_extraction,
+        "op3_pii": pii.op3_pii,
         "op4_sharding": sharding.op4_sharding,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_near_dedup": near_dedup.op7_near_dedup,
+        "op8_chat_formatting": chat_format.op8_chat_formatting,
+        "op10_mixing": mixing.op10_mixing,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_chat_formatting": chat_format.ORACLE}
