@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidar.llm import quality, sharding
+from evidar.llm import decontaminate, mixing, near_dedup, quality, sharding
 from evidar.llm.common import Workspace, table
 
 #: Each function takes (spark, docs, sf_dir); all but the last return the columns of documents.
 STAGES = [
     ("quality_rules", quality.stage),
+    ("near_dedup", near_dedup.stage),
+    ("decontamination", decontaminate.stage),
+    ("mixing", mixing.stage),
     ("sharding", sharding.stage),
 ]
 

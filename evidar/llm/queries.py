@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, html_extract, mixing, near_dedup, pii, quality, sharding, toxicity
+from . import chat_format, decontaminate, html_extract, mixing, near_dedup, pii, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_html_extraction": html_extract.op2_html_extraction,
         "op3_pii": pii.op3_pii,
         "op4_sharding": sharding.op4_sharding,
+        "op5_decontamination": decontaminate.op5_decontamination,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_chat_formatting": chat_format.op8_chat_formatting,
