@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, html_extract, mixing, near_dedup, pii, quality, sharding, toxicity
+from . import chat_format, decontaminate, html_extract, lm_score, mixing, near_dedup, pii, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_chat_formatting": chat_format.op8_chat_formatting,
+        "op9_lm_scoring": lm_score.op9_lm_scoring,
         "op10_mixing": mixing.op10_mixing,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_formatting": chat_format.ORACLE}
+    return {"op8_chat_formatting": chat_format.ORACLE, "op9_lm_scoring": lm_score.ORACLE}
