@@ -1 +1,4 @@
+"""Named queries; importing the package registers them."""
 
+from . import browse, evaluation, evidence  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
