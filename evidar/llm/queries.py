@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_formatting": chat_format.ORACLE, "op9_lm_scoring": lm_score.ORACLE}
+    return {"op6_quality_rules": quality.ORACLE, "op7_near_dedup": near_dedup.ORACLE, "op8_chat_formatting": chat_format.ORACLE, "op9_lm_scoring": lm_score.ORACLE}
