@@ -38,7 +38,7 @@ def score(docs: DataFrame, ws: Workspace) -> DataFrame:
     split = docs.select("doc_id", words(F.col("text")).alias("w"))
     # A word is known by its hash; the first of a document follows nothing (0).
     hashed = split.select("doc_id", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    pairs = hashed.select("doc_id", F.explode(F.zip_with(F.concat(F.array(F.lit(0).cast("long")), F.slice("h", F.lit(1), F.greatest(F.size("h") - 1, F.lit(0)))), F.col("h"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p")).select("doc_id", "p.a", "p.b")
+    pairs = hashed.select("doc_id", F.explode(F.zip_with(F.slice(F.concat(F.array(F.lit(0).cast("long")), "h"), F.lit(1), F.size("h")), F.col("h"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p")).select("doc_id", "p.a", "p.b")
     own = ws.save(pairs.groupBy("doc_id", "a", "b").agg(F.count("*").cast("int").alias("tf")), "own")
     one = ws.save(own.groupBy("b").agg(F.sum("tf").alias("c1")), "one")
     two = ws.save(own.filter("a <> 0").groupBy("a", "b").agg(F.sum("tf").alias("c2")).filter(F.col("c2") >= MIN_COUNT), "two")

@@ -140,7 +140,8 @@ def label_model(votes: np.ndarray, prior: float, iterations: int = ITERATIONS) -
 
     The last voter is added here: it votes "clean" where all others abstain.
     Otherwise an abstention says nothing.  Start: any vote means toxic.  The
-    class balance is given; all else is estimated from the votes alone.
+    class balance is given, and each round's posteriors are shifted to meet it;
+    all else is estimated from the votes alone.
     """
     v = np.column_stack([votes, ~votes.any(1)]).astype(np.float32)
     post = np.where(v[:, -1] == 0, 0.9, 0.1 * prior)
@@ -155,8 +156,12 @@ def label_model(votes: np.ndarray, prior: float, iterations: int = ITERATIONS) -
         corr = (rest.T @ rest) / len(v) / np.outer(scale, scale)
         np.fill_diagonal(corr, 0)
         share = 1 / (1 + np.clip(corr, 0, 1).sum(1))
-        logit = np.log(prior / (1 - prior)) + v @ (share * np.log(hit / false))
-        post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        evidence = v @ (share * np.log(hit / false))
+        low, high = -60.0, 60.0  # of the shift, by bisection
+        for _ in range(50):
+            shift = (low + high) / 2
+            post = 1 / (1 + np.exp(-np.clip(shift + evidence, -30, 30)))
+            low, high = (shift, high) if post.mean() < prior else (low, shift)
     return post, hit, false, share
 
 
