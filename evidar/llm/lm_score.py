@@ -16,10 +16,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, table
+from .common import ODD, WordHashes, Workspace, mix, table, words_of
 
 MIN_COUNT = 2
 BACKOFF = 0.4
@@ -78,3 +80,153 @@ g AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (off) AS n_backed_off,
 SELECT d.doc_id, coalesce(g.n_words, 0) AS n_words, coalesce(g.n_backed_off, 0) AS n_backed_off, round(g.x, 3) AS log_score
 FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN g ON g.doc_id = d.doc_id
 """
+
+
+# The whole model: orders 1 to 3, every count.
+
+ORDER = 3
+#: n-grams packed at a time by a task, and n-grams (on average) of a bucket.
+CHUNK_WORDS, BUCKET_GRAMS, LEAST_BUCKETS = 1 << 20, 1 << 20, 256
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Bytes of equal rank stand together, so the high ones compress."""
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, n).T).view(kind).reshape(n)
+
+
+def _grams(words: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(hash, place of the text, occurrences, power) of the n-grams of some texts, in the order of the hash.
+
+    The power says how often the logarithm of the n-gram's count enters the
+    text's score: once for a triple, once less for a pair that precedes a word;
+    what cancels out is 0.  Words are counted, and enter by themselves only
+    where the text has one word.
+    """
+    sizes = np.array([len(w) for w in words])
+    flat = np.concatenate(words)
+    d = np.repeat(np.arange(len(words), dtype=np.uint32), sizes)
+    at, size = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(sizes, sizes)
+    with np.errstate(over="ignore"):
+        single, n = np.unique(mix(flat * ODD[0]), return_counts=True)
+        alone = size == 1
+        two = np.flatnonzero(at + 1 < size)
+        three = np.flatnonzero(at + 2 < size)
+        h2 = mix(flat[two] * ODD[0] + flat[two + 1] * ODD[1])
+        h3 = mix(flat[three] * ODD[0] + flat[three + 1] * ODD[1] + flat[three + 2] * ODD[2])
+        h1 = mix(flat[alone] * ODD[0])
+    k2 = (at[two] == 0).astype(np.int8) - (at[two] + 2 < size[two]).astype(np.int8)
+    h = np.concatenate([single, h1, h2, h3])
+    zero = np.zeros(len(single), np.uint32)
+    place = np.concatenate([zero, d[alone], d[two], d[three]])
+    tf = np.concatenate([n, np.zeros(len(h1)), np.ones(len(h2) + len(h3))]).astype(np.uint32)
+    k = np.concatenate([zero, np.ones(len(h1)), k2, np.ones(len(h3))]).astype(np.int8)
+    order = np.argsort(h, kind="stable")
+    return h[order], place[order], tf[order], k[order]
+
+
+def _packed(buckets: int):
+    def run(batches):
+        hashes = WordHashes()
+
+        def rows(ids: list, words: list[np.ndarray]) -> pa.RecordBatch:
+            h, place, tf, k = _grams(words)
+            edges = np.searchsorted(h, np.array([((b << 64) + buckets - 1) // buckets for b in range(buckets)], np.uint64))
+            out = []
+            for b, (i, j) in enumerate(zip(edges, [*edges[1:], len(h)], strict=True)):
+                if i < j:
+                    near, where = np.unique(place[i:j], return_inverse=True)
+                    out.append((b, int(j - i), [ids[x] for x in near], *map(_pack, (np.diff(h[i:j], prepend=np.uint64(0)), where.astype(np.uint32), tf[i:j], k[i:j]))))
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+        schema, ids, words, n = None, [], [], 0
+        for batch in batches:
+            if schema is None:
+                schema = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(batch.schema.field("doc_id").type)), *[(c, pa.binary()) for c in ("h", "place", "tf", "k")]])
+            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                w = words_of(t)
+                if w:
+                    ids.append(i)
+                    words.append(hashes.of(w))
+                    n += len(w)
+                if n >= CHUNK_WORDS:
+                    yield rows(ids, words)
+                    ids, words, n = [], [], 0
+        if words:
+            yield rows(ids, words)
+
+    return run
+
+
+def _summed(group: pa.Table) -> pa.Table:
+    """What the n-grams of one bucket add to each document."""
+    parts, ids, base = [], [], 0
+    for r in range(group.num_rows):
+        n = group.column("n")[r].as_py()
+        h, place, tf, k = (_unpack(group.column(c)[r].as_py(), n, t) for c, t in (("h", np.uint64), ("place", np.uint32), ("tf", np.uint32), ("k", np.int8)))
+        near = group.column("ids")[r].values
+        parts.append((np.cumsum(h, dtype=np.uint64), place.astype(np.int64) + base, tf, k))
+        ids.append(near)
+        base += len(near)
+    h, place, tf, k = map(np.concatenate, zip(*parts, strict=True))
+    _, gram = np.unique(h, return_inverse=True)
+    x = k * np.log(np.bincount(gram, tf))[gram]
+    return pa.table({"doc_id": pa.concat_arrays(ids), "x": np.bincount(place, x, base)})
+
+
+def score_all(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """As ``score``, by n-grams of orders 1 to 3 with every count above zero.
+
+    A triple scores log(its count / the count of its first pair); a word backs
+    off, by BACKOFF for each order, only where its n-gram has no count.  The
+    counts are those of the documents that are scored, so that is where a text
+    begins: its second word has no triple, its first word no pair either.
+
+    The n-grams of a chunk of texts travel once, sorted by hash and packed, to
+    the bucket of their hash; there they are counted, and what they add to each
+    document is summed.  The shuffle is the only table of n-grams.  A document's
+    score is a sum over its n-grams, as each term is a logarithm of one count.
+    """
+    n = F.size(words(F.col("text")))
+    rows = docs.select("doc_id", n.cast("long").alias("n_words"), F.least(n, F.lit(ORDER - 1)).cast("long").alias("n_off"))
+    rows = ws.save(rows.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("n_off").alias("n_off"), F.sum((F.col("n_words") > 0).cast("long")).alias("texts"), F.sum((F.col("n_words") > 1).cast("long")).alias("longer")), "rows")
+    total = rows.agg(F.sum("n_words")).first()[0] or 0
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    buckets = max(LEAST_BUCKETS, ORDER * total // BUCKET_GRAMS)
+    packed = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_packed(buckets), f"bucket int, n int, ids array<{kind}>, h binary, place binary, tf binary, k binary")
+    parts = packed.groupBy("bucket").applyInArrow(_summed, f"doc_id {kind}, x double")
+    off, zero = _log(BACKOFF), F.lit(0).cast("long")
+    # Each text has a first word, backed off twice; a longer one a second word, backed off once.
+    starts = F.col("texts") * F.lit(2 * off - _log(total)) + F.col("longer") * F.lit(off)
+    both = rows.select("doc_id", "n_words", "n_off", starts.alias("x")).union(parts.select("doc_id", zero, zero, "x"))
+    out = both.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("n_off").alias("n_backed_off"), F.sum("x").alias("x"))
+    return out.select("doc_id", "n_words", "n_backed_off", F.when(F.col("n_words") > 0, F.round("x", 3)).alias("log_score"))
+
+
+def op9_lm_scoring_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_all(table(spark, sf_dir, "documents").select("doc_id", "text"), Workspace(spark, "op9o3"))
+
+
+ORACLE_ORDER3 = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+t AS (SELECT r, doc_id, unnest(ws) AS c, generate_subscripts(ws, 1) AS i FROM w),
+p AS (SELECT doc_id, c, lag(c) OVER v AS b, lag(c, 2) OVER v AS a FROM t WINDOW v AS (PARTITION BY r ORDER BY i)),
+one AS (SELECT c, count(*) AS k FROM p GROUP BY c),
+two AS (SELECT b, c, count(*) AS k FROM p WHERE b IS NOT NULL GROUP BY b, c),
+three AS (SELECT a, b, c, count(*) AS k FROM p WHERE a IS NOT NULL GROUP BY a, b, c),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM p),
+s AS (
+  SELECT p.doc_id, three.k IS NULL AS off,
+    CASE WHEN three.k IS NOT NULL THEN ln(three.k) - ln(ab.k) WHEN bc.k IS NOT NULL THEN ln(0.4) + ln(bc.k) - ln(ob.k) ELSE 2 * ln(0.4) + ln(oc.k) - ln(n.n) END AS x
+  FROM p CROSS JOIN n JOIN one oc ON oc.c = p.c LEFT JOIN one ob ON ob.c = p.b LEFT JOIN two bc ON bc.b = p.b AND bc.c = p.c
+  LEFT JOIN two ab ON ab.b = p.a AND ab.c = p.b LEFT JOIN three ON three.a = p.a AND three.b = p.b AND three.c = p.c),
+g AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (off) AS n_backed_off, sum(x) AS x FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(g.n_words, 0) AS n_words, coalesce(g.n_backed_off, 0) AS n_backed_off, round(g.x, 3) AS log_score
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN g ON g.doc_id IS NOT DISTINCT FROM d.doc_id
+"""

@@ -22,10 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_chat_formatting": chat_format.op8_chat_formatting,
         "op9_lm_scoring": lm_score.op9_lm_scoring,
+        "op9_lm_scoring_order3": lm_score.op9_lm_scoring_order3,
         "op10_mixing": mixing.op10_mixing,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality.ORACLE, "op7_near_dedup": near_dedup.ORACLE, "op8_chat_formatting": chat_format.ORACLE, "op9_lm_scoring": lm_score.ORACLE}
+    return {"op6_quality_rules": quality.ORACLE, "op7_near_dedup": near_dedup.ORACLE, "op8_chat_formatting": chat_format.ORACLE, "op9_lm_scoring": lm_score.ORACLE, "op9_lm_scoring_order3": lm_score.ORACLE_ORDER3}

@@ -345,6 +345,31 @@ def test_lm_scores(spark, edges, empty):
     assert lm_score.score(edges, ws(spark)).count() == 8
 
 
+def test_lm_scores_of_order_three_keep_every_count(spark, edges, empty):
+    import math
+    from collections import Counter
+
+    docs = [(i, " ".join(random.Random(i % 7).choices("a b c d e f".split(), k=i % 12))) for i in range(40)] + [(98, "seen once only here"), (99, None), (None, "a b c"), (97, "z"), (97, "a b"), (97, "z")]
+    got = {r["doc_id"]: r for r in lm_score.score_all(spark.createDataFrame(docs, DOCS), ws(spark)).collect()}
+    texts = [(i, (t or "").split()) for i, t in docs]
+    counts = Counter(tuple(w[j : j + n]) for _, w in texts for n in (1, 2, 3) for j in range(len(w) - n + 1))
+    total = sum(len(w) for _, w in texts)
+
+    def s(h, w):
+        if not h:
+            return counts[w,] / total
+        return counts[*h, w] / counts[h] if counts[*h, w] else 0.4 * s(h[1:], w)
+
+    for d in {i for i, _ in docs}:
+        x = [0.4 ** (2 - min(j, 2)) * s(tuple(w[max(0, j - 2) : j]), w[j]) for i, w in texts if i == d for j in range(len(w))]
+        assert got[d]["n_words"] == len(x) and got[d]["n_backed_off"] == sum(min(2, len(w)) for i, w in texts if i == d)
+        assert got[d]["log_score"] is None if not x else abs(got[d]["log_score"] - sum(map(math.log, x))) < 2e-3
+    # Three of the four words of 98 have no other occurrence, and yet only its first two back off.
+    assert abs(got[98]["log_score"] - math.log(0.4**3 / total)) < 2e-3
+    assert lm_score.score_all(empty, ws(spark)).count() == 0
+    assert lm_score.score_all(edges, ws(spark)).count() == 8
+
+
 # chat
 
 
