@@ -217,6 +217,22 @@ def test_pii_contexts_discover_unseen_identifiers(spark):
     assert spans[50] == "id:25:39" and spans[51] == ""
 
 
+def test_pii_addresses_without_digits_are_seeds(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"please write to contact: {a}{b}@site{a}.com today") for i, (a, b) in enumerate(zip(letters, letters[1:]))] + [(50, "please write to contact: u50#site50.com today"), (51, "please write to contact: alice#home today"), (52, "it is today and contact: is made")]
+    spans = {r[0]: r[1] for r in pii.find(spark.createDataFrame(rows, DOCS), ws(spark)).select("doc_id", pii.joined("spans")).collect()}
+    assert spans[50] == "id:25:39" and spans[51] == "id:25:35" and spans[52] == ""
+
+
+def test_pii_discoveries_support_further_patterns(spark):
+    rows = [(i, f"please write to contact: u{i}@site{i}.com today") for i in range(600)]
+    # The seeds' context discovers keys, which support a context where no seed stands, and that one gives a word away.
+    rows += [(1000 + i, f"please write to contact: key#{i} today") for i in range(40)] + [(2000 + i, f"the vault opens with token key#{i} only") for i in range(40)]
+    rows += [(3000, "the vault opens with token sesame only"), (3001, "a sesame roll")]
+    spans = {r[0]: r[1] for r in pii.find(spark.createDataFrame(rows, DOCS), ws(spark)).select("doc_id", pii.joined("spans")).collect()}
+    assert spans[1000] == "id:25:30" and spans[2000] == "id:27:32" and spans[3000] == "id:27:33" and spans[3001] == ""
+
+
 # toxicity
 
 
