@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -67,6 +67,11 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def split_words(text: Column) -> Column:
+    """The same words as an array, in DataFrame functions."""
+    return F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit hashes."""
     h = h ^ (h >> np.uint64(30))

@@ -340,33 +340,17 @@ def test_mixing_without_labels_and_with_edges(spark, edges, empty):
 # language-model scores
 
 
-def test_lm_scores(spark, edges, empty):
+@pytest.mark.parametrize("hot", [0.05, 0.4, 2.0])
+def test_lm_scores(spark, edges, empty, monkeypatch, hot):
+    """Brute force, with many, some and no n-grams counted apart, and small chunks."""
     import math
     from collections import Counter
 
-    docs = [(i, " ".join(random.Random(i % 7).choices("a b c d e f".split(), k=i % 12))) for i in range(40)] + [(99, None)]
-    got = {r["doc_id"]: r for r in lm_score.score(spark.createDataFrame(docs, DOCS), ws(spark)).collect()}
-    one, two = Counter(), Counter()
-    for _, t in docs:
-        w = (t or "").split()
-        one.update(w)
-        two.update(zip(w, w[1:]))
-    total = sum(one.values())
-    for i, t in docs:
-        w = (t or "").split()
-        s = [math.log(two[a, b] / one[a]) if a and two[a, b] >= 2 else math.log(0.4 * one[b] / total) for a, b in zip([None, *w], w)]
-        assert got[i]["n_words"] == len(w)
-        assert got[i]["log_score"] is None if not w else abs(got[i]["log_score"] - sum(s)) < 2e-3
-    assert lm_score.score(empty, ws(spark)).count() == 0
-    assert lm_score.score(edges, ws(spark)).count() == 8
-
-
-def test_lm_scores_of_order_three_keep_every_count(spark, edges, empty):
-    import math
-    from collections import Counter
+    monkeypatch.setattr(lm_score, "HOT_SHARE", hot)
+    monkeypatch.setattr(lm_score, "CHUNK_WORDS", 40)
 
     docs = [(i, " ".join(random.Random(i % 7).choices("a b c d e f".split(), k=i % 12))) for i in range(40)] + [(98, "seen once only here"), (99, None), (None, "a b c"), (97, "z"), (97, "a b"), (97, "z")]
-    got = {r["doc_id"]: r for r in lm_score.score_all(spark.createDataFrame(docs, DOCS), ws(spark)).collect()}
+    got = {r["doc_id"]: r for r in lm_score.score(spark.createDataFrame(docs, DOCS), ws(spark)).collect()}
     texts = [(i, (t or "").split()) for i, t in docs]
     counts = Counter(tuple(w[j : j + n]) for _, w in texts for n in (1, 2, 3) for j in range(len(w) - n + 1))
     total = sum(len(w) for _, w in texts)
@@ -382,8 +366,8 @@ def test_lm_scores_of_order_three_keep_every_count(spark, edges, empty):
         assert got[d]["log_score"] is None if not x else abs(got[d]["log_score"] - sum(map(math.log, x))) < 2e-3
     # Three of the four words of 98 have no other occurrence, and yet only its first two back off.
     assert abs(got[98]["log_score"] - math.log(0.4**3 / total)) < 2e-3
-    assert lm_score.score_all(empty, ws(spark)).count() == 0
-    assert lm_score.score_all(edges, ws(spark)).count() == 8
+    assert lm_score.score(empty, ws(spark)).count() == 0
+    assert lm_score.score(edges, ws(spark)).count() == 8
 
 
 # chat
