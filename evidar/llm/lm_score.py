@@ -37,13 +37,15 @@ from .common import ODD, WordHashes, Workspace, mix, table, words_of
 
 BACKOFF = 0.4
 #: Words packed at a time by a task; words of a bucket, on average; buckets at least.
-CHUNK_WORDS, BUCKET_WORDS, LEAST_BUCKETS = 1 << 20, 1 << 21, 24
+CHUNK_WORDS, BUCKET_WORDS, LEAST_BUCKETS = 1 << 19, 1 << 21, 24
 #: Texts of the sample that names hot n-grams, and the share of them that makes one hot.
 HOT_TEXTS, HOT_SHARE = 2_000, 0.01
-#: A word's hash within a triple keeps five bytes: it only tells apart what follows the same pair.
-NEXT = np.uint64((1 << 40) - 1)
+#: Hashes of pairs keep 60 bits.  A word's hash within a triple keeps 32: it only tells apart what follows the same pair.
+KEY, NEXT = 60, np.uint64((1 << 32) - 1)
+#: Sums travel as whole multiples of this, so they do not depend on the order of addition.
+UNIT = 2.0**-32
 #: Planes of bytes that are packed, by column: hash of the pair, word after it (0: none), place of the text, occurrences, adds the pair's own count.
-PLANES = {"key": 8, "next": 5, "place": 3, "tf": 4, "own": 1}
+PLANES = {"key": 8, "next": 4, "place": 3, "tf": 4, "own": 1}
 
 
 def _pack(values: np.ndarray, planes: int = 8) -> bytes:
@@ -59,6 +61,16 @@ def _unpack(data: bytes, n: int, planes: int = 8) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def _pack_sums(x: np.ndarray) -> bytes:
+    v = np.rint(x / UNIT).astype(np.int64)
+    return _pack(((v << 1) ^ (v >> 63)).view(np.uint64))
+
+
+def _unpack_sums(data: bytes, n: int) -> np.ndarray:
+    v = _unpack(data, n)
+    return (v >> np.uint64(1)).astype(np.int64) ^ -(v & np.uint64(1)).astype(np.int64)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     """(ids, hashes of the words) of the texts of a task, so many words at a time."""
     hashes, ids, held, n = WordHashes(), [], [], 0
@@ -81,11 +93,15 @@ def _flat(held: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     return np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.uint64), sizes), np.repeat(sizes, sizes) - 1 - at, at == 0
 
 
+def _key(h: np.ndarray) -> np.ndarray:
+    return mix(h) >> np.uint64(64 - KEY)
+
+
 def _keys(flat: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
     """Places of pairs, their hashes, and the hashes of the words after them (0 at the end of a text)."""
     pair = np.flatnonzero(left > 0)
     with np.errstate(over="ignore"):
-        key = mix(flat[pair] * ODD[0] + flat[pair + 1] * ODD[1])
+        key = _key(flat[pair] * ODD[0] + flat[pair + 1] * ODD[1])
         after = mix(flat[np.minimum(pair + 2, len(flat) - 1)] * ODD[2]) & NEXT
     after[after == 0] = 1
     after[left[pair] < 2] = 0
@@ -94,7 +110,7 @@ def _keys(flat: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _triple(key: np.ndarray, after: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix(key * ODD[3] + after * ODD[4])
+        return _key(key * ODD[3] + after * ODD[4])
 
 
 def _known(sorted_values: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,9 +190,9 @@ def _packed(buckets: int, hot: dict[int, tuple[np.ndarray, np.ndarray]], schema:
         # The other triples of a hot pair count by themselves, as a pair that nothing follows.
         key, after, own = np.where(hot_pair, three, key)[go], np.where(hot_pair, 0, after)[go], np.where(hot_pair, 1, own)[go]
         with np.errstate(over="ignore"):
-            single, n = np.unique(mix(flat * ODD[0]), return_counts=True)
+            single, n = np.unique(_key(flat * ODD[0]), return_counts=True)
             alone = np.flatnonzero(first & (left == 0))
-            one = mix(flat[alone] * ODD[0])
+            one = _key(flat[alone] * ODD[0])
         zero = np.zeros(len(single), np.uint64)
         out = {
             "key": np.concatenate([single, one, key]),
@@ -190,12 +206,12 @@ def _packed(buckets: int, hot: dict[int, tuple[np.ndarray, np.ndarray]], schema:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 32
-        limits = np.array([((b << 64) + buckets - 1) // buckets for b in range(buckets)], np.uint64)
+        limits = np.array([((b << KEY) + buckets - 1) // buckets for b in range(buckets)], np.uint64)
         for at, (ids, held) in enumerate(chunks(batches, CHUNK_WORDS)):
             values, x = grams(held)
             edges = np.searchsorted(values["key"], limits)
             n_words = np.array([len(w) for w in held])
-            out = [((part + at) % buckets, part + at, len(ids), ids, _pack(n_words), None, None, None, None, _pack(x.view(np.uint64)))]
+            out = [((part + at) % buckets, part + at, len(ids), ids, _pack(n_words), None, None, None, None, _pack_sums(x))]
             for b, (i, j) in enumerate(zip(edges, [*edges[1:], len(values["key"])], strict=True)):
                 if i < j:
                     cut = {c: v[i:j] for c, v in values.items()} | {"key": np.diff(values["key"][i:j], prepend=np.uint64(0))}
@@ -228,7 +244,7 @@ def _summed(schema: pa.Schema) -> Callable:
         out = []
         for chunk, i, j in zip(sent.column("chunk").to_pylist(), ends - ns, ends, strict=True):
             sums = np.bincount(got["place"][i:j].astype(np.int64), x[i:j])
-            out.append((chunk, len(sums), None, None, _pack(sums.view(np.uint64))))
+            out.append((chunk, len(sums), None, None, _pack_sums(sums)))
         sums = pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
         return pa.concat_tables([heads, sums])
 
@@ -240,10 +256,10 @@ def _finished(schema: pa.Schema) -> Callable:
         """The texts of one chunk with their sums."""
         rows = group.select(["n", "x", "words", "ids"]).to_pylist()
         head = next(r for r in rows if r["ids"] is not None)
-        x = np.zeros(head["n"])
+        x = np.zeros(head["n"], np.int64)
         for r in rows:
-            x[: r["n"]] += _unpack(r["x"], r["n"]).view(np.float64)
-        return pa.table([pa.array(head["ids"], schema.field("doc_id").type), pa.array(_unpack(head["words"], head["n"]).astype(np.int64)), pa.array(x)], schema=schema)
+            x[: r["n"]] += _unpack_sums(r["x"], r["n"])
+        return pa.table([pa.array(head["ids"], schema.field("doc_id").type), pa.array(_unpack(head["words"], head["n"]).astype(np.int64)), pa.array(x * UNIT)], schema=schema)
 
     return run
 
@@ -254,7 +270,8 @@ def score(docs: DataFrame, ws: Workspace) -> DataFrame:
     Rows that repeat an id are one document whose texts' scores add up, and so
     are the rows without an id.  Null and empty texts have no words.  Columns
     beside the two are left out.  ``docs`` is read twice and should be a stored
-    table.  A triple is known by 104 bits of hashes, a pair or word by 64.
+    table.  Words and pairs are told apart by 60 bits of a
+    hash, triples by 32 more (those of hot pairs by 60 bits of their own).
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     size = docs.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
