@@ -219,7 +219,7 @@ def test_pii_contexts_discover_unseen_identifiers(spark):
 
 def test_pii_addresses_without_digits_are_seeds(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
-    rows = [(i, f"please write to contact: {a}{b}@site{a}.com today") for i, (a, b) in enumerate(zip(letters, letters[1:]))] + [(50, "please write to contact: u50#site50.com today"), (51, "please write to contact: alice#home today"), (52, "it is today and contact: is made")]
+    rows = [(i, f"please write to contact: {a}{b}@site{a}.com today") for i, (a, b) in enumerate(zip(letters, letters[1:]))] + [(50, "please write to contact: u50#site50.com today"), (51, "please write to contact: alice#home today"), (52, "it is today and contact: is made"), (53, "a contact: was lost"), (54, "the contact: of today")]
     spans = {r[0]: r[1] for r in pii.find(spark.createDataFrame(rows, DOCS), ws(spark)).select("doc_id", pii.joined("spans")).collect()}
     assert spans[50] == "id:25:39" and spans[51] == "id:25:35" and spans[52] == ""
 
@@ -233,6 +233,13 @@ def test_pii_discoveries_support_further_patterns(spark):
     assert spans[1000] == "id:25:30" and spans[2000] == "id:27:32" and spans[3000] == "id:27:33" and spans[3001] == ""
 
 
+def test_pii_patterns_that_secrets_seed_give_away_other_values(spark):
+    rows = [(i, f'then token = "{hashlib.sha256(bytes([i])).hexdigest()}" was read, page {i} of the book') for i in range(30)]
+    rows += [(40, 'so token = "hunter2x" went out'), (41, f"a lone {hashlib.sha256(b'x').hexdigest()} is a checksum")]
+    spans = {r[0]: r[1] for r in pii.find(spark.createDataFrame(rows, DOCS), ws(spark)).select("doc_id", pii.joined("spans")).collect()}
+    assert all(spans[i] == "id:14:78" for i in range(30)) and spans[40] == "id:12:20" and spans[41] == ""
+
+
 # toxicity
 
 
