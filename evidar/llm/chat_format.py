@@ -37,6 +37,13 @@ def mask(turns: Column) -> Column:
     return F.aggregate(turns, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
 
 
+def clean_turn() -> Column:
+    def clean(c: str, other: str) -> Column:
+        return F.replace(F.coalesce(F.col(c), F.lit(other)), F.lit(OPEN), F.lit("<")).alias(c)
+
+    return F.struct("turn", clean("role", "unknown"), clean("text", ""))
+
+
 def format_pairs(turns: DataFrame) -> DataFrame:
     """One row for each pair_id of ``turns`` (pair_id, chosen boolean, turn, role, text).
 
@@ -46,12 +53,12 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     has no turns: then the prefix is empty and its completion is null.  Rows
     without a pair_id or a side are left out.  Null turn numbers stand first.
     """
+    sides = turns.filter("pair_id is not null and chosen is not null").groupBy("pair_id").agg(*[F.array_sort(F.collect_set(F.when(F.col("chosen") == flag, clean_turn()))).alias(name) for name, flag in (("c", True), ("r", False))])
+    return format_sides(sides)
 
-    def clean(c: str, other: str) -> Column:
-        return F.replace(F.coalesce(F.col(c), F.lit(other)), F.lit(OPEN), F.lit("<"))
 
-    row = F.struct("turn", clean("role", "unknown").alias("role"), clean("text", "").alias("text"))
-    sides = turns.filter("pair_id is not null and chosen is not null").groupBy("pair_id").agg(*[F.array_sort(F.collect_set(F.when(F.col("chosen") == flag, row))).alias(name) for name, flag in (("c", True), ("r", False))])
+def format_sides(sides: DataFrame) -> DataFrame:
+    """As ``format_pairs``, of ``sides``: pair_id and the clean turns of the chosen (c) and the rejected (r) conversation."""
     same = F.zip_with("c", "r", lambda a, b: F.coalesce((a["role"] == b["role"]) & (a["text"] == b["text"]), F.lit(False)))
     n = F.array_position(same, F.lit(False)).cast("int")
     n = F.when(n == 0, F.least(F.size("c"), F.size("r"))).otherwise(n - 1)
@@ -74,19 +81,54 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     )
 
 
+def sides_of_conversations(conversations: DataFrame) -> DataFrame:
+    """A preference pair of each conversation: (pair_id, c, r) for ``format_sides``.
+
+    Chosen are the turns up to the last answer (assistant turn).  Rejected is
+    the same conversation with another answer in its place: the answer before
+    it, given to another question; where there is none, the last question is
+    said again; where there is no question either, the answer is empty.  A
+    conversation without an answer is both sides as it stands.  Rows without a
+    conv_id are left out, repeated rows count once.
+    """
+    t = conversations.filter("conv_id is not null").groupBy(F.col("conv_id").alias("pair_id")).agg(F.array_sort(F.collect_set(clean_turn())).alias("t"))
+
+    def last(role: str, before: Column) -> Column:
+        places = F.transform("t", lambda x, i: F.when((x["role"] == role) & (i + 1 < before), i + 1))
+        return F.array_max(F.array_compact(places))
+
+    def text_at(i: Column) -> Column:
+        return F.get("t", i - 1)["text"]
+
+    t = t.withColumn("n", last(TRAINED, F.size("t") + 1)).withColumn("earlier", last(TRAINED, F.col("n"))).withColumn("asked", last("user", F.col("n")))
+    other = F.struct(F.get("t", F.col("n") - 1)["turn"].alias("turn"), F.lit(TRAINED).alias("role"), F.coalesce(text_at(F.col("earlier")), text_at(F.col("asked")), F.lit("")).alias("text"))
+    chosen = F.when(F.col("n").isNull(), F.col("t")).otherwise(F.slice("t", F.lit(1), F.col("n")))
+    rejected = F.when(F.col("n").isNull(), F.col("t")).otherwise(F.concat(F.slice("t", F.lit(1), F.col("n") - 1), F.array(other)))
+    return t.select("pair_id", chosen.alias("c"), rejected.alias("r"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of neighbours: the conversation with an even id is the chosen one, the next one the rejected one."""
-    conv = table(spark, sf_dir, "conversations")
-    return format_pairs(conv.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), "turn", "role", "text"))
+    """The pair of each conversation: its last answer, and another one, after the same prompt."""
+    return format_sides(sides_of_conversations(table(spark, sf_dir, "conversations")))
 
 
 ORACLE = """
-WITH t AS (
-  SELECT DISTINCT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS is_chosen, turn,
-    replace(coalesce(role, 'unknown'), '<|', '<') AS role, replace(coalesce(text, ''), '<|', '<') AS text
+WITH d AS (
+  SELECT DISTINCT conv_id AS pair_id, turn, replace(coalesce(role, 'unknown'), '<|', '<') AS role, replace(coalesce(text, ''), '<|', '<') AS text
   FROM conversations WHERE conv_id IS NOT NULL),
-n AS (SELECT *, row_number() OVER (PARTITION BY pair_id, is_chosen ORDER BY turn, role, text) AS i FROM t),
-p AS (SELECT DISTINCT pair_id FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+l AS (SELECT pair_id, max(i) FILTER (role = 'assistant') AS last FROM o GROUP BY pair_id),
+e AS (
+  SELECT l.pair_id, l.last, max(o.i) FILTER (o.role = 'assistant' AND o.i < l.last) AS earlier, max(o.i) FILTER (o.role = 'user' AND o.i < l.last) AS asked
+  FROM l JOIN o ON o.pair_id = l.pair_id GROUP BY l.pair_id, l.last),
+n AS (
+  SELECT o.pair_id, true AS is_chosen, o.i, o.role, o.text FROM o JOIN e ON e.pair_id = o.pair_id WHERE e.last IS NULL OR o.i <= e.last
+  UNION ALL
+  SELECT o.pair_id, false, o.i, o.role, o.text FROM o JOIN e ON e.pair_id = o.pair_id WHERE e.last IS NULL OR o.i < e.last
+  UNION ALL
+  SELECT e.pair_id, false, e.last, 'assistant', coalesce(a.text, u.text, '')
+  FROM e LEFT JOIN o a ON a.pair_id = e.pair_id AND a.i = e.earlier LEFT JOIN o u ON u.pair_id = e.pair_id AND u.i = e.asked WHERE e.last IS NOT NULL),
+p AS (SELECT DISTINCT pair_id FROM n),
 m AS (
   SELECT p.pair_id, CAST(coalesce(min(CASE WHEN c.role = r.role AND c.text = r.text THEN NULL ELSE coalesce(c.i, r.i) END) - 1, max(coalesce(c.i, 0))) AS INTEGER) AS n_prefix_turns
   FROM p LEFT JOIN (SELECT * FROM n WHERE is_chosen) c ON c.pair_id = p.pair_id

@@ -280,6 +280,24 @@ def test_html_rules():
     html_extract.main_text("<" * 5000 + "<a href='" * 300)
 
 
+def test_html_short_blocks_inherit_and_weak_words_do_not_decide():
+    stops = " ".join(("it was the one that they all had seen in the wood and by the river for a day " * 4).split())
+    # In an article, too, density and neighbours decide: a list of names is undecided, and takes the label around it.
+    assert html_extract.main_text(f"<article><p>{stops}</p><p>Xq Zk Wv</p><p>{stops}</p></article>") == f"{stops}\n\nXq Zk Wv\n\n{stops}"
+    assert html_extract.main_text(f"<article><p class='share-holders'>{stops}</p><div class='share'>Tell a friend</div><p>{stops}</p><a href=x>{stops}</a></article>") == f"{stops}\n\n{stops}"
+    assert html_extract.main_text(f"<div><p>{stops}</p><p>Yes.</p><p>{stops}</p></div><p>Contact</p>") == f"{stops}\n\nYes.\n\n{stops}"
+    assert "<" not in html_extract.main_text(f'<article><p title="x>{stops}</p><p>{stops}</p></article>')
+
+
+def test_html_hostile_pages_take_linear_time():
+    import time
+
+    for page in ("<a " * 200_000 + '"', "<div>" * 60_000 + "</span>" * 60_000, "<p title=\"a\" " * 50_000, "<p x=" * 50_000 + "'" * 50_000, "<![CDATA[" * 50_000, "<" * 500_000):
+        start = time.time()
+        html_extract.main_text(page)
+        assert time.time() - start < 5
+
+
 def test_extract_keeps_every_row(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "u", ""), (2, "u", "<article><p>é😀</p></article>"), (3, "u", "<p>" * 3000)], "page_id long, url string, html string").withColumn("text", F.lit(3))
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_extract.extract(pages).collect()) == [(1, "", 0), (2, "", 0), (2, "é😀", 2), (3, "", 0)]
@@ -394,6 +412,16 @@ def test_preference_pairs(spark):
     assert chat_format.format_pairs(df.limit(0)).count() == 0
 
 
+def test_preference_pairs_of_conversations(spark):
+    rows = [(1, 0, "user", "q1"), (1, 1, "assistant", "a1"), (1, 2, "user", "q2"), (1, 3, "assistant", "a2"), (1, 4, "user", "bye"), (1, 4, "user", "bye")]
+    rows += [(2, 0, "user", "only"), (2, 1, "assistant", None), (3, 0, "user", "no answer"), (4, 0, "assistant", "unasked"), (None, 0, "user", "x")]
+    out = {r["pair_id"]: r for r in chat_format.format_sides(chat_format.sides_of_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert out[1]["prompt"] == "<|user|>\nq1<|end|>\n<|assistant|>\na1<|end|>\n<|user|>\nq2<|end|>\n" and out[1]["n_prefix_turns"] == 3
+    assert "a2" in out[1]["chosen"] and "a1" in out[1]["rejected"] and out[1]["chosen_mask"] == "14:23"
+    assert out[2]["rejected"] == "<|assistant|>\nonly<|end|>\n" and out[3]["chosen"] == out[3]["rejected"] == "" and "unasked" in out[4]["chosen"]
+    assert len(out) == 4
+
+
 def test_base_digest_of_no_spans(spark, tmp_path):
     spark.createDataFrame([(1, "no data")], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     r = pii.op3_pii(spark, str(tmp_path)).first()
