@@ -19,14 +19,17 @@ class Workspace:
     """Intermediate tables in the folder that the cluster shares.
 
     Writing cuts the lineage, so a lost executor costs at most the tasks of
-    the running job.  The folder is the one in ``spark.checkpoint.dir``; only
-    where that is unset (tests) a temporary folder takes its place.
+    the running job.  The folder is the one in ``spark.checkpoint.dir``; where
+    that is unset, a temporary folder takes its place in local mode (tests),
+    and anything else is an error, as executors do not share such a folder.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             root = tempfile.mkdtemp(prefix="evidar-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -15,6 +15,7 @@ totals and rates cover all documents.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -71,6 +72,7 @@ class Mixture:
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, ws: Workspace, rows: int = TRAIN_ROWS) -> LogisticRegressionModel | None:
+    """None without two domains among the labels; of labels that disagree on an id the highest domain counts."""
     named = labels.withColumn("_label", domain_of_labels()).filter("_label is not null and doc_id is not null")
     chosen = named.groupBy("doc_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     train = features(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("_x", "_label")  # at most ``rows`` narrow rows
@@ -120,6 +122,7 @@ def fit_rates(posteriors: DataFrame, targets: dict[str, float], budget: float =
         for (i, j), x in zip([(i, j) for i in range(k) for j in range(i, k)], second, strict=True):
             g[i, j] = g[j, i] = x / total
         steps.append((np.linalg.pinv(g, rcond=1e-9) @ gap).tolist())
+    warnings.warn(f"after {STEPS} steps a domain is still {np.abs(gap).max():.4f} of all tokens from its target", stacklevel=2)
     return steps
 
 
@@ -143,8 +146,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says."""
-    mix, _ = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), Workspace(spark, "stage10"))
-    rated = with_posteriors(docs, mix.model).withColumn("_c", copies(rate(F.col("_p"), mix.steps)))
-    cols = [f"`{c}`" for c in docs.columns]
-    return rated.filter("_c > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_c")))).select(*cols)
+    """Each document as often as its rate says, with its own columns, whatever their names.
+
+    Rows that repeat an id have the rate of their own text, and copies by the
+    same draw.  Null and empty texts are rated like any text without words.
+    """
+    ws = Workspace(spark, "stage10")
+    model = fit_classifier(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), ws)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own"), "doc_id", "text")
+    posteriors = ws.save(with_posteriors(rows, model).select("_own", "doc_id", "_n", "_p"), "posteriors")
+    steps = fit_rates(posteriors.select("_n", "_p"), TARGETS)
+    rated = posteriors.withColumn("_c", copies(rate(F.col("_p"), steps)))
+    return rated.filter("_c > 0").select("_own", F.explode(F.sequence(F.lit(1), F.col("_c")))).select("_own.*")

@@ -116,9 +116,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes(BASE)).alias("base_failed"), passes(DEFAULT).alias("kept"), "failed_bits")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the default policy does, from the ledger of all documents, which is written and read as later policies would."""
+    led = Workspace(spark, "ablation").save(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "ledger")
+    return ablation(led, DEFAULT)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the default policy passes."""
-    return ledger(docs).filter(passes(DEFAULT)).select(*[f"`{c}`" for c in docs.columns])
+    """The documents that the default policy passes, with their own columns, whatever their names; one without text fails."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col("text").cast("string").alias("text"))
+    return ledger(rows).filter(passes(DEFAULT)).select("own.*")
 
 
 ORACLE = r"""
@@ -146,3 +153,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, failed_bits = 0 AS kept, failed_bits
 FROM b
 """
+
+ORACLE_ABLATION = (
+    f"WITH q AS ({ORACLE.strip()}), r AS (SELECT * FROM (VALUES "
+    + ", ".join(f"('{name}', {1 << i})" for i, name in enumerate(RULES))
+    + f""") v(rule, bit))
+SELECT '{DEFAULT.version}' AS policy, rule, count(*) FILTER (failed_bits & bit <> 0) AS n_failed, count(*) FILTER (failed_bits = bit) AS n_only,
+  count(*) FILTER (failed_bits = 0 OR failed_bits = bit) AS n_passed_without
+FROM q, r GROUP BY rule, bit
+"""
+)

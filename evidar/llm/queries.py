@@ -23,9 +23,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_formatting": chat_format.op8_chat_formatting,
         "op9_lm_scoring": lm_score.op9_lm_scoring,
         "op10_mixing": mixing.op10_mixing,
+        "quality_ablation": quality.quality_ablation,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality.ORACLE, "op7_near_dedup": near_dedup.ORACLE, "op8_chat_formatting": chat_format.ORACLE, "op9_lm_scoring": lm_score.ORACLE}
+    return {"op6_quality_rules": quality.ORACLE, "quality_ablation": quality.ORACLE_ABLATION, "op7_near_dedup": near_dedup.ORACLE, "op8_chat_formatting": chat_format.ORACLE, "op9_lm_scoring": lm_score.ORACLE}

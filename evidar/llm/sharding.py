@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Workspace, table
 
@@ -98,8 +99,8 @@ def minimax_cuts(ends: DataFrame, total: int, n: int = N_SHARDS, blocks: int = B
             blocks = 1 << 62
 
 
-def assign(docs: DataFrame, ws: Workspace, n_shards: int = N_SHARDS) -> DataFrame:
-    """``docs`` with size, text_crc32, shard and slot.
+def assign(docs: DataFrame, ws: Workspace, n_shards: int = N_SHARDS, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``keep``, or all) with size, text_crc32, shard and slot.
 
     A null text has size 1 and stands with the empty texts.  Repeated rows and
     rows without an id keep a slot each.  A group larger than its share fills a
@@ -107,16 +108,19 @@ def assign(docs: DataFrame, ws: Workspace, n_shards: int = N_SHARDS) -> DataFram
     names of the four new ones are replaced.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = [c for c in docs.columns if c not in {"size", "text_crc32", "shard", "slot", "_group", "_part", "_row", "_bytes"}]
-    keyed = docs.select(*[f"`{c}`" for c in own], (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("_group"))
+    own = [c for c in (docs.columns if keep is None else keep) if c not in {"size", "text_crc32", "shard", "slot"}]
+    # Repeated rows are told apart, so a large group of them spreads over partitions.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_own"), "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("_group"), F.monotonically_increasing_id().alias("_copy"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = ws.save(keyed.select("_group", "doc_id", "size", "text_crc32").repartitionByRange(parts, "_group", "doc_id").sortWithinPartitions("_group", "doc_id", "size").withColumn("_part", F.spark_partition_id()).mapInArrow(running, "_group string, doc_id long, size long, text_crc32 long, _part int, _row long, _bytes long"), "placed")
+    dealt = keyed.repartitionByRange(parts, "_group", "doc_id", "_copy").sortWithinPartitions("_group", "doc_id", "_copy").drop("_copy", "doc_id").withColumn("_part", F.spark_partition_id())
+    schema = StructType([*dealt.schema.fields, StructField("_row", LongType()), StructField("_bytes", LongType())])
+    placed = ws.save(dealt.mapInArrow(running, schema), "placed")
     before, rows, size = {}, 0, 0
     for r in placed.groupBy("_part").agg(F.max("_row").alias("rows"), F.max("_bytes").alias("size")).orderBy("_part").collect():  # a row for each partition
         before[r["_part"]] = (rows, size)
         rows, size = rows + r["rows"], size + r["size"]
     offsets = F.broadcast(docs.sparkSession.createDataFrame([(k, *v) for k, v in before.items()], "_part int, _row0 long, _bytes0 long"))
-    placed = placed.join(offsets, "_part").select("_group", "doc_id", "size", "text_crc32", (F.col("_row") + F.col("_row0")).alias("_row"), (F.col("_bytes") + F.col("_bytes0")).alias("_bytes"))
+    placed = placed.join(offsets, "_part").select("_group", "_own", "size", "text_crc32", (F.col("_row") + F.col("_row0")).alias("_row"), (F.col("_bytes") + F.col("_bytes0")).alias("_bytes"))
     ends = ws.save(placed.groupBy("_group").agg(F.max("_bytes").alias("end")).select("end"), "ends")
     cuts = minimax_cuts(ends, size, n_shards)
     shard = sum((F.when(F.col("_bytes") > c, 1).otherwise(0) for c in cuts[:-1]), F.lit(0)).cast("int")
@@ -125,7 +129,7 @@ def assign(docs: DataFrame, ws: Workspace, n_shards: int = N_SHARDS) -> DataFram
     start = F.lit(0).cast("long")
     for k, v in first.items():
         start = F.when(F.col("shard") == k, F.lit(v).cast("long")).otherwise(start)
-    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("_row") - start).alias("slot"))
+    return placed.select("_own.*", "size", "text_crc32", "shard", (F.col("_row") - start).alias("slot"))
 
 
 def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,10 +144,10 @@ def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = assign(docs, Workspace(spark, "op4"))
+    out = assign(docs, Workspace(spark, "op4"), keep=["doc_id"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) of every row."""
-    return assign(docs.select("doc_id", "text"), Workspace(spark, "stage4"))
+    """Every row with all its columns and size, text_crc32, shard and slot."""
+    return assign(docs, Workspace(spark, "stage4"))

@@ -240,6 +240,20 @@ def test_pii_patterns_that_secrets_seed_give_away_other_values(spark):
     assert all(spans[i] == "id:14:78" for i in range(30)) and spans[40] == "id:12:20" and spans[41] == ""
 
 
+# stages
+
+
+def test_stages_keep_columns_of_any_name(spark, empty):
+    names = ["doc_id", "text", "n_words", "failed_bits", "_m", "_n", "_w", "_x", "_c", "_p", "_own", "own", "size", "shard"]
+    rows = [(i, prose(60, i), *["mine"] * 12) for i in range(6)] + [(7, None, *["mine"] * 12)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names))
+    for stage in (quality.stage, mixing.stage):
+        out = stage(spark, df, "/root/testdata/sf0.001")
+        assert out.columns == names and {r["n_words"] for r in out.collect()} == {"mine"}
+    out = sharding.stage(spark, df, "")
+    assert out.columns == [*names[:-2], "size", "text_crc32", "shard", "slot"] and out.filter("text is null").count() == 1
+
+
 # toxicity
 
 
