@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ngram_hashes, table, words_of
+from .common import WordHashes, Workspace, ngram_hashes, table, words_of
 
 SYMBOLS = "#*$%&|<>"
 
