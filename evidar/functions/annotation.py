@@ -61,15 +61,16 @@ def families_in_cell(c: Column) -> Column:
 
 
 def location(contig: Column, start: Column, end: Column, strand: Column) -> Column:
-    return F.concat(contig, F.lit(":"), F.format_number(start, 0), F.lit("-"), F.format_number(end, 0), F.when(strand.isNotNull(), F.concat(F.lit(" ("), strand, F.lit(")"))).otherwise(""))
+    """``contig:1,234-5,678 (+)``; a missing strand is a point."""
+    return F.concat(contig, F.lit(":"), F.format_number(start, 0), F.lit("-"), F.format_number(end, 0), F.lit(" ("), F.coalesce(strand, F.lit(".")), F.lit(")"))
 
 
 def ec_agreement(a: Column, b: Column) -> Column:
-    """How many leading fields two enzyme numbers share."""
-    x, y = F.split(a, r"\."), F.split(b, r"\.")
+    """How many leading fields two enzyme numbers share; their prefix does not count, a missing one is incomparable."""
+    x, y = (F.split(F.replace(c, F.lit("EC:"), F.lit("")), r"\.") for c in (a, b))
     same = lambda k: F.slice(x, 1, k) == F.slice(y, 1, k)
-    bad = a.isNull() | b.isNull() | ~a.rlike(r"^\d") | ~b.rlike(r"^\d")
-    return F.when(bad, "incomparable").when(a == b, "exact").when(same(3), "class3").when(same(2), "class2").when(same(1), "class1").otherwise("different")
+    bad = a.isNull() | b.isNull() | (a == "") | (b == "")
+    return F.when(bad, "incomparable").when(x == y, "exact").when(same(3), "class3").when(same(2), "class2").when(same(1), "class1").otherwise("different")
 
 
 def sanitized(seq: Column, longest: int = 1500) -> Column:
@@ -81,8 +82,8 @@ def sequence_key(seq: Column) -> Column:
 
 
 def sequons(seq: Column, overlapping: bool = True) -> Column:
-    """N-glycosylation sites N, not P, S or T, not P."""
-    pattern = "(?=(N[^P][ST][^P]))" if overlapping else "(N[^P][ST][^P])"
+    """N-glycosylation sites: N, any but P, S or T."""
+    pattern = "(?=(N[^P][ST]))" if overlapping else "(N[^P][ST])"
     return F.size(F.regexp_extract_all(seq, F.lit(pattern), F.lit(1)))
 
 
@@ -99,12 +100,23 @@ def gravy(seq: Column) -> Column:
     return F.try_divide(total, F.length(F.regexp_replace(seq, f"[^{''.join(HYDROPATHY)}]", "")))
 
 
-def signal_window(seq: Column, width: int = 9, least: float = 1.6, last_start: int = 15) -> Column:
-    """The first start (from 0) of a window near the N-terminus whose mean hydropathy is high enough; null if none is."""
+def signal_window(seq: Column, width: int = 9, scan: int = 25) -> Column:
+    """(start from 1, mean hydropathy) of the most hydrophobic window of the first residues, the first of equals; null if there is none.
+
+    Residues without a place on the scale are left out beforehand.
+    """
+    letters = F.split(F.substring(F.regexp_replace(F.upper(seq), f"[^{''.join(HYDROPATHY)}]", ""), 1, scan), "")
     scale = F.create_map(*[F.lit(x) for kv in HYDROPATHY.items() for x in kv])
-    starts = F.sequence(F.lit(0), F.least(F.lit(last_start), F.length(seq) - width))
-    mean = lambda s: F.aggregate(F.split(F.substr(seq, s + 1, F.lit(width)), ""), F.lit(0.0), lambda a, x: a + F.coalesce(F.try_element_at(scale, x), F.lit(0.0))) / width
-    return F.when(F.length(seq) >= width, F.get(F.filter(starts, lambda s: mean(s) >= least), F.lit(0)))
+    values = F.filter(F.transform(letters, lambda x: F.try_element_at(scale, x)), lambda v: v.isNotNull())
+    starts = F.when(F.size(values) >= width, F.sequence(F.lit(1), F.size(values) - width + 1)).otherwise(F.array().cast("array<int>"))
+    means = F.transform(starts, lambda s: F.struct(F.round(F.aggregate(F.slice(values, s, F.lit(width)), F.lit(0.0), lambda a, x: a + x) / width, 9).alias("mean"), (-s).alias("before")))
+    best = F.array_max(means)
+    return F.when(best.isNotNull(), F.struct((-best["before"]).alias("start"), best["mean"].alias("mean")))
+
+
+def has_signal(seq: Column, least: float = 1.6, last_start: int = 15) -> Column:
+    best = signal_window(seq)
+    return F.coalesce((best["mean"] >= least) & (best["start"] <= last_start), F.lit(False))
 
 
 def masked(letters: Column, confidence: Column, least: float) -> Column:
@@ -122,17 +134,127 @@ def wrapped(seq: Column, width: int = 60) -> Column:
     return F.regexp_replace(seq, f"(.{{{width}}})(?=.)", "$1\n")
 
 
+# Prefixes of labels that have a page, member databases by the name of an analysis, addresses.
+LINKED = "GH|GT|PL|CE|AA|CBM|SLH|cohesin|dockerin"
+MEMBER_DATABASES = {"pfam": "pfam", "panther": "panther", "smart": "smart", "prosite": "prosite", "prosite_profiles": "profile", "prosite_patterns": "prosite", "cdd": "cdd", "tigrfam": "ncbifam", "ncbifam": "ncbifam", "superfamily": "ssf", "prints": "prints", "hamap": "hamap", "pirsf": "pirsf", "gene3d": "cathgene3d", "cath-gene3d": "cathgene3d"}
+ENTRY = "https://www.ebi.ac.uk/interpro/entry/"
+
+
 def family_link(c: Column) -> Column:
-    return F.when(c.rlike(rf"^({CLASSES})\d+"), F.concat(F.lit("https://www.cazy.org/"), parent_family(c), F.lit(".html")))
+    return F.when(F.trim(c).rlike(rf"(?i)^({LINKED})"), F.concat(F.lit("http://www.cazy.org/"), F.trim(c), F.lit(".html")))
 
 
 def ec_link(c: Column) -> Column:
-    return F.when(c.rlike(r"^\d+\.\d+\.\d+\.\d+$"), F.concat(F.lit("https://enzyme.expasy.org/EC/"), c))
+    """Whole enzyme numbers only."""
+    return F.when(F.trim(c).rlike(r"^\d+\.\d+\.\d+\.\d+$"), F.concat(F.lit("https://enzyme.expasy.org/EC/"), F.trim(c)))
 
 
 def go_link(c: Column) -> Column:
-    return F.when(c.rlike(r"^GO:\d{7}$"), F.concat(F.lit("https://amigo.geneontology.org/amigo/term/"), c))
+    return F.when(F.upper(F.trim(c)).startswith("GO:"), F.concat(F.lit("https://www.ebi.ac.uk/QuickGO/term/"), F.trim(c)))
+
+
+def interpro_link(c: Column) -> Column:
+    return F.when(F.upper(c).startswith("IPR"), F.concat(F.lit(f"{ENTRY}InterPro/"), c, F.lit("/")))
+
+
+def signature_link(analysis: Column, c: Column) -> Column:
+    """A signature's page in its member database; null for an analysis without one."""
+    sub = F.create_map(*[F.lit(x) for kv in MEMBER_DATABASES.items() for x in kv])
+    return F.concat(F.lit(ENTRY), F.try_element_at(sub, F.lower(F.trim(F.coalesce(analysis, F.lit(""))))), F.lit("/"), F.nullif(c, F.lit("")), F.lit("/"))
+
+
+def resistance_link(c: Column) -> Column:
+    number = F.nullif(F.regexp_extract(F.trim(c), r"(?i)^ARO:?(\d+)$", 1), F.lit(""))
+    return F.concat(F.lit("https://card.mcmaster.ca/ontology/"), number)
 
 
 def confidence_band(c: Column) -> Column:
-    return F.when(c >= 0.5, "HIGH").when(c >= 0.05, "LOW").otherwise("VERY_LOW")
+    return F.when(c >= 0.5, "HIGH").when(c >= 0.05, "LOW").when(c.isNotNull(), "VERY_LOW")
+
+
+def instability_class(c: Column) -> Column:
+    return F.when(c < 40, "stable").when(c.isNotNull(), "unstable")
+
+
+# Spellings of feature types, and the types that have a place of their own.
+FEATURE_ALIASES = {"domains": "domain", "structure_hits": "structure_hit", "signal_peptides": "signal_peptide", "ec": "ec_prediction"}
+FEATURE_TYPES = ("signal_peptide", "tm_topology", "structure", "domain", "structure_hit", "localization", "physicochem", "ec_prediction")
+
+
+def feature_type(c: Column) -> Column:
+    alias = F.create_map(*[F.lit(x) for kv in FEATURE_ALIASES.items() for x in kv])
+    named = F.coalesce(F.try_element_at(alias, c), c)
+    return F.when(named.isin(*FEATURE_TYPES), named).otherwise("other")
+
+
+def first_whole(*values: Column) -> Column:
+    """The first of several values that reads as a whole number."""
+    return F.coalesce(*map(whole, values))
+
+
+def cell_kind(c: Column) -> Column:
+    """What a cell of free content holds: json, int, float, empty or text."""
+    t = F.trim(c)
+    return (
+        F.when(t.isNull(), None)
+        .when(t.isin("", "-"), "empty")
+        .when(t.rlike(r"^[\[{]") & F.try_parse_json(t).isNotNull(), "json")
+        .when(t.rlike(r"^-?[0-9]+$"), "int")
+        .when(t.try_cast("double").isNotNull(), "float")
+        .otherwise("text")
+    )
+
+
+def canonical_id(c: Column) -> Column:
+    return F.translate(c, "|", "-")
+
+
+def last_field(c: Column, sep: str = "|") -> Column:
+    return F.substring_index(c, sep, -1)
+
+
+def localization_from_signal(prediction: Column) -> Column:
+    """Secreted where the prediction names a signal peptide."""
+    p = F.upper(F.coalesce(prediction, F.lit("")))
+    return F.when(p.contains("SP") | p.isin("SIGNAL", "SEC/SPI"), "Extracellular").otherwise("Intracellular")
+
+
+def signal_span(topology: Column) -> Column:
+    """(start, end) of the last signal segment of ``signal:a-b|...``; null if it does not parse."""
+    parts = F.filter(F.split(topology, r"\|"), lambda x: x.startswith("signal:"))
+    ends = F.regexp_extract_all(F.element_at(parts, -1), F.lit(r"^signal:\s*(\d+)\s*-\s*(\d+)\s*$"), F.lit(1))
+    stop = F.regexp_extract_all(F.element_at(parts, -1), F.lit(r"^signal:\s*(\d+)\s*-\s*(\d+)\s*$"), F.lit(2))
+    return F.when((F.size(parts) > 0) & (F.size(ends) > 0), F.struct(F.get(ends, F.lit(0)).cast("int").alias("start"), F.get(stop, F.lit(0)).cast("int").alias("end")))
+
+
+def scaled(v: Column, lo: float, hi: float) -> Column:
+    """A confidence scaled to 0..1 by a range, clamped."""
+    return F.least(F.greatest((v - lo) / (hi - lo), F.lit(0.0)), F.lit(1.0))
+
+
+def base_pairs(n: Column) -> Column:
+    return F.when(n >= 1000, F.concat(F.format_string("%.1f", F.bround(n / 1000, 1)), F.lit(" kb"))).otherwise(F.concat(n.cast("long").cast("string"), F.lit(" bp")))
+
+
+def novelty_class(novelty: Column, bases: Column, new_bases: list[str]) -> Column:
+    """Truly novel base family, novel subfamily, or control; null for anything else."""
+    new = F.arrays_overlap(bases, F.array(*map(F.lit, new_bases)))
+    return F.when((novelty == "novel_family") & new, "novel_base").when(novelty == "novel_family", "novel_subfamily").when(novelty == "novel_seq", "control")
+
+
+def header_id(fields: Column) -> Column:
+    """The field before the first one that names a FASTA file, else the first."""
+    at = F.array_position(F.transform(fields, lambda x: x.contains(".fasta")), F.lit(True)).cast("int")
+    return F.when(at > 1, F.get(fields, at - 2)).otherwise(F.get(fields, F.lit(0)))
+
+
+def header_families(fields: Column) -> Column:
+    return F.array_distinct(F.filter(fields, lambda x: x.rlike(rf"^({CLASSES})\d+(_\d+)?$")))
+
+
+def hydrophobic_helices(seq: Column, width: int = 18, least: int = 13, letters: str = "AILMFVWC") -> Column:
+    """Starts (from 1) of windows with enough hydrophobic residues, none overlapping the one before."""
+    marks = F.transform(F.split(seq, ""), lambda x: F.when(F.lit(letters).contains(x) & (x != ""), 1).otherwise(0))
+    starts = F.when(F.length(seq) > width, F.sequence(F.lit(1), F.length(seq) - width)).otherwise(F.array().cast("array<int>"))
+    enough = F.filter(starts, lambda s: F.aggregate(F.slice(marks, s, F.lit(width)), F.lit(0), lambda a, x: a + x) >= least)
+    return F.aggregate(enough, F.array().cast("array<int>"), lambda kept, s: F.when((F.size(kept) == 0) | (s >= F.element_at(kept, -1) + width), F.concat(kept, F.array(s))).otherwise(kept))

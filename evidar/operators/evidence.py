@@ -14,8 +14,31 @@ def saturating(e_value: Column, coverage: Column, full: float = 20.0) -> Column:
     return F.when(e_value.isNull() | coverage.isNull(), F.lit(0.0)).otherwise(strength * F.least(F.greatest(coverage, F.lit(0.0)), F.lit(1.0)))
 
 
-def tier(n_methods: Column, evidence: Column) -> Column:
-    return F.when((n_methods >= 3) & (evidence >= 0.5), "positive_strong").when(n_methods >= 2, "positive").when(n_methods == 1, "gray").otherwise("non")
+def tier(n_tools: Column) -> Column:
+    """By the number of tools that call an item, whatever the evidence."""
+    return F.when(n_tools >= 2, "positive").when(n_tools == 1, "gray").otherwise("negative")
+
+
+def subtier(n_tools: Column, evidence: Column) -> Column:
+    """Three tools or two; a single call with more evidence or less; none."""
+    return F.when(n_tools >= 3, "1A").when(n_tools == 2, "1B").when((n_tools == 1) & (evidence >= 0.5), "2A").when(n_tools == 1, "2B").otherwise("3")
+
+
+def triage(agreement: Column, confidence: Column, *heads: Column) -> Column:
+    """(score, tier) from the share of votes that agree, the confidence of the call, and the confidences of the heads.
+
+    Disagreement, lack of confidence, and how far the call falls short of the
+    most confident head add up; more is worse.
+    """
+    collapse = F.least(F.greatest(F.greatest(*heads) - confidence, F.lit(0.0)), F.lit(1.0))
+    score = F.round(0.40 * (1 - agreement) + 0.35 * (1 - confidence) + 0.25 * collapse, 9)
+    return F.struct(score.alias("score"), F.when(score > 0.35, "FLAG").when(score > 0.15, "WATCH").otherwise("ACCEPT").alias("tier"))
+
+
+def majority(*calls: Column) -> Column:
+    """How many of a few calls are the most frequent one."""
+    votes = F.array(*calls)
+    return F.array_max(F.transform(votes, lambda v: F.size(F.filter(votes, lambda w: w == v))))
 
 
 def compare_methods(df: DataFrame, group: list[str], tool: str, advanced: Column, fusion: Column, placeholder: Column) -> DataFrame:

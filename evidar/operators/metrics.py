@@ -11,18 +11,19 @@ def per_score(df: DataFrame, score: str, positive: Column) -> DataFrame:
     return df.groupBy(F.col(score).alias("score")).agg(F.sum(F.when(positive, 1).otherwise(0)).alias("p"), F.sum(F.when(positive, 0).otherwise(1)).alias("n"))
 
 
-BINS = 1024
+BINS = 256
 
 
 def running(s: DataFrame, columns: list[str], descending: bool = False) -> DataFrame:
     """``s`` with ``<c>_before`` for each column: its sum over lower (or, descending, higher) scores.
 
-    Scores are dealt into BINS ranges: sums of whole ranges come from a table
-    of at most BINS rows, the rest from a window within one range.
+    Different scores are dealt into at most BINS ranges of about equal numbers,
+    however they crowd: sums of whole ranges come from a table of as many rows,
+    the rest from a window within one range.
     """
-    ends = s.agg(F.min("score").cast("double").alias("lo"), F.max("score").cast("double").alias("hi"))
-    where = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (BINS - 1))).otherwise(F.lit(0))
-    binned = s.join(F.broadcast(ends)).withColumn("_bin", where).drop("lo", "hi")  # one row
+    cuts = s.agg(F.percentile_approx(F.col("score").cast("double"), [i / BINS for i in range(1, BINS)], 20_000)).first()[0] or []
+    cuts = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
+    binned = s.withColumn("_bin", F.size(F.filter(cuts, lambda c: c < F.col("score"))))
     order = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     over = Window.orderBy(order("_bin")).rowsBetween(Window.unboundedPreceding, -1)
     whole = binned.groupBy("_bin").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
@@ -67,10 +68,12 @@ def purity_threshold(df: DataFrame, score: str, positive: Column, grid: list[flo
 
 def conformal_quantile(df: DataFrame, score: str, alphas: list[float]) -> DataFrame:
     """Split-conformal quantiles by the 'higher' rule, without interpolation."""
-    ranked = df.select(F.col(score).alias("s"), F.row_number().over(Window.orderBy(score)).alias("i"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("n"))
-    each = ranked.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
-    level = F.least(F.ceil((F.col("n") + 1) * (1 - F.col("alpha"))) / F.col("n"), F.lit(1.0))
-    return each.filter(F.col("i") - 1 == F.ceil(F.round(level * (F.col("n") - 1), 9))).select("alpha", F.col("s").alias("quantile"))
+    counts = df.groupBy(F.col(score).alias("score")).agg(F.count("*").alias("k"))
+    n = F.lit(counts.agg(F.sum("k")).first()[0] or 0)
+    each = running(counts, ["k"]).withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
+    level = F.least(F.ceil((n + 1) * (1 - F.col("alpha"))) / n, F.lit(1.0))
+    at = F.ceil(F.round(level * (n - 1), 9))
+    return each.filter((F.col("k_before") <= at) & (at < F.col("k_before") + F.col("k"))).select("alpha", F.col("score").alias("quantile"))
 
 
 def reliability(df: DataFrame, confidence: str, correct: Column, bins: int = 10) -> DataFrame:

@@ -54,13 +54,13 @@ def overlapping_pairs(df: DataFrame, key: str, id_: str, start: str, end: str, w
     return a.join(b, same & meet & here).select(F.col(f"a.{key}").alias(key), F.col("a.i").alias("a"), F.col("b.i").alias("b"))
 
 
-def neighbourhood(df: DataFrame, focal: DataFrame, keys: list[str], at: str, id_: str, flank: float, limit: int) -> DataFrame:
-    """Rows of the focal row's keys within ``flank`` of it, at most ``limit`` for each focal row, the lowest first.
+def neighbourhood(df: DataFrame, focal: DataFrame, keys: list[str], start: str, end: str, id_: str, flank: float, limit: int) -> DataFrame:
+    """Rows of the focal row's keys that overlap its interval widened by ``flank``, at most ``limit`` for each focal row, the lowest first.
 
-    ``focal`` has the keys, ``focal_id`` and ``focal_at``.
+    ``focal`` has the keys, ``focal_id``, ``focal_start`` and ``focal_end``.
     """
-    near = df.join(focal, keys).filter(F.abs(F.col(at) - F.col("focal_at")) <= flank)
-    return first_by(near, ["focal_id"], F.asc(at), F.asc(id_), n=limit, rank="place")
+    near = df.join(focal, keys).filter((F.col(end) >= F.col("focal_start") - flank) & (F.col(start) <= F.col("focal_end") + flank))
+    return first_by(near, ["focal_id"], F.asc(start), F.asc(id_), n=limit, rank="place")
 
 
 def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

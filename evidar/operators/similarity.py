@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,14 +37,15 @@ def knn(queries: DataFrame, reference: DataFrame, k: int, vector: str = "embeddi
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"q": [], "r": [], "sim": []})
-        ids, out = b["id"].to_numpy(), []
+        ids = b["id"].to_numpy()
         sims = np.round(matrix(a["v"]) @ matrix(b["v"]).T, 6)
-        for i, own in zip(a["id"].to_numpy(), sims, strict=True):
-            if same_table:
-                own = np.where(ids == i, -2.0, own)
-            order = np.lexsort((ids, -own))[:k]
-            out += [(i, ids[j], own[j]) for j in order if own[j] > -2]
-        return pd.DataFrame(out, columns=["q", "r", "sim"])
+        own = a["id"].to_numpy()
+        if same_table:
+            sims[own[:, None] == ids[None, :]] = -2.0
+        # All that reach the k-th best similarity of a query: ties are decided by id afterwards.
+        least = np.partition(sims, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(own), -1.5)
+        i, j = np.nonzero((sims >= least[:, None]) & (sims > -2))
+        return pd.DataFrame({"q": own[i], "r": ids[j], "sim": sims[i, j]}).sort_values(["q", "sim", "r"], ascending=[True, False, True]).groupby("q", sort=False).head(k)
 
     near = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(best, "q long, r long, sim double")
     return first_by(near, ["q"], F.desc("sim"), F.asc("r"), n=k, rank="rank")
@@ -58,8 +61,9 @@ def vote(neighbours: DataFrame, labels: DataFrame, weighted: bool = False) -> Da
     per = named.groupBy("q", "family").agg(F.count("*").alias("n"), F.min("rank").alias("first"), F.max("sim").alias("best"), F.round(F.sum("sim"), 6).alias("weight"))
     order = [F.desc("weight"), F.asc("first")] if weighted else [F.desc("n"), F.asc("first")]
     won = first_by(per, ["q"], *order)
-    rest = per.join(won.select("q", F.col("family").alias("won")), "q").groupBy("q").agg(F.sum("n").alias("k"), F.max("best").alias("top_sim"), F.max(F.when(F.col("family") != F.col("won"), F.col("best"))).alias("other"))
-    out = won.join(rest, "q")
+    asked = neighbours.groupBy("q").agg(F.count("*").alias("k"))  # neighbours without a label count, too
+    rest = per.join(won.select("q", F.col("family").alias("won")), "q").groupBy("q").agg(F.max("best").alias("top_sim"), F.max(F.when(F.col("family") != F.col("won"), F.col("best"))).alias("other"))
+    out = won.join(rest, "q").join(asked, "q")
     return out.select("q", "family", F.round("top_sim", 6).alias("top_sim"), F.round(F.col("n") / F.col("k"), 6).alias("purity"), F.round(F.when(F.col("other").isNull(), 1.0).otherwise(F.col("top_sim") - F.col("other")), 6).alias("margin"))
 
 
@@ -72,10 +76,36 @@ def centroids(df: DataFrame, label: str, vector: str = "embedding") -> DataFrame
     return whole.withColumn("_l", length).select(label, F.when(F.col("_l") == 0, F.col("c")).otherwise(F.transform("c", lambda x: x / F.col("_l"))).alias("c"))
 
 
+CENTROIDS = 20_000
+
+
 def nearest_centroid(df: DataFrame, cents: DataFrame, label: str, vector: str = "embedding", id_: str = "vec_id") -> DataFrame:
-    """(id, family, sim, margin) by the nearest centroid; there is one centroid for each class of a taxonomy."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    dot = F.aggregate(F.zip_with(vector, "c", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x)
-    each = df.select(id_, vector).join(cents.select(F.col(label).alias("family"), "c")).select(F.col(id_).alias("id"), "family", F.round(dot / norm, 6).alias("sim"))
-    two = each.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("s"), "family"))), 1, 2).alias("t"))
+    """(id, family, sim, margin) by the nearest centroid, ties by family; a zero vector has no similarity to any.
+
+    There is one centroid for each class of a taxonomy.  Up to CENTROIDS of
+    them travel as one matrix and are multiplied with batches of vectors; more
+    are compared as blocks of a nearest-neighbour search.
+    """
+    named = cents.select(F.col(label).cast("string").alias("family"), "c").filter("family is not null")
+    rows = named.limit(CENTROIDS + 1).collect()
+    if len(rows) <= CENTROIDS:
+        rows.sort(key=lambda r: r["family"])
+        families, m = np.array([r["family"] for r in rows], object), np.array([r["c"] for r in rows], np.float64)
+        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if len(rows) else m
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                v = np.array(b["v"].tolist(), np.float64).reshape(len(b), -1)
+                sims = np.round((v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) == 0, np.nan, n)) @ m.T, 6)
+                order = np.argsort(-sims, axis=1, kind="stable")[:, :2]
+                two = np.take_along_axis(sims, order, 1)
+                margin = np.round(two[:, 0] - two[:, 1], 6) if len(families) > 1 else np.ones(len(b))
+                yield pd.DataFrame({"id": b["id"], "family": families[order[:, 0]], "sim": two[:, 0], "margin": margin})
+
+        if not rows:
+            return df.select(F.col(id_).alias("id"), F.lit(None).cast("string").alias("family"), F.lit(None).cast("double").alias("sim"), F.lit(None).cast("double").alias("margin"))
+        return df.select(F.col(id_).alias("id"), F.col(vector).alias("v")).mapInPandas(best, f"id {df.schema[id_].dataType.simpleString()}, family string, sim double, margin double")
+    numbered = named.withColumn("r", F.xxhash64("family"))
+    two = knn(df.select(F.col(id_).alias("id"), F.col(vector).alias("v")), numbered.select(F.col("r").alias("id"), F.col("c").alias("v")), 2, vector="v", id_="id", same_table=False)
+    two = two.join(numbered.select("r", "family"), "r").groupBy(F.col("q").alias("id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("s"), "family"))).alias("t"))
     return two.select("id", F.get("t", F.lit(0))["family"].alias("family"), (-F.get("t", F.lit(0))["s"]).alias("sim"), F.round(F.coalesce(F.get("t", F.lit(1))["s"] - F.get("t", F.lit(0))["s"], F.lit(1.0)), 6).alias("margin"))

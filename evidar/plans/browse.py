@@ -106,11 +106,15 @@ def left_join_unmatched(spark, d):
     return R.unmatched(t(spark, d, "orders").select(F.col("o_orderkey").alias("k")), t(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")), "k")
 
 
-@query("neighbourhood", "WITH f AS (SELECT user_id, min(event_id) AS focal_id FROM events GROUP BY user_id), g AS (SELECT f.user_id, f.focal_id, e.ts AS at FROM f JOIN events e ON e.event_id = f.focal_id), n AS (SELECT g.focal_id, e.event_id, row_number() OVER (PARTITION BY g.focal_id ORDER BY e.ts, e.event_id) AS place FROM events e JOIN g ON g.user_id = e.user_id WHERE abs(epoch_us(e.ts) - epoch_us(g.at)) <= 86400000000) SELECT focal_id, event_id, CAST(place AS INTEGER) AS place FROM n WHERE place <= 60")
+SPANS = "WITH s AS (SELECT event_id, user_id, epoch_us(ts) AS a, epoch_us(ts) + (event_id % 7) * 3600000000 AS b FROM events), f AS (SELECT user_id, min(event_id) AS focal_id FROM events GROUP BY user_id), g AS (SELECT f.user_id, f.focal_id, s.a AS fa, s.b AS fb FROM f JOIN s ON s.event_id = f.focal_id)"
+
+
+@query("neighbourhood", SPANS + ", n AS (SELECT g.focal_id, s.event_id, row_number() OVER (PARTITION BY g.focal_id ORDER BY s.a, s.event_id) AS place FROM s JOIN g ON g.user_id = s.user_id WHERE s.b >= g.fa - 43200000000 AND s.a <= g.fb + 43200000000) SELECT focal_id, event_id, CAST(place AS INTEGER) AS place FROM n WHERE place <= 60")
 def neighbourhood(spark, d):
-    e = t(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    focal = e.groupBy("user_id").agg(F.min(F.struct("event_id", "at")).alias("f")).select("user_id", F.col("f.event_id").alias("focal_id"), F.col("f.at").alias("focal_at"))
-    return R.neighbourhood(e, focal, ["user_id"], "at", "event_id", 86400000000, 60).select("focal_id", "event_id", "place")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = t(spark, d, "events").select("event_id", "user_id", at.alias("a"), (at + (F.col("event_id") % 7) * 3600000000).alias("b"))
+    focal = e.groupBy("user_id").agg(F.min(F.struct("event_id", "a", "b")).alias("f")).select("user_id", F.col("f.event_id").alias("focal_id"), F.col("f.a").alias("focal_start"), F.col("f.b").alias("focal_end"))
+    return R.neighbourhood(e, focal, ["user_id"], "a", "b", "event_id", 43200000000, 60).select("focal_id", "event_id", "place")
 
 
 @query("interval_pairs_binned", "WITH o AS (SELECT o_custkey, o_orderkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS s FROM orders) SELECT a.o_custkey, count(*) AS n_pairs FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.s <= b.s + 30 AND b.s <= a.s + 30 GROUP BY a.o_custkey")

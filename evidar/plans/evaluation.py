@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import folds, metrics
+from ..operators import folds, metrics, search
 from ..operators import relational as R
 from ..streaming import ingest
+from ..tables import scratch
 from ..tables import table as t
 from .registry import query
 
-EVAL = "WITH e AS (SELECT l.doc_id, l.quality = 1 AS y, CAST(least(d.n_chars, 4000) AS DOUBLE) / 4000 AS s FROM labels l JOIN documents d USING (doc_id))"
+EVAL = "WITH e AS (SELECT l.doc_id, l.quality = 1 AS y, d.n_chars / (d.n_chars + 1000.0::DOUBLE) AS s FROM labels l JOIN documents d USING (doc_id))"
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """Labelled documents: y says good quality, s is a score from the length."""
-    docs = t(spark, d, "documents").select("doc_id", (F.least("n_chars", F.lit(4000)).cast("double") / 4000).alias("s"))
+    docs = t(spark, d, "documents").select("doc_id", (F.col("n_chars") / (F.col("n_chars") + 1000.0)).alias("s"))
     return t(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("y")).join(docs, "doc_id")
 
 
@@ -37,17 +38,7 @@ def leakage_guard(spark, d):
 
 @query("contamination", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def contamination(spark, d):
-    """Documents with a whole benchmark text: candidates share the item's first words, by equality, and are then compared."""
-    n = 6
-    b = t(spark, d, "benchmark").withColumn("k", F.array_join(F.slice(F.split("text", r"\s+"), 1, n), " "))
-    w = F.split("text", r"\s+")
-    # A text may begin in the middle of a word of the document, so the first word counts by its end only.
-    b = b.withColumn("k", F.substring_index(F.col("k"), " ", -(n - 1)))
-    # The outer transform binds the words, which the inner one would split again for each place.
-    keys = F.get(F.transform(F.array(w), lambda v: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(v) - n + 2, F.lit(1))), lambda i: F.array_join(F.slice(v, i, F.lit(n - 1)), " ")))), F.lit(0))
-    docs = t(spark, d, "documents")
-    hits = docs.select("doc_id", F.explode(keys).alias("k")).join(b.select("item_id", "k", F.col("text").alias("item")), "k").select("doc_id", "item_id", "item").distinct()
-    return hits.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    return search.containing(t(spark, d, "documents"), t(spark, d, "benchmark"), "doc_id", "item_id")
 
 
 @query("novelty_bucket", f"WITH k AS (SELECT md5(text) AS h, lang || source AS f, {TRAIN} AS train, doc_id FROM documents), f AS (SELECT DISTINCT lang AS f FROM documents WHERE {TRAIN} AND lang <> 'es') SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN md5(text) IN (SELECT h FROM k WHERE train) THEN 'carried_over' WHEN lang NOT IN (SELECT f FROM f) THEN 'novel_family' ELSE 'novel_seq' END AS bucket FROM documents WHERE NOT ({TRAIN})) GROUP BY bucket")
@@ -92,9 +83,9 @@ def purity_sweep(spark, d):
     return metrics.purity_threshold(scored(spark, d), "s", F.col("y"), [i / 200 for i in range(1, 201)], 0.2, 0.1)
 
 
-@query("conformal_quantile", EVAL + ", c AS (SELECT s, row_number() OVER (ORDER BY s) AS i, count(*) OVER () AS n FROM e WHERE doc_id % 2 = 0), a AS (SELECT unnest(CAST([0.05, 0.1, 0.2, 0.3] AS DOUBLE[])) AS alpha) SELECT alpha, round(s, 6) AS quantile FROM c, a WHERE i - 1 = ceil(round(least(ceil((n + 1) * (1 - alpha)) / n, 1.0) * (n - 1), 9))")
+@query("conformal_quantile", EVAL + ", c AS (SELECT s, row_number() OVER (ORDER BY s) AS i, count(*) OVER () AS n FROM e), a AS (SELECT unnest(CAST([0.05, 0.1, 0.2, 0.3] AS DOUBLE[])) AS alpha) SELECT alpha, round(s, 6) AS quantile FROM c, a WHERE i - 1 = ceil(round(least(ceil((n + 1) * (1 - alpha)) / n, 1.0) * (n - 1), 9))")
 def conformal_quantile(spark, d):
-    return metrics.conformal_quantile(scored(spark, d).filter("doc_id % 2 = 0"), "s", [0.05, 0.1, 0.2, 0.3]).withColumn("quantile", F.round("quantile", 6))
+    return metrics.conformal_quantile(scored(spark, d), "s", [0.05, 0.1, 0.2, 0.3]).withColumn("quantile", F.round("quantile", 6))
 
 
 @query("percentile_rank_strict", "SELECT p_brand, round(100 * avg(CASE WHEN s_acctbal < price THEN 1.0 ELSE 0.0 END), 6) AS percentile FROM (SELECT p_brand, avg(p_retailprice) AS price FROM part GROUP BY p_brand), supplier GROUP BY p_brand")
@@ -151,3 +142,19 @@ def tumbling_windows_extension(spark, d):
 @query("family_counts_min_anchor", "SELECT p_type, count(*) AS n FROM part GROUP BY p_type HAVING count(*) >= 100")
 def family_counts_min_anchor(spark, d):
     return R.facet(t(spark, d, "part"), "p_type", F.count("*")).filter("n >= 100")
+
+
+@query("stream_idempotent", "SELECT l_returnflag || l_linestatus AS batch, count(*) AS n, CAST(round(sum(l_quantity), 2) AS DOUBLE) AS quantity, 1 AS n_versions FROM lineitem GROUP BY ALL")
+def stream_idempotent(spark, d):
+    """A folder of files taken as a stream; some are delivered twice, and the stream is started twice."""
+    root = scratch(spark, "stream")
+    li = t(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity").withColumn("batch", F.concat("l_returnflag", "l_linestatus"))
+    schema = "l_returnflag string, l_linestatus string, l_quantity double, batch string"
+    name = lambda path: F.regexp_extract(path, "k=([A-Z]+)/", 1)
+    # A source is one file here, so each part is written as one.
+    for turn, part in enumerate((li, li.filter("l_returnflag = 'R'"))):
+        part.withColumn("k", F.col("batch")).repartition("k").sortWithinPartitions("l_quantity").write.partitionBy("k").option("maxRecordsPerFile", 0).parquet(f"{root}/in/{turn}")
+        ingest.ingest_stream(spark, f"{root}/in", schema, f"{root}/wh", name)
+    ingest.ingest_stream(spark, f"{root}/in", schema, f"{root}/wh", name)
+    n = ingest.versions(spark, f"{root}/wh").groupBy("batch").agg(F.count_distinct("release").cast("int").alias("n_versions"))
+    return ingest.current(spark, f"{root}/wh").groupBy("batch").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity")).join(n, "batch")

@@ -19,11 +19,11 @@ def baseline_vs_advanced(spark, d):
     return E.compare_methods(j, ["l_orderkey", "p_type"], "l_returnflag", adv, F.col("l_returnflag") == "R", F.col("p_type").ilike("%0"))
 
 
-@query("tiering", "WITH g AS (SELECT l_orderkey, count(DISTINCT l_returnflag) AS n, round(greatest(max(l_discount), max(l_tax), max(least(l_quantity / 50, 1.0))), 6) AS evidence FROM lineitem GROUP BY l_orderkey), x AS (SELECT o_orderkey, coalesce(n, 0) AS n_methods, coalesce(evidence, 0.0) AS evidence FROM orders LEFT JOIN g ON l_orderkey = o_orderkey) SELECT o_orderkey, n_methods, evidence, CASE WHEN n_methods >= 3 AND evidence >= 0.5 THEN 'positive_strong' WHEN n_methods >= 2 THEN 'positive' WHEN n_methods = 1 THEN 'gray' ELSE 'non' END AS tier FROM x")
+@query("tiering", "WITH g AS (SELECT l_orderkey, count(DISTINCT l_returnflag) AS n, round(greatest(max(l_discount), max(l_tax), max(least(l_quantity / 50, 1.0))), 6) AS evidence FROM lineitem GROUP BY l_orderkey), x AS (SELECT o_orderkey, coalesce(n, 0) AS n_methods, coalesce(evidence, 0.0) AS evidence FROM orders LEFT JOIN g ON l_orderkey = o_orderkey) SELECT o_orderkey, n_methods, evidence, CASE WHEN n_methods >= 2 THEN 'positive' WHEN n_methods = 1 THEN 'gray' ELSE 'negative' END AS tier, CASE WHEN n_methods >= 3 THEN '1A' WHEN n_methods = 2 THEN '1B' WHEN n_methods = 0 THEN '3' WHEN evidence >= 0.5 THEN '2A' ELSE '2B' END AS subtier FROM x")
 def tiering(spark, d):
     g = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_returnflag").alias("n"), F.round(F.greatest(F.max("l_discount"), F.max("l_tax"), F.max(F.least(F.col("l_quantity") / 50, F.lit(1.0)))), 6).alias("e"))
     x = t(spark, d, "orders").select("o_orderkey").join(g, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce("n", F.lit(0)).cast("long").alias("n_methods"), F.coalesce("e", F.lit(0.0)).alias("evidence"))
-    return x.withColumn("tier", E.tier(F.col("n_methods"), F.col("evidence")))
+    return x.withColumn("tier", E.tier(F.col("n_methods"))).withColumn("subtier", E.subtier(F.col("n_methods"), F.col("evidence")))
 
 
 @query("best_hit", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax) AS rn FROM lineitem) WHERE rn = 1")
@@ -87,14 +87,20 @@ def ballots(spark: SparkSession, d: str) -> DataFrame:
 
 WEIGHTS = {"k15": 0.5, "k5": 0.3, "centroid": 0.2}
 BALLOTS = (
-    VEC.format(k=15).replace("WITH e AS", "WITH e AS", 1)
+    VEC.format(k=15)
     + VOTE.format(by="c")
-    + ", va AS (SELECT w.q AS id, 0.5 AS w, w.family, round(w.c / o.k, 6) AS conf FROM w JOIN o ON o.q = w.q)"
-    + ", p5 AS (SELECT q, family, count(*) AS c, min(rank) AS first FROM l WHERE rank <= 5 GROUP BY ALL), w5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, first) AS rn FROM p5) WHERE rn = 1), k5 AS (SELECT q, sum(c) AS k FROM p5 GROUP BY q), vb AS (SELECT w5.q AS id, 0.3 AS w, family, round(c / k, 6) AS conf FROM w5 JOIN k5 USING (q))"
-    + ", "
-    + CENT.split("FROM embeddings), ", 1)[1].replace("c AS (SELECT", "ce AS (SELECT").replace("FROM e, c)", "FROM e, ce)").replace("u AS", "u AS").replace("s AS (SELECT vec_id", "sc AS (SELECT vec_id").replace("FROM s)", "FROM sc)").replace("r AS (SELECT *", "rc AS (SELECT *").replace("list_cosine_similarity(v, c)", "list_cosine_similarity(v, ce.c)")
-    + ", vc AS (SELECT id, 0.2 AS w, family, least(greatest(sim, 0.0), 1.0) AS conf FROM rc WHERE rn = 1)"
-    + ", b AS (SELECT id, w, CASE WHEN conf >= 0.2 THEN family END AS family, conf FROM va UNION ALL SELECT id, w, CASE WHEN conf >= 0.4 THEN family END, conf FROM vb UNION ALL SELECT * FROM vc)"
+    + """, va AS (SELECT w.q AS id, 0.5 AS w, w.family, round(w.c / o.k, 6) AS conf FROM w JOIN o ON o.q = w.q),
+p5 AS (SELECT q, family, count(*) AS c, min(rank) AS first FROM l WHERE rank <= 5 GROUP BY ALL),
+w5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, first) AS rn FROM p5) WHERE rn = 1),
+k5 AS (SELECT q, sum(c) AS k FROM p5 GROUP BY q),
+vb AS (SELECT w5.q AS id, 0.3 AS w, family, round(c / k, 6) AS conf FROM w5 JOIN k5 USING (q)),
+u AS (SELECT label, generate_subscripts(v, 1) AS i, unnest(v) / sqrt(list_dot_product(v, v)) AS x FROM e),
+m AS (SELECT label, i, avg(x) AS x FROM u GROUP BY ALL),
+ce AS (SELECT CAST(label AS VARCHAR) AS family, list(x ORDER BY i) AS c FROM m GROUP BY label),
+cs AS (SELECT vec_id AS id, family, round(list_cosine_similarity(v, ce.c), 6) AS sim FROM e, ce),
+cr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, family) AS rn FROM cs),
+vc AS (SELECT id, 0.2 AS w, family, least(greatest(sim, 0.0), 1.0) AS conf FROM cr WHERE rn = 1),
+b AS (SELECT id, w, CASE WHEN conf >= 0.2 THEN family END AS family, conf FROM va UNION ALL SELECT id, w, CASE WHEN conf >= 0.4 THEN family END, conf FROM vb UNION ALL SELECT * FROM vc)"""
 )
 CONSENSUS = ", aw AS (SELECT id, CAST(sum(w) {only} AS DOUBLE) AS aw FROM b GROUP BY id), sc2 AS (SELECT b.id, family, round(CAST(sum(CAST(w AS DOUBLE) * conf) AS DOUBLE) / aw, 8) AS score, count(*) AS n_agree FROM b JOIN aw ON aw.id = b.id WHERE family IS NOT NULL GROUP BY b.id, family, aw), be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, family) AS rn FROM sc2) WHERE rn = 1) SELECT i.id, CASE WHEN score >= {tau} THEN family END AS family, coalesce(score, 0.0) AS score, coalesce(n_agree, 0) AS n_agree FROM (SELECT DISTINCT id FROM b) i LEFT JOIN be ON be.id = i.id"
 
@@ -118,10 +124,28 @@ def minmax_rank(spark, d):
     return g.select("p_brand", F.round(score, 6).alias("score")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), F.asc("p_brand"))))
 
 
-@query("triage", "WITH g AS (SELECT l_orderkey, max(l_discount) * 10 AS a, max(l_tax) * 12 AS b, max(l_quantity) / 50 AS c FROM lineitem GROUP BY l_orderkey), s AS (SELECT l_orderkey, CASE WHEN a >= 0.5 THEN 1 ELSE 0 END + CASE WHEN b >= 0.5 THEN 1 ELSE 0 END + CASE WHEN c >= 0.5 THEN 1 ELSE 0 END AS votes, greatest(a, b, c) AS top FROM g) SELECT l_orderkey, CAST(votes AS INTEGER) AS votes, round(votes / 3.0, 6) AS agreement, CASE WHEN votes = 3 AND top >= 0.9 THEN 'accept' WHEN votes >= 2 THEN 'review' ELSE 'defer' END AS tier FROM s")
+HEADS = "WITH g AS (SELECT l_orderkey, min(l_returnflag) AS p1, max(l_returnflag) AS p2, CASE WHEN min(l_linestatus) = 'F' THEN 'R' ELSE 'N' END AS p3, round(least(max(l_discount) * 10, 1.0), 9) AS a, round(max(l_tax) * 12, 9) AS b, round(max(l_quantity) / 50, 9) AS c FROM lineitem GROUP BY l_orderkey)"
+TIER = "CASE WHEN score > 0.35 THEN 'FLAG' WHEN score > 0.15 THEN 'WATCH' ELSE 'ACCEPT' END AS tier"
+
+
+def heads(spark: SparkSession, d: str) -> DataFrame:
+    """Three calls of each order and their confidences."""
+    li = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_returnflag").alias("p1"), F.max("l_returnflag").alias("p2"), F.min("l_linestatus").alias("s"), F.max("l_discount").alias("a"), F.max("l_tax").alias("b"), F.max("l_quantity").alias("c"))
+    return li.select("l_orderkey", "p1", "p2", F.when(F.col("s") == "F", "R").otherwise("N").alias("p3"), F.round(F.least(F.col("a") * 10, F.lit(1.0)), 9).alias("a"), F.round(F.col("b") * 12, 9).alias("b"), F.round(F.col("c") / 50, 9).alias("c"))
+
+
+@query("triage", HEADS + ", s AS (SELECT l_orderkey, (1 + 1 + CAST(p2 = p1 AS INTEGER) + CAST(p3 = p1 AS INTEGER)) / 4.0::DOUBLE AS agreement, (a + b + c) / 3 AS conf, greatest(a, b, c) AS top FROM g), x AS (SELECT l_orderkey, agreement, round(0.40::DOUBLE * (1 - agreement) + 0.35::DOUBLE * (1 - conf) + 0.25::DOUBLE * least(greatest(top - conf, 0), 1), 9) AS score FROM s) SELECT l_orderkey, agreement, round(score, 6) AS score, " + TIER + " FROM x")
 def triage(spark, d):
-    g = t(spark, d, "lineitem").groupBy("l_orderkey").agg((F.max("l_discount") * 10).alias("a"), (F.max("l_tax") * 12).alias("b"), (F.max("l_quantity") / 50).alias("c"))
-    votes = sum((F.when(F.col(c) >= 0.5, 1).otherwise(0) for c in "abc"), F.lit(0))
-    s = g.withColumn("votes", votes).withColumn("top", F.greatest("a", "b", "c"))
-    tier = F.when((F.col("votes") == 3) & (F.col("top") >= 0.9), "accept").when(F.col("votes") >= 2, "review").otherwise("defer")
-    return s.select("l_orderkey", "votes", F.round(F.col("votes") / 3.0, 6).alias("agreement"), tier.alias("tier"))
+    """Four votes: three heads and the call itself, which follows the first head."""
+    h = heads(spark, d)
+    agree = (2 + (F.col("p2") == F.col("p1")).cast("int") + (F.col("p3") == F.col("p1")).cast("int")) / 4.0
+    x = h.select("l_orderkey", agree.alias("agreement"), E.triage(agree, (F.col("a") + F.col("b") + F.col("c")) / 3, F.col("a"), F.col("b"), F.col("c")).alias("t"))
+    return x.select("l_orderkey", "agreement", F.round("t.score", 6).alias("score"), "t.tier")
+
+
+@query("triage_majority", HEADS + ", s AS (SELECT l_orderkey, greatest(1 + CAST(p2 = p1 AS INTEGER) + CAST(p3 = p1 AS INTEGER), 1 + CAST(p2 = p3 AS INTEGER)) AS n, a AS conf, greatest(a, b, c) AS top FROM g), x AS (SELECT l_orderkey, n, round(0.40::DOUBLE * (1 - n / 3.0::DOUBLE) + 0.35::DOUBLE * (1 - conf) + 0.25::DOUBLE * least(greatest(top - conf, 0), 1), 9) AS score FROM s) SELECT l_orderkey, n AS n_majority, round(score, 6) AS score, " + TIER + " FROM x")
+def triage_majority(spark, d):
+    """Three heads; the share of the majority counts, and the first head's confidence stands for the call's."""
+    h = heads(spark, d).withColumn("n", E.majority(F.col("p1"), F.col("p2"), F.col("p3")))
+    x = h.select("l_orderkey", F.col("n").alias("n_majority"), E.triage(F.col("n") / 3.0, F.col("a"), F.col("a"), F.col("b"), F.col("c")).alias("t"))
+    return x.select("l_orderkey", "n_majority", F.round("t.score", 6).alias("score"), "t.tier")

@@ -39,7 +39,8 @@ def gff3(spark: SparkSession, path: str) -> DataFrame:
     last = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != F.trim(F.substring_index(x, "=", 1))), F.create_map(F.trim(F.substring_index(x, "=", 1)), decode(F.substr(x, F.instr(x, "=") + 1)))))
     out = rows.select("path", "pos", F.get(c, F.lit(0)).alias("contig"), F.get(c, F.lit(2)).alias("feature_type"), F.get(c, F.lit(3)).try_cast("int").alias("start"), F.get(c, F.lit(4)).try_cast("int").alias("end"), F.when(F.get(c, F.lit(6)).isin("+", "-"), F.get(c, F.lit(6))).alias("strand"), last.alias("attributes"))
     out = out.filter("start is not null and end is not null")
-    key = F.coalesce(F.try_element_at("attributes", F.lit("locus_tag")), F.try_element_at("attributes", F.lit("ID")), F.concat_ws("", "contig", F.lit(":"), "start", F.lit("-"), "end"))
+    named = lambda k: F.nullif(F.try_element_at("attributes", F.lit(k)), F.lit(""))
+    key = F.coalesce(named("locus_tag"), named("ID"), F.concat_ws("", "contig", F.lit(":"), "start", F.lit("-"), "end"))
     return out.withColumn("gene_key", key).withColumn("product", F.try_element_at("attributes", F.lit("product"))).withColumn("length", F.col("end") - F.col("start") + 1)
 
 

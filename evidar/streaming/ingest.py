@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEDGER = "source string, checksum string, release long"
+LEDGER = "source string, checksum string, release long, run string"
 
 
 def signature(files: DataFrame) -> DataFrame:
@@ -21,36 +24,60 @@ def read_ledger(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(f"{root}/ledger")
 
 
-def ingest(spark: SparkSession, rows: DataFrame, sources: DataFrame, root: str, release: int) -> int:
-    """Appends the rows of sources whose checksum is not known, as one release; returns how many sources it took.
+def ingest(spark: SparkSession, rows: DataFrame, sources: DataFrame, root: str, run: str | None = None) -> int:
+    """Appends the rows of sources whose checksum is not known, as one new release; returns how many sources it took.
 
     ``rows`` has a column source, ``sources`` is (source, checksum).  A changed
-    source becomes a new version beside the old one.  The rows of a release go
-    to a folder of their own, which a replay overwrites, and the ledger is
-    written last: a release that fails leaves no trace a reader would see.
+    source becomes a new version beside the old one, which stays.  The release
+    is the ledger's highest and one.  The rows go to a folder named by ``run``,
+    and the ledger is written last: what a failed run has left is in no ledger,
+    so no reader sees it, and the same run writes it anew.  A run that the
+    ledger knows is not taken again.  One writer at a time.
     """
-    new = sources.join(read_ledger(spark, root), ["source", "checksum"], "left_anti").withColumn("release", F.lit(release).cast("long")).select("source", "checksum", "release")
-    taken = new.count()
-    if taken:
-        rows.join(new.select("source", "release"), "source").write.mode("overwrite").parquet(f"{root}/rows/part_release={release}")
-        new.write.mode("append").parquet(f"{root}/ledger")
+    run = run or uuid.uuid4().hex
+    ledger = read_ledger(spark, root)
+    if ledger.filter(F.col("run") == run).limit(1).count():
+        return 0
+    release = (ledger.agg(F.max("release")).first()[0] or 0) + 1
+    new = sources.join(ledger, ["source", "checksum"], "left_anti").select("source", "checksum", F.lit(release).cast("long").alias("release"), F.lit(run).alias("run")).persist()
+    try:
+        taken = new.count()
+        if taken:
+            rows.join(new.select("source", "release"), "source").write.mode("overwrite").parquet(f"{root}/rows/part_run={run}")
+            new.write.mode("append").parquet(f"{root}/ledger")
+    finally:
+        new.unpersist()
     return taken
 
 
+def versions(spark: SparkSession, root: str) -> DataFrame:
+    """All rows of every release that the ledger lists."""
+    known = read_ledger(spark, root).select("source", "release", F.col("run").alias("part_run"))
+    return spark.read.parquet(f"{root}/rows").join(known, ["source", "release", "part_run"], "left_semi").drop("part_run")
+
+
 def current(spark: SparkSession, root: str) -> DataFrame:
     """The rows of each source's newest release."""
     newest = read_ledger(spark, root).groupBy("source").agg(F.max("release").alias("release"))
-    return spark.read.parquet(f"{root}/rows").drop("part_release").join(newest, ["source", "release"], "left_semi")
+    return versions(spark, root).join(newest, ["source", "release"], "left_semi")
 
 
-def ingest_stream(spark: SparkSession, incoming: str, schema: str, root: str) -> None:
-    """Takes all new files of a folder in one go; a file is a source, its rows are its content."""
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(incoming).withColumn("source", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+def ingest_stream(spark: SparkSession, incoming: str, schema: str, root: str, source: Callable[[Column], Column] = lambda path: path) -> None:
+    """Takes all new files of a folder in one go; a file is a source, its rows are its content.
+
+    ``source`` names a source by its path: by default files of equal names in
+    different folders are different sources.
+    """
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(incoming).withColumn("source", source(F.col("_metadata.file_path")))
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        data = batch.columns[:-1]
-        sums = batch.groupBy("source").agg(F.sha2(F.concat_ws(",", F.count("*"), F.sum(F.xxhash64(*data).cast("decimal(38,0)"))).cast("binary"), 256).alias("checksum"))
-        ingest(spark, batch, sums, root, batch_id + 1)
+        batch = batch.persist()
+        try:
+            data = batch.columns[:-1]
+            sums = batch.groupBy("source").agg(F.sha2(F.concat_ws(",", F.count("*"), F.sum(F.xxhash64(*data).cast("decimal(38,0)"))).cast("binary"), 256).alias("checksum"))
+            ingest(spark, batch, sums, root, f"stream-{batch_id}")
+        finally:
+            batch.unpersist()
 
     stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{root}/stream").trigger(availableNow=True).start().awaitTermination()
 

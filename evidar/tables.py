@@ -1,7 +1,10 @@
-"""Sessions and table access."""
+"""Sessions, table access and scratch folders."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,3 +18,13 @@ def session(app: str = "evidar", **conf: str) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or a temporary one in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="evidar-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

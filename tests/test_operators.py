@@ -27,11 +27,21 @@ def test_null_tokens_differ_by_dialect(spark):
 
 
 def test_sequence_functions(spark):
-    assert one(spark, lambda c: A.sequons(c), c="NASNNTSA") >= one(spark, lambda c: A.sequons(c, False), c="NASNNTSA")
+    assert one(spark, lambda c: A.sequons(c), c="NASNNTS") == 3 and one(spark, lambda c: A.sequons(c, False), c="NASNNTS") == 2
+    assert one(spark, lambda c: A.sequons(c), c="NPSNAT") == 1
     assert one(spark, lambda c: A.sanitized(c), c="mkU*") == "MKX"
     assert one(spark, lambda c: A.wrapped(c, 3), c="abcdefg") == "abc\ndef\ng"
     assert abs(one(spark, lambda c: A.gravy(c), c="AR") - (1.8 - 4.5) / 2) < 1e-9
-    assert one(spark, lambda c: A.signal_window(c, width=3, least=4.0), c="AAAIIIA") == 3
+    assert one(spark, lambda c: A.signal_window(c, width=3), c="AAAIIIAIII").asDict() == {"start": 4, "mean": 4.5}
+    assert one(spark, lambda c: A.signal_window(c), c="AAX") is None and one(spark, lambda c: A.has_signal(c), c="AA") is False
+    # The best window counts, and it starts too late here, though one before it would be high enough.
+    assert one(spark, lambda c: A.has_signal(c), c="M" + "A" * 15 + "I" * 9) is False and one(spark, lambda c: A.has_signal(c), c="MK" + "I" * 9) is True
+    assert one(spark, lambda a, b: A.ec_agreement(a, b), a="EC:3.2.1.4", b="3.2.1.4") == "exact"
+    assert one(spark, lambda a, b: A.ec_agreement(a, b), a="", b="3.2.1.4") == "incomparable" and one(spark, lambda a, b: A.ec_agreement(a, b), a="-", b="3.2") == "different"
+    assert one(spark, lambda c: A.confidence_band(c.try_cast("double")), c="x") is None and one(spark, lambda c: A.confidence_band(c), c=0.05) == "LOW"
+    assert one(spark, lambda c: A.location(c, F.lit(1234), F.lit(5678), F.lit(None).cast("string")), c="c1") == "c1:1,234-5,678 (.)"
+    assert one(spark, lambda c: A.family_link(c), c="gh5_4").endswith("/gh5_4.html") and one(spark, lambda c: A.family_link(c), c="dockerin1") and one(spark, lambda c: A.family_link(c), c="PF1") is None
+    assert one(spark, lambda c: A.resistance_link(c), c="aro:3000001").endswith("/3000001") and one(spark, lambda c: A.signature_link(c, F.lit("G3D:1")), c="Gene3D").endswith("/cathgene3d/G3D:1/")
     assert one(spark, lambda a, b: A.ec_agreement(a, b), a="3.2.1.4", b="3.2.1.8") == "class3"
 
 
@@ -111,3 +121,36 @@ def test_sampling_does_not_depend_on_partitions(spark):
     assert sorted(r["id"] for r in a) == sorted(r["id"] for r in b) and len(a) == 30
     assert folds.quota_sample(df, "g", "id", {}, 20, "s").count() == 20
     assert sorted(spark.range(1).select(folds.shuffled_letters(F.lit("AABC")).alias("x")).first()["x"]) == list("AABC")
+
+
+def test_containing_finds_items_of_any_length(spark):
+    from evidar.operators import search
+
+    texts = ["a b c d e f, g", "xa b c", "one", " lead word here", "", "the whole thing in one", "aXb cYd"]
+    items = ["a b c d e f", "b", "", "a b", " lead", "one", "n", "X", "b c", None, "word here", "e whole thing in on"]
+    docs = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string")
+    its = spark.createDataFrame([*enumerate(items), (50, "one")], "item_id long, text string")
+    for block in (5, 10_000):
+        got = sorted(map(tuple, search.containing(docs, its, "doc_id", "item_id", block=block).collect()))
+        assert got == sorted((i, j) for i, t in enumerate(texts) for j, x in [*enumerate(items), (50, "one")] if x is not None and x in t)
+
+
+def test_folds_at_islands_equal_folds_of_whole_keys(spark):
+    rng = random.Random(5)
+    rows = [(rng.randint(0, 2), i, s := rng.randint(0, 3000), s + rng.randint(0, 60), rng.random()) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, i int, s int, e int, w double")
+    kept, lanes = set(), {}
+    for k in range(3):
+        own, ends = [], []
+        for _, i, s, e, w in sorted((r for r in rows if r[0] == k), key=lambda r: (r[4], r[1])):
+            if all(min(e, y) - max(s, x) + 1 <= 0.5 * min(e - s + 1, y - x + 1) for x, y in own):
+                own.append((s, e))
+                kept.add(i)
+        for _, i, s, e, w in sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[1])):
+            lane = next((n for n, x in enumerate(ends) if s > x + 8), len(ends))
+            ends[lane : lane + 1] = [e]
+            lanes[i] = lane
+    assert {r["i"] for r in folds.resolve_overlaps(df, "k", "i", "s", "e", "w").collect()} == kept
+    assert {r["i"]: r["lane"] for r in folds.pack_lanes(df, "k", "i", "s", "e").collect()} == lanes
+    touching = spark.createDataFrame([(1, 1, 0, 10), (1, 2, 18, 20), (1, 3, 19, 30)], "k int, i int, s int, e int")
+    assert {r["i"]: r["lane"] for r in folds.pack_lanes(touching, "k", "i", "s", "e").collect()} == {1: 0, 2: 1, 3: 0}

@@ -58,19 +58,32 @@ def test_ingest_is_idempotent_and_versioned(spark, tmp_path):
     root = str(tmp_path / "wh")
     rows = spark.createDataFrame([("s1", 1), ("s2", 2)], "source string, x int")
     sums = spark.createDataFrame([("s1", "a"), ("s2", "b")], "source string, checksum string")
-    assert ingest.ingest(spark, rows, sums, root, 1) == 2
-    assert ingest.ingest(spark, rows, sums, root, 2) == 0
+    assert ingest.ingest(spark, rows, sums, root, "r1") == 2
+    assert ingest.ingest(spark, rows, sums, root) == 0
     changed = spark.createDataFrame([("s1", "c"), ("s2", "b")], "source string, checksum string")
-    assert ingest.ingest(spark, rows.withColumn("x", F.col("x") + 10), changed, root, 3) == 1
-    assert sorted((r["source"], r["x"], r["release"]) for r in ingest.current(spark, root).collect()) == [("s1", 11, 3), ("s2", 2, 1)]
+    assert ingest.ingest(spark, rows.withColumn("x", F.col("x") + 10), changed, root) == 1
+    assert sorted((r["source"], r["x"], r["release"]) for r in ingest.current(spark, root).collect()) == [("s1", 11, 2), ("s2", 2, 1)]
+    assert ingest.versions(spark, root).count() == 3
+    # A run that is known is not taken again, and another source never hides one that is there.
+    assert ingest.ingest(spark, rows.withColumn("x", F.lit(0)), changed.withColumn("checksum", F.lit("z")), root, "r1") == 0
+    assert ingest.ingest(spark, rows.withColumn("source", F.lit("s3")), spark.createDataFrame([("s3", "q")], "source string, checksum string"), root) == 1
+    assert {r["source"] for r in ingest.current(spark, root).collect()} == {"s1", "s2", "s3"}
+    # What a failed run left behind is in no ledger.
+    rows.withColumn("release", F.lit(9).cast("long")).write.parquet(f"{root}/rows/part_run=broken")
+    assert ingest.current(spark, root).count() == 4
 
 
 def test_stream_takes_each_file_once(spark, tmp_path):
     incoming, root = str(tmp_path / "in"), str(tmp_path / "wh")
-    spark.range(5).coalesce(1).write.parquet(incoming)
+    spark.range(5).coalesce(1).write.parquet(f"{incoming}/a")
     ingest.ingest_stream(spark, incoming, "id long", root)
     ingest.ingest_stream(spark, incoming, "id long", root)
     assert ingest.current(spark, root).count() == 5
-    spark.range(5, 8).coalesce(1).write.mode("append").parquet(incoming)
+    # A batch beside the stream, and a file of the same name in another folder.
+    assert ingest.ingest(spark, spark.createDataFrame([("x", 100)], "source string, id long"), spark.createDataFrame([("x", "1")], "source string, checksum string"), root) == 1
+    name = next(f.name for f in (tmp_path / "in" / "a").iterdir() if f.name.endswith(".parquet"))
+    (tmp_path / "in" / "b").mkdir()
+    spark.range(5, 8).coalesce(1).write.parquet(str(tmp_path / "other"))
+    next((tmp_path / "other").glob("*.parquet")).rename(tmp_path / "in" / "b" / name)
     ingest.ingest_stream(spark, incoming, "id long", root)
-    assert ingest.current(spark, root).count() == 8 and ingest.read_ledger(spark, root).count() == 2
+    assert ingest.current(spark, root).count() == 9 and ingest.read_ledger(spark, root).count() == 3
