@@ -107,3 +107,8 @@ def shuffled_letters(sequence: Column, seed: str = "0") -> Column:
     letters = F.filter(F.split(sequence, ""), lambda x: x != "")
     drawn = F.transform(letters, lambda x, i: F.struct(F.md5(F.concat_ws("|", F.lit(seed), i, sequence)).alias("k"), x.alias("x")))
     return F.array_join(F.transform(F.array_sort(drawn), lambda p: p["x"]), "")
+
+
+def first_per_class(df: DataFrame, class_: str, order: str, limit: int) -> DataFrame:
+    """The first row of each class in order, and the first ``limit`` classes."""
+    return first_by(df, [class_], F.asc(order)).orderBy(class_).limit(limit)

@@ -91,3 +91,71 @@ def confusion(df: DataFrame, truth: str, predicted: str, support: int) -> DataFr
     for c in ("t", "p"):
         named = named.join(enough.select(F.col("k").alias(c), F.lit(1).alias("_ok")), c, "left").withColumn(c, F.when(F.col("_ok").isNull(), "other").otherwise(F.col(c).cast("string"))).drop("_ok")
     return named.groupBy(F.col("t").alias("truth"), F.col("p").alias("predicted")).agg(F.count("*").alias("n"))
+
+
+def threshold_grid(df: DataFrame, bucket: str, confidence: str, exact: Column, overlap: Column, thresholds: list[float]) -> DataFrame:
+    """Per bucket, and overall, at each threshold: confident and abstaining rows, and how many of all and of the confident are right."""
+    named = df.select(F.explode(F.array(F.lit("overall"), F.col(bucket))).alias("bucket"), F.col(confidence).alias("c"), exact.alias("x"), overlap.alias("o"))
+    each = named.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    sure = F.col("c") >= F.col("threshold")
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    g = each.groupBy("bucket", "threshold").agg(F.count("*").alias("n"), count(sure).alias("confident"), count(sure & F.col("x")).alias("n_x"), count(sure & F.col("o")).alias("n_o"))
+    part = lambda a, b: F.coalesce(F.round(F.try_divide(a, b), 4), F.lit(0.0))
+    return g.select("bucket", "threshold", "n", "confident", part(F.col("n") - F.col("confident"), F.col("n")).alias("abstain_share"), part(F.col("n_x"), F.col("confident")).alias("exact_of_confident"), part(F.col("n_o"), F.col("confident")).alias("overlap_of_confident"), part(F.col("n_x"), F.col("n")).alias("exact_of_all"), part(F.col("n_o"), F.col("n")).alias("overlap_of_all"))
+
+
+def menu(calls: DataFrame, id_: str, family: str, confidence: str) -> DataFrame:
+    """(id, menu): each family that a head calls, with its highest confidence."""
+    best = calls.filter(F.col(family).isNotNull()).groupBy(id_, family).agg(F.max(confidence).alias("c"))
+    return best.groupBy(id_).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(family, "c")))).alias("menu"))
+
+
+def prediction_set(menu: Column, quantile: float | Column) -> Column:
+    """The families whose nonconformity is within the quantile."""
+    q = quantile if isinstance(quantile, Column) else F.lit(quantile)
+    return F.map_keys(F.map_filter(menu, lambda _, c: F.round(1 - c, 9) <= q))
+
+
+def energy(df: DataFrame, directions: dict[str, int], fitted_on: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``energy``: the mean of signals scaled by their range, those of direction -1 turned round.
+
+    The ranges come from ``fitted_on`` (one row is broadcast); values outside
+    go beyond 0 and 1.  A signal that does not vary is scaled by 1.
+    """
+    source = df if fitted_on is None else fitted_on
+    ends = source.agg(*[f(c).alias(f"_{c}_{k}") for c in directions for k, f in (("lo", F.min), ("hi", F.max))])
+    part = {c: (F.col(c) - F.col(f"_{c}_lo")) / F.when(F.col(f"_{c}_hi") > F.col(f"_{c}_lo"), F.col(f"_{c}_hi") - F.col(f"_{c}_lo")).otherwise(1.0) for c in directions}
+    total = sum((part[c] if way > 0 else 1 - part[c] for c, way in directions.items()), F.lit(0.0))
+    return df.join(F.broadcast(ends)).withColumn("energy", total / len(directions)).select(*df.columns, "energy")
+
+
+def modal(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, top, share): the most frequent value of each key, the first by name of equals, and its share of the key's rows."""
+    n = df.groupBy(key, value).agg(F.count("*").alias("n"))
+    g = n.groupBy(key).agg(F.max(F.col("n")).alias("m"), F.sum("n").alias("all"), F.min(F.struct((-F.col("n")).alias("o"), F.col(value).alias("v"))).alias("x"))
+    return g.select(key, F.col("x.v").alias("top"), (F.col("m") / F.col("all")).alias("share"))
+
+
+def class_accuracy(df: DataFrame, label: str, exact: Column, overlap: Column, kind: str, support: int = 5) -> DataFrame:
+    """Per class of enough support: rows, shares that are right, and its kind, or "mixed"."""
+    g = df.groupBy(label).agg(F.count("*").alias("n"), F.avg(exact.cast("double")).alias("exact"), F.avg(overlap.cast("double")).alias("overlap"), F.when(F.min(kind) == F.max(kind), F.min(kind)).otherwise("mixed").alias("kind"))
+    return g.filter(F.col("n") >= support)
+
+
+def summary(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Per key: rows, mean, and percentiles by linear interpolation."""
+    return df.groupBy(key).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), *[F.round(F.percentile(value, F.lit(p)), 6).alias(name) for name, p in shares.items()])
+
+
+def mean_of_available(*parts: Column) -> Column:
+    """The mean of the parts that are there; 0 where none is."""
+    have = F.filter(F.array(*parts), lambda x: x.isNotNull())
+    return F.when(F.size(have) > 0, F.aggregate(have, F.lit(0.0), lambda a, x: a + x) / F.size(have)).otherwise(0.0)
+
+
+def top_with_other(df: DataFrame, column: str, n: int) -> DataFrame:
+    """(column, n) of the n most frequent values, ties by name, and of the rest together as "other"."""
+    counts = df.groupBy(column).agg(F.count("*").alias("n"))
+    top = counts.filter(F.col(column).isNotNull()).orderBy(F.desc("n"), F.asc(column)).limit(n).select(column, F.lit(True).alias("_top"))
+    named = counts.join(F.broadcast(top), column, "left").withColumn(column, F.when(F.col("_top"), F.col(column)).otherwise("other"))  # n rows
+    return named.groupBy(column).agg(F.sum("n").alias("n"))

@@ -67,3 +67,13 @@ def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """One row: how many rows of ``left`` meet a row of ``right``, and how many meet none."""
     flag = left.join(right.select(key).distinct().withColumn("_hit", F.lit(1)), key, "left")
     return flag.agg(F.count("_hit").alias("matched"), F.sum(F.when(F.col("_hit").isNull(), 1).otherwise(0)).cast("long").alias("unmatched"))
+
+
+def sort_key(allowed: dict[str, list[Column]], key: str) -> list[Column]:
+    """The order that an allow-list has for a key; for any other key its first one."""
+    return allowed.get(key) or next(iter(allowed.values()))
+
+
+def extents(df: DataFrame, key: str, end: str) -> DataFrame:
+    """(key, n, region_start, region_end) of each key: from 1 to the last end on it."""
+    return df.groupBy(key).agg(F.count("*").alias("n"), F.lit(1).alias("region_start"), F.max(end).alias("region_end"))
