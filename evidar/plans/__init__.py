@@ -1,4 +1,4 @@
 """Named queries; importing the package registers them."""
 
-from . import browse, evaluation, evidence, merging, reading  # noqa: F401
+from . import browse, evaluation, evidence, merging, reading, reading_files  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.annotation import cleaned, families_in_cell, whole
+from ..operators.relational import first_by
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, pos, line) of each file; whole files, for order within a file has meaning."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    return files.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    """(path, pos, line) of each file; ``pos`` orders the lines of a file, which is read in splits."""
+    pos = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), pos.alias("pos"), F.rtrim("value", F.lit("\r")).alias("line"))
 
 
 def delimited(spark: SparkSession, path: str, sep: str = "\t", header: bool = True) -> DataFrame:
@@ -45,12 +46,19 @@ def gff3(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(path, id, sequence); lines join, repeated ids of a file concatenate in order, empty ones go."""
-    records = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"(?m)^>")).alias("pos", "r")).filter("pos > 0")
+    """(path, id, header, sequence); lines join, repeated ids of a file concatenate in order, empty ones go.
+
+    A record ends where a line begins with ">", so a file is read in splits.
+    What stands before the first header of a file is left out.
+    """
+    pos = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("path"), pos.alias("pos"), F.col("value").alias("r"))
+    first = records.groupBy("path").agg(F.min("pos").alias("first"))
+    records = records.join(first, "path").filter((F.col("pos") != F.col("first")) | F.col("r").startswith(">")).withColumn("r", F.when(F.col("pos") == F.col("first"), F.substring("r", 2, 1 << 30)).otherwise(F.col("r")))
     head, body = F.substring_index("r", "\n", 1), F.regexp_replace(F.substr("r", F.instr("r", "\n") + 1), r"\s", "")
     body = F.when(F.instr("r", "\n") > 0, body).otherwise("")
-    one = records.select("path", "pos", F.regexp_extract(head, r"^\s*(\S+)", 1).alias("id"), body.alias("s"))
-    whole_ = one.groupBy("path", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), "").alias("sequence"))
+    one = records.select("path", "pos", F.regexp_extract(head, r"^\s*(\S+)", 1).alias("id"), F.trim(F.rtrim(head, F.lit("\r"))).alias("header"), body.alias("s"))
+    whole_ = one.groupBy("path", "id").agg(F.min_by("header", "pos").alias("header"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), "").alias("sequence"))
     return whole_.filter("id <> '' and sequence <> ''")
 
 
@@ -89,8 +97,8 @@ def substrates(spark: SparkSession, path: str) -> DataFrame:
     """(cluster_key, substrate, score); the last row of a cluster counts."""
     c = F.split("line", "\t")
     rows = lines(spark, path).filter("line <> ''").select("path", "pos", c.alias("c"))
-    head = rows.filter("pos = 0").select("path", F.transform("c", lambda x: F.lower(F.ltrim(x, F.lit("#")))).alias("h"))
-    j = rows.filter("pos > 0").join(head, "path")
+    head = rows.groupBy("path").agg(F.min("pos").alias("top"), F.min_by("c", "pos").alias("h")).select("path", "top", F.transform("h", lambda x: F.lower(F.ltrim(x, F.lit("#")))).alias("h"))
+    j = rows.join(head, "path").filter("pos <> top")
     place = lambda n: F.array_position(F.transform("h", lambda x: x.contains(n)), F.lit(True)).cast("int") - 1
     got = lambda n: F.when(place(n) >= 0, F.get("c", place(n)))
     named = j.select("path", "pos", F.trim(got("cluster")).alias("cluster_key"), cleaned(got("substrate"), "substrate").alias("substrate"), got("score").try_cast("double").alias("score"))
@@ -108,26 +116,193 @@ def resistance(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("sample", F.substring_index(F.element_at(F.split("file", "/"), -1), ".", 1)).drop("file")
 
 
-def predictions(spark: SparkSession, path: str, id_: str = "protein_id", family: str = "family", confidence: str = "confidence") -> DataFrame:
-    """(protein_id, family, confidence, extra): columns by name, the others as a map; rows that abstain are left out."""
+def predictions(spark: SparkSession, path: str, id_: str = "protein_id", family: str = "family", confidence: str = "confidence", abstentions: bool = False) -> DataFrame:
+    """(protein_id, family, confidence, extra): columns by name, the others as a map.
+
+    Rows without a family abstain and are left out, unless ``abstentions`` asks
+    for them; rows without an id always go.
+    """
     df = delimited(spark, path)
+    if id_ not in df.columns:
+        raise ValueError(f"{path}: no column {id_} among {df.columns}")
     rest = [c for c in df.columns if c not in (id_, family, confidence)]
     extra = F.map_filter(F.create_map(*[x for c in rest for x in (F.lit(c), cleaned(F.col(f"`{c}`"), "advanced"))]), lambda _, v: v.isNotNull()) if rest else F.create_map().cast("map<string,string>")
     conf = cleaned(F.col(f"`{confidence}`"), "advanced").try_cast("double") if confidence in df.columns else F.lit(None).cast("double")
-    return df.select(cleaned(F.col(f"`{id_}`"), "advanced").alias("protein_id"), cleaned(F.col(f"`{family}`"), "advanced").alias("family"), conf.alias("confidence"), extra.alias("extra")).filter("protein_id is not null and family is not null")
+    fam = cleaned(F.col(f"`{family}`"), "advanced") if family in df.columns else F.lit(None).cast("string")
+    out = df.select(cleaned(F.col(f"`{id_}`"), "advanced").alias("protein_id"), fam.alias("family"), conf.alias("confidence"), extra.alias("extra")).filter("protein_id is not null")
+    return out if abstentions else out.filter("family is not null")
+
 
+def profile_hits(spark: SparkSession, path: str, e_value: float | None = 1e-15, coverage: float | None = 0.35, query_is_profile: bool = True, coordinates: str = "envelope") -> DataFrame:
+    """Whitespace-separated profile search output.
 
-def profile_hits(spark: SparkSession, path: str, e_value: float = 1e-15, coverage: float = 0.35) -> DataFrame:
-    """Whitespace-separated profile search output, filtered by e-value and by the share of the profile that is covered."""
+    The searched profile is the query (its length in column 5) or the target
+    (column 2); coordinates on the sequence are those of the envelope or of the
+    alignment.  Without limits every hit is returned.
+    """
     c = F.split(F.trim("line"), r"\s+")
     rows = lines(spark, path).filter(~F.col("line").startswith("#") & (F.size(c) >= 22)).select("path", "pos", c.alias("c"))
     num = lambda i: F.get("c", F.lit(i)).try_cast("double")
-    cov = (num(16) - num(15) + 1) / num(2)
-    out = rows.select("path", "pos", F.get("c", F.lit(0)).alias("profile"), F.get("c", F.lit(3)).alias("protein_id"), num(12).alias("i_evalue"), num(13).alias("score"), num(19).cast("int").alias("start"), num(20).cast("int").alias("end"), cov.alias("coverage"))
-    return out.filter((F.col("i_evalue") <= e_value) & (F.col("coverage") >= coverage))
+    at = {"envelope": 19, "alignment": 17}[coordinates]
+    profile, protein, length = (3, 0, 5) if query_is_profile else (0, 3, 2)
+    cov = (num(16) - num(15) + 1) / F.greatest(num(length), F.lit(1.0))
+    out = rows.select("path", "pos", F.get("c", F.lit(profile)).alias("profile"), F.get("c", F.lit(profile + 1)).alias("accession"), F.get("c", F.lit(protein)).alias("protein_id"), num(12).alias("i_evalue"), num(13).alias("score"), num(at).cast("int").alias("start"), num(at + 1).cast("int").alias("end"), cov.alias("coverage"))
+    out = out.filter("i_evalue is not null and start is not null and end is not null")
+    if e_value is not None:
+        out = out.filter(F.col("i_evalue") <= e_value)
+    return out if coverage is None else out.filter(F.col("coverage") >= coverage)
 
 
 def embeddings(df: DataFrame, vector: Column) -> DataFrame:
     """``df`` with unit vectors in double precision; a zero vector stays."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return df.withColumn("_n", F.when(norm == 0, 1.0).otherwise(norm)).withColumn("unit", F.transform(vector, lambda x: x.cast("double") / F.col("_n"))).drop("_n")
+
+
+def samples(spark: SparkSession, root: str) -> DataFrame:
+    """(sample, overview, gff) of a result folder: samples by their overview table, joined with those that have coordinates."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    over = files.filter(F.col("path").rlike("/cazyme/dbcan/cazyme_annotation/[^/]+_overview[.]tsv$")).select(F.regexp_extract("path", "/([^/]+)_overview[.]tsv$", 1).alias("sample"), F.col("path").alias("overview"))
+    gff = files.filter(F.col("path").rlike("/annotation/prokka/.*[.]gff$")).select(F.regexp_extract("path", "/([^/]+)/[^/]+[.]gff$", 1).alias("sample"), "path")
+    own = F.when(F.regexp_extract("path", "/([^/]+)[.]gff$", 1) == F.col("sample"), 0).otherwise(1)
+    best = gff.groupBy("sample").agg(F.min(F.struct(F.when(F.col("path").contains("/prokka/all/"), 0).otherwise(1).alias("a"), own.alias("b"), "path"))["path"].alias("gff"))
+    return over.join(best, "sample", "full").orderBy("sample")
+
+
+def manifest(spark: SparkSession, path: str, tools: list[str]) -> DataFrame:
+    """(base, sample_key, kind, tool, feature_type, path, id_col, family_col, confidence_col): a row for each file of a manifest; a tool that is not known is an error."""
+    text = "string"
+    prediction = f"array<struct<tool:{text},path:{text},id_col:{text},family_col:{text},confidence_col:{text}>>"
+    feature = f"array<struct<tool:{text},path:{text},feature_type:{text}>>"
+    m = spark.read.schema(f"samples array<struct<sample_key:string,cazyme_predictions:{prediction},protein_features:{feature}>>").json(path, multiLine=True)
+    s = m.select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("base"), F.explode("samples").alias("s"))
+    p = s.select("base", "s.sample_key", F.lit("prediction").alias("kind"), F.explode("s.cazyme_predictions").alias("f")).select("base", "sample_key", "kind", "f.tool", F.lit(None).cast("string").alias("feature_type"), "f.path", "f.id_col", "f.family_col", "f.confidence_col")
+    known = F.col("tool").isin(*tools)
+    p = p.withColumn("tool", F.when(known, F.col("tool")).otherwise(F.raise_error(F.concat(F.lit("unknown tool "), F.coalesce("tool", F.lit("null"))))))
+    none = F.lit(None).cast("string")
+    f = s.select("base", "s.sample_key", F.lit("feature").alias("kind"), F.explode("s.protein_features").alias("f")).select("base", "sample_key", "kind", "f.tool", "f.feature_type", "f.path", none.alias("id_col"), none.alias("family_col"), none.alias("confidence_col"))
+    return p.unionByName(f).withColumn("path", F.concat_ws("/", "base", "path"))
+
+
+#: By type of feature: columns for label, score, start, end and path, and columns that join the attributes.  A label after "=" is a constant.
+FEATURES: dict[str, tuple[dict[str, str], list[str]]] = {
+    "signal_peptide": ({"label": "prediction", "score": "sp_prob", "end": "cs_position"}, []),
+    "tm_topology": ({"label": "prediction", "score": "n_tm"}, ["topology"]),
+    "structure": ({"label": "source", "score": "plddt", "path": "path"}, ["length", "source"]),
+    "domain": ({"label": "name", "score": "score", "start": "start", "end": "end"}, ["acc", "evalue"]),
+    "structure_hit": ({"label": "target_family", "score": "tmscore"}, ["target", "prob", "lddt", "evalue"]),
+    "localization": ({"label": "localization", "score": "confidence"}, ["method"]),
+    "physicochem": ({"label": "=physicochem", "score": "mw_da"}, ["pi", "instability", "gravy", "aromaticity"]),
+    "ec_prediction": ({"label": "ec_number", "score": "confidence"}, ["rank"]),
+}
+
+
+def features(spark: SparkSession, path: str, feature_type: str, tool: str) -> DataFrame:
+    """(protein_id, feature_type, tool, label, score, start, end, structure_path, attributes) of a feature table.
+
+    Attributes are the JSON object of ``extra``, a map of texts, and the type's
+    own columns over it.  Of a type that is not known the whole row is kept as
+    attributes.
+    """
+    df = delimited(spark, path)
+    cell = lambda c: cleaned(F.col(f"`{c}`"), "advanced") if c in df.columns else F.lit(None).cast("string")
+    known = feature_type in FEATURES
+    fields, more = FEATURES.get(feature_type, ({}, df.columns))
+    own = F.map_filter(F.create_map(*[x for c in more for x in (F.lit(c), cell(c))]), lambda _, v: v.isNotNull()) if more else F.create_map().cast("map<string,string>")
+    extra = F.coalesce(F.from_json(cell("extra"), "map<string,string>"), F.create_map().cast("map<string,string>")) if known else F.create_map().cast("map<string,string>")
+    kept = F.map_filter(extra, lambda k, _: ~F.map_contains_key(own, k))
+
+    def of(name: str):
+        c = fields.get(name)
+        return F.lit(None).cast("string") if c is None else F.lit(c[1:]) if c.startswith("=") else cell(c)
+
+    out = df.select(cell("protein_id").alias("protein_id"), F.lit(feature_type).alias("feature_type"), F.lit(tool).alias("tool"), of("label").alias("label"), of("score").try_cast("double").alias("score"), whole(of("start")).alias("start"), whole(of("end")).alias("end"), of("path").alias("structure_path"), F.map_concat(kept, own).alias("attributes"))
+    return out.filter("protein_id is not null")
+
+
+def wanted_rows(spark: SparkSession, path: str, wanted: DataFrame, id_column: int, least: int) -> DataFrame:
+    """(id, c) of the rows of (compressed) tables whose id is wanted; rows of fewer than ``least`` columns are skipped."""
+    c = F.split("line", "\t")
+    rows = lines(spark, path).filter(F.size(c) >= least).select(F.get(c, F.lit(id_column)).alias("id"), c.alias("c"))
+    return rows.join(wanted.select(F.col(wanted.columns[0]).alias("id")).distinct(), "id", "left_semi")
+
+
+def structure_hits(spark: SparkSession, path: str, k: int) -> DataFrame:
+    """(protein_id, target, target_family, tmscore, lddt, evalue, bits, fident, rank): the k hits of most bits of each query, in file order where they tie.
+
+    A file may have a header, which names its columns; else they stand in the
+    usual order.
+    """
+    c = F.split("line", "\t")
+    all_ = lines(spark, path).filter("line <> ''").select("path", "pos", c.alias("c"))
+    head = all_.groupBy("path").agg(F.min("pos").alias("top"), F.transform(F.min_by("c", "pos"), F.lower).alias("h"))
+    j = all_.join(head, "path").withColumn("named", F.array_contains("h", "query")).filter(~F.col("named") | (F.col("pos") != F.col("top")))
+
+    def at(place: int, *names: str):
+        found = F.coalesce(*[F.nullif(F.array_position("h", n), F.lit(0)) for n in names]).cast("int") - 1
+        return F.when(F.col("named"), F.get("c", found)).otherwise(F.get("c", F.lit(place)) if place >= 0 else F.element_at("c", -1))
+
+    num = lambda x: F.nullif(x, F.lit("")).try_cast("double")
+    rows = j.select("pos", at(0, "query").alias("protein_id"), at(1, "target").alias("target"), num(at(-1, "alntmscore", "tmscore")).alias("tmscore"), num(at(-1, "lddt")).alias("lddt"), F.coalesce(num(at(10, "evalue")), F.lit(0.0)).alias("evalue"), F.coalesce(num(at(11, "bits")), F.lit(0.0)).alias("bits"), F.coalesce(num(at(2, "fident")), F.lit(0.0)).alias("fident")).filter("protein_id <> ''")
+    family = F.coalesce(F.nullif(F.regexp_extract("target", r"([A-Z]{2,3}\d+)", 1), F.lit("")), F.lit("-"))
+    return first_by(rows.withColumn("target_family", family), ["protein_id"], F.desc("bits"), F.asc("pos"), n=k, rank="rank").drop("pos")
+
+
+def topology(spark: SparkSession, gff: str, three_line: str) -> DataFrame:
+    """(protein_id, length, n_tm, regions, category, topology): regions as ``type:start-end`` joined by "|", and the three-line file's category and string."""
+    rows = lines(spark, gff).filter("line <> '' and line not like '//%'")
+    size = rows.select(F.regexp_extract("line", r"^#\s+(\S+)\s+Length:\s+(\d+)", 1).alias("protein_id"), F.regexp_extract("line", r"Length:\s+(\d+)", 1).try_cast("int").alias("length")).filter("protein_id <> ''").groupBy("protein_id").agg(F.max("length").alias("length"))
+    tm = rows.select(F.regexp_extract("line", r"^#\s+(\S+)\s+Number of predicted TMRs:\s+(\d+)", 1).alias("protein_id"), F.regexp_extract("line", r"TMRs:\s+(\d+)", 1).try_cast("int").alias("n_tm")).filter("protein_id <> ''").groupBy("protein_id").agg(F.max("n_tm").alias("n_tm"))
+    c = F.split("line", "\t")
+    seg = rows.filter(~F.col("line").startswith("#") & (F.size(c) >= 4)).select(F.get(c, F.lit(0)).alias("protein_id"), "pos", F.get(c, F.lit(1)).alias("t"), F.get(c, F.lit(2)).try_cast("int").alias("a"), F.get(c, F.lit(3)).try_cast("int").alias("b")).filter("a is not null and b is not null")
+    named = seg.groupBy("protein_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat_ws("", "t", F.lit(":"), "a", F.lit("-"), "b").alias("x")))), lambda s: s["x"]), "|").alias("regions"))
+    pos = F.col("_metadata.file_block_start")
+    records = spark.read.option("lineSep", "\n>").text(three_line).select(pos.alias("block"), F.split(F.regexp_replace("value", "^>", ""), r"\r?\n").alias("l"))
+    parts = F.split(F.get("l", F.lit(0)), r"\|")
+    three = records.select(F.regexp_extract(F.get(parts, F.lit(0)), r"^\s*(\S+)", 1).alias("protein_id"), F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("category"), F.coalesce(F.get("l", F.lit(2)), F.lit("")).alias("topology")).filter("protein_id <> ''")
+    out = size.join(tm, "protein_id", "full").join(named, "protein_id", "full").join(three, "protein_id", "full")
+    return out.select("protein_id", F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("n_tm", F.lit(0)).alias("n_tm"), F.coalesce("regions", F.lit("")).alias("regions"), "category", "topology")
+
+
+def ranked_ec(spark: SparkSession, path: str) -> DataFrame:
+    """(protein_id, ec_number, confidence, rank) of ragged rows ``id,EC:number/value,...``; cells that do not parse take no rank."""
+    c = F.split("line", ",")
+    rows = lines(spark, path).filter(F.size(c) >= 2).select(F.get(c, F.lit(0)).alias("protein_id"), F.slice(c, F.lit(2), F.size(c)).alias("cells"))
+    one = lambda x, g: F.regexp_extract(x, r"(?:EC:|^\s*(?=[\d.]+:))([\d.\-]+)[/:]?([\d.]+)?", g)
+    read = F.filter(F.transform("cells", lambda x: F.struct(one(x, 1).alias("ec_number"), F.coalesce(F.nullif(one(x, 2), F.lit("")).try_cast("double"), F.lit(0.0)).alias("confidence"))), lambda s: s["ec_number"] != "")
+    return rows.select("protein_id", F.posexplode(read).alias("i", "x")).select("protein_id", "x.ec_number", "x.confidence", (F.col("i") + 1).alias("rank"))
+
+
+def signal_results(spark: SparkSession, path: str) -> DataFrame:
+    """(protein_id, prediction, probability): the probability of the predicted class, whose column a comment line names."""
+    all_ = lines(spark, path).filter("trim(line) <> ''")
+    named = F.col("line").startswith("#") & F.col("line").contains("Prediction") & F.col("line").contains("\t")
+    head = all_.filter(named).groupBy("path").agg(F.max_by(F.split(F.trim(F.ltrim("line", F.lit("#"))), "\t"), "pos").alias("h"))
+    c = F.split("line", "\t")
+    rows = all_.filter(~F.col("line").startswith("#")).select("path", c.alias("c")).join(head, "path", "left").filter(F.get("c", F.lit(0)) != "")
+    kind = F.trim(F.coalesce(F.get("c", F.lit(1)), F.lit("")))
+    place = F.array_position(F.transform("h", lambda x: F.upper(F.substring_index(F.trim(x), "(", 1))), F.upper(kind)).cast("int") - 1
+    p = F.when((F.size("h") == F.size("c")) & (place >= 0), F.get("c", place)).try_cast("double")
+    return rows.select(F.get("c", F.lit(0)).alias("protein_id"), F.when(kind == "OTHER", "NO_SP").otherwise(kind).alias("prediction"), p.alias("probability"))
+
+
+def structures(spark: SparkSession, path: str) -> DataFrame:
+    """(path, mean, n_residues): the mean of the B-factor column over CA atoms (all atoms where there is none) on a scale of 100, and different residues."""
+    row = lines(spark, path).filter(F.col("line").rlike("^(ATOM|HETATM)"))
+    part = lambda a, n: F.trim(F.substring("line", a, n))
+    x = row.select("path", F.when(F.length("line") >= 66, part(61, 6).try_cast("double")).alias("b"), (part(13, 4) == "CA").alias("ca"), F.when(F.col("line").startswith("ATOM") & (F.length("line") >= 27), F.substring("line", 22, 6)).alias("residue"))
+    g = x.groupBy("path").agg(F.avg(F.when(F.col("ca"), F.col("b"))).alias("c"), F.avg("b").alias("a"), F.count_distinct("residue").alias("n_residues"))
+    mean = F.coalesce("c", "a", F.lit(0.0))
+    return g.select("path", F.round(F.when(mean <= 1.5, mean * 100).otherwise(mean), 1).alias("mean"), "n_residues")
+
+
+def go_of_domains(spark: SparkSession, path: str) -> DataFrame:
+    """(domain, go_terms) of a mapping file, terms in file order, each once."""
+    x = lines(spark, path).filter(F.col("line").startswith("Pfam:")).select("pos", F.regexp_extract("line", r"(PF\d{5})", 1).alias("domain"), F.regexp_extract(F.trim("line"), r"(GO:\d{7})\s*$", 1).alias("go")).filter("domain <> '' and go <> ''")
+    return x.groupBy("domain").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "go"))), lambda s: s["go"])).alias("go_terms"))
+
+
+def fold_strings(spark: SparkSession, path: str) -> DataFrame:
+    """(id, sequence, fold): names lose the suffix of their structure file, folds are lower case; rows of fewer than three columns are skipped."""
+    c = F.split("line", "\t")
+    return lines(spark, path).filter(F.size(c) >= 3).select(F.regexp_replace(F.get(c, F.lit(0)), r"[.]pdb_A$", "").alias("id"), F.get(c, F.lit(1)).alias("sequence"), F.lower(F.get(c, F.lit(2))).alias("fold"))

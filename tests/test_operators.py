@@ -154,3 +154,21 @@ def test_folds_at_islands_equal_folds_of_whole_keys(spark):
     assert {r["i"]: r["lane"] for r in folds.pack_lanes(df, "k", "i", "s", "e").collect()} == lanes
     touching = spark.createDataFrame([(1, 1, 0, 10), (1, 2, 18, 20), (1, 3, 19, 30)], "k int, i int, s int, e int")
     assert {r["i"]: r["lane"] for r in folds.pack_lanes(touching, "k", "i", "s", "e").collect()} == {1: 0, 2: 1, 3: 0}
+
+
+def test_headers_helices_and_lookups(spark):
+    f = lambda *x: F.array(*map(F.lit, x))
+    assert one(spark, lambda c: A.header_id(f("A1", "x1", "g.fasta", "GH5")), c="") == "x1" and one(spark, lambda c: A.header_id(f("A1", "GH5")), c="") == "A1"
+    assert one(spark, lambda c: A.header_id(f("g.fasta", "GH5")), c="") == "g.fasta"
+    assert one(spark, lambda c: A.header_families(f("A1", "GH5_4", "GH5_4", "XX1", "CBM1")), c="") == ["GH5_4", "CBM1"]
+    rng = random.Random(3)
+    for n in (0, 17, 18, 19, 120):
+        seq = "".join(rng.choice("AILVKDEGST") for _ in range(n))
+        want, i = [], 0
+        while i < len(seq) - 18:
+            if sum(c in "AILMFVWC" for c in seq[i : i + 18]) >= 8:
+                want.append(i + 1)
+                i += 18
+            else:
+                i += 1
+        assert one(spark, lambda c: A.hydrophobic_helices(c, least=8), c=seq) == want

@@ -54,6 +54,59 @@ def test_predictions_skip_abstentions(spark, tmp_path):
     assert [(r["protein_id"], r["confidence"], r["extra"]) for r in rows] == [("p1", 0.9, {"extra": '{"a": 1}'})]
 
 
+def test_files_are_read_in_splits(spark, tmp_path):
+    path = put(tmp_path, "big.faa", "junk\n" + "".join(f">p{i} a > b\n{'MK' * 30}\nLA\n" for i in range(400)))
+    gff = put(tmp_path, "b.gff", "".join(f"c\tx\tCDS\t{i}\t{i + 5}\t.\t+\t0\tID=g{i}\n" for i in range(1, 900)) + "##FASTA\nc\tx\tCDS\t1\t2\t.\t+\t0\tID=late\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = readers.fasta(spark, path)
+        assert readers.lines(spark, path).rdd.getNumPartitions() > 3
+        assert {r["id"]: r["sequence"] for r in got.collect()} == {f"p{i}": "MK" * 30 + "LA" for i in range(400)}
+        assert {r["gene_key"] for r in readers.gff3(spark, gff).collect()} == {f"g{i}" for i in range(1, 900)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_samples_and_manifest(spark, tmp_path):
+    for f in ("cazyme/dbcan/cazyme_annotation/s1_overview.tsv", "annotation/prokka/all/s1/s1.gff", "annotation/prokka/all/s2/other.gff", "annotation/prokka/long/s1/s1.gff", "cazyme/dbcan/cazyme_annotation/s3_overview.tsv"):
+        (tmp_path / "r" / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "r" / f).write_text("x")
+    got = {r["sample"]: (r["overview"], r["gff"]) for r in readers.samples(spark, str(tmp_path / "r")).collect()}
+    assert set(got) == {"s1", "s2", "s3"} and got["s1"][0] and got["s1"][1].endswith("all/s1/s1.gff") and got["s2"][0] is None and got["s3"][1] is None
+    m = put(tmp_path, "manifest.json", '{"samples": [{"sample_key": "s1", "cazyme_predictions": [{"tool": "fusion", "path": "a/b.tsv", "family_col": "f"}],\n "protein_features": [{"feature_type": "domain", "tool": "x", "path": "d.tsv"}]}]}')
+    rows = {r["kind"]: r for r in readers.manifest(spark, m, ["fusion"]).collect()}
+    assert rows["prediction"]["path"].endswith("/a/b.tsv") and rows["prediction"]["family_col"] == "f" and rows["feature"]["feature_type"] == "domain"
+    with pytest.raises(Exception, match="unknown tool"):
+        readers.manifest(spark, m, ["other"]).collect()
+
+
+def test_topology_signal_structures_and_maps(spark, tmp_path):
+    g = put(tmp_path, "t.gff3", "##gff-version 3\n# p1 Length: 50\n# p1 Number of predicted TMRs: 1\np1\tsignal\t1\t20\np1\tTMhelix\t25\t45\n//\n# p2 Length: 9\n")
+    three = put(tmp_path, "t.3line", ">p1 | SP+TM\nMKV\nSSO\n>p3 | GLOB\nMM\nII\n")
+    rows = {r["protein_id"]: r for r in readers.topology(spark, g, three).collect()}
+    assert rows["p1"]["regions"] == "signal:1-20|TMhelix:25-45" and rows["p1"]["n_tm"] == 1 and rows["p1"]["category"] == "SP+TM" and rows["p1"]["topology"] == "SSO"
+    assert rows["p2"]["length"] == 9 and rows["p3"]["category"] == "GLOB"
+    s = put(tmp_path, "s.txt", "# SignalP-6.0\n# ID\tPrediction\tOTHER\tSP(Sec/SPI)\tCS Position\np1\tSP\t0.1\t0.9\tCS\np2\tOTHER\t0.8\t0.2\t\n")
+    assert sorted(map(tuple, readers.signal_results(spark, s).collect())) == [("p1", "SP", 0.9), ("p2", "NO_SP", 0.8)]
+    atom = lambda name, chain, seq, b: f"ATOM      1 {name:<4} ALA {chain}{seq:>4}    {0:>8.3f}{0:>8.3f}{0:>8.3f}{1:>6.2f}{b:>6.2f}\n"
+    pdb = put(tmp_path, "x.pdb", "HEADER\n" + atom(" CA", "A", 1, 0.80) + atom(" CB", "A", 1, 0.20) + atom(" CA", "A", 2, 0.60))
+    r = readers.structures(spark, pdb).first()
+    assert (r["mean"], r["n_residues"]) == (70.0, 2)
+    go = put(tmp_path, "pfam2go", "!x\nPfam:PF00001 7tm > GO:b ; GO:0000002\nPfam:PF00001 7tm > GO:a ; GO:0000001\nPfam:PF00001 7tm > GO:b ; GO:0000002\n")
+    assert readers.go_of_domains(spark, go).first()["go_terms"] == ["GO:0000002", "GO:0000001"]
+    fold = put(tmp_path, "f.tsv", "a.pdb_A\tMK\tDV\nshort\tx\n")
+    assert [tuple(x) for x in readers.fold_strings(spark, fold).collect()] == [("a", "MK", "dv")]
+
+
+def test_profile_hit_variants(spark, tmp_path):
+    row = "prot1 - 300 GH5.hmm - 200 1e-30 100 0 1 1 1e-20 1e-18 99.5 0 1 150 11 160 9 170 0.9 desc"
+    path = put(tmp_path, "d.txt", "# head\n" + row + "\n" + row.replace("1e-18", "1e-3") + "\nshort row\n")
+    one = readers.profile_hits(spark, path).collect()
+    assert len(one) == 1 and (one[0]["protein_id"], one[0]["profile"], one[0]["start"], one[0]["end"], one[0]["coverage"]) == ("prot1", "GH5.hmm", 9, 170, 0.75)
+    two = readers.profile_hits(spark, path, None, None, False, "alignment").collect()
+    assert len(two) == 2 and (two[0]["protein_id"], two[0]["profile"], two[0]["start"], two[0]["coverage"]) == ("GH5.hmm", "prot1", 11, 0.5)
+
+
 def test_ingest_is_idempotent_and_versioned(spark, tmp_path):
     root = str(tmp_path / "wh")
     rows = spark.createDataFrame([("s1", 1), ("s2", 2)], "source string, x int")
