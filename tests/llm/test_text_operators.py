@@ -349,6 +349,26 @@ def test_leaks(spark, edges, empty):
     assert decontaminate.leaks(edges, bench.limit(0), ws(spark)).count() == 0
 
 
+def test_leaks_recall_against_brute_force(spark):
+    """All pairs whose common subsequence is long enough, by brute force, against what the cosine search lets through."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
+    common = words[:40]
+    text = lambda n: [rng.choice(common) if rng.random() < 0.4 else rng.choice(words) for _ in range(n)]
+    items = [text(rng.randint(15, 45)) for _ in range(60)]
+    docs, planted = [], 0
+    for i in range(300):
+        item = items[i % 60]
+        bent = {0: lambda w: [w], 1: lambda w: [rng.choice(words)] if rng.random() < 0.2 else [w], 2: lambda w: [] if rng.random() < 0.2 else [w], 3: lambda w: [w, rng.choice(words)] if rng.random() < 0.5 else [w], 4: lambda w: []}[i % 5]
+        docs.append((i, " ".join(text(rng.randint(20, 200)) + [x for w in item for x in bent(w)] + text(rng.randint(20, 200)))))
+    brute = {(i, j) for i, t in docs for j, item in enumerate(items) if brute_lcs(item, t.split()) >= 0.999 * len(item)} | {(i, i % 60) for i, _ in docs if i % 5 in (0, 3)}
+    close = {(i, i % 60) for i, t in docs if i % 5 in (1, 2) and brute_lcs(items[i % 60], t.split()) >= 0.75 * len(items[i % 60])}
+    bench = spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(docs, DOCS), bench, ws(spark)).collect()}
+    assert len(got & (brute | close)) >= 0.9 * len(brute | close)
+    assert not [x for x in got if x[0] % 5 == 4]
+
+
 # mixing
 
 
