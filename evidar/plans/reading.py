@@ -159,12 +159,12 @@ def scalar_cells(spark, d):
     return x.select("p_partkey", A.cell_kind(F.col("c")).alias("kind"), A.feature_type(F.col("f")).alias("feature"), A.first_whole(F.col("c"), (p % 6).cast("string")).alias("coordinate"), A.canonical_id(name).alias("id"), A.last_field(name).alias("field"))
 
 
-@query("scalar_biology", "WITH x AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'SP(Sec/SPI)' WHEN 1 THEN 'signal' WHEN 2 THEN 'OTHER' END AS p, CASE event_id % 3 WHEN 0 THEN 'signal:1-' || user_id || '|tm:30-50' WHEN 1 THEN 'signal:x-3' ELSE 'inside:1-9' END AS topo, value FROM events) SELECT event_id, CASE WHEN event_id % 4 IN (0, 1) THEN 'Extracellular' ELSE 'Intracellular' END AS localization, CASE WHEN event_id % 3 = 0 THEN CAST(regexp_extract(topo, '^signal:1-([0-9]+)', 1) AS INTEGER) END AS signal_end, least(greatest((round(value, 6) - 10) / 40, 0.0), 1.0) AS scaled, CASE WHEN event_id * 37 >= 1000 THEN round_even(event_id * 37 / 1000, 1) || ' kb' ELSE (event_id * 37) || ' bp' END AS size FROM x")
+@query("scalar_biology", "WITH x AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'SP(Sec/SPI)' WHEN 1 THEN 'signal' WHEN 2 THEN 'OTHER' END AS p, CASE event_id % 3 WHEN 0 THEN 'signal:1-' || user_id || '|tm:30-50' WHEN 1 THEN 'signal:x-3' ELSE 'inside:1-9' END AS topo, value FROM events) SELECT event_id, CASE WHEN event_id % 4 IN (0, 1) THEN 'Extracellular' ELSE 'Intracellular' END AS localization, CASE WHEN event_id % 3 = 0 THEN CAST(regexp_extract(topo, '^signal:1-([0-9]+)', 1) AS INTEGER) ELSE -1 END AS signal_end, least(greatest((round(value, 6) - 10) / 40, 0.0), 1.0) AS scaled, CASE WHEN event_id * 37 >= 1000 THEN round_even(event_id * 37 / 1000, 1) || ' kb' ELSE (event_id * 37) || ' bp' END AS size FROM x")
 def scalar_biology(spark, d):
     e = F.col("event_id")
     p = F.when(e % 4 == 0, "SP(Sec/SPI)").when(e % 4 == 1, "signal").when(e % 4 == 2, "OTHER")
     topo = F.when(e % 3 == 0, F.concat(F.lit("signal:1-"), F.col("user_id").cast("string"), F.lit("|tm:30-50"))).when(e % 3 == 1, "signal:x-3").otherwise("inside:1-9")
-    return t(spark, d, "events").select("event_id", A.localization_from_signal(p).alias("localization"), A.signal_span(topo)["end"].alias("signal_end"), A.scaled(F.round("value", 6), 10, 50).alias("scaled"), A.base_pairs(e * 37).alias("size"))
+    return t(spark, d, "events").select("event_id", A.localization_from_signal(p).alias("localization"), F.coalesce(A.signal_span(topo)["end"], F.lit(-1)).alias("signal_end"), A.scaled(F.round("value", 6), 10, 50).alias("scaled"), A.base_pairs(e * 37).alias("size"))
 
 
 @query("feature_order", "SELECT p_brand, string_agg(p_partkey, ',' ORDER BY coalesce(nullif(p_size, 50), 0), p_partkey) FILTER (k = 'domain') AS domains, string_agg(p_partkey, ',' ORDER BY coalesce(nullif(p_size, 50), 0) DESC, p_partkey) FILTER (k = 'hit') AS hits FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 'domain' ELSE 'hit' END AS k FROM part) GROUP BY p_brand")

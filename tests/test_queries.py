@@ -1,6 +1,7 @@
 """Every query with SQL gives what DuckDB gives, on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from evidar import plans
@@ -19,7 +20,7 @@ def db():
 
 def rows(df):
     cols = sorted(df.columns)
-    cell = lambda v: None if v is None or v != v else round(float(v), 5) if isinstance(v, float) else str(v)
+    cell = lambda v: None if pd.isna(v) else round(float(v), 5) if isinstance(v, float) else str(v)
     return sorted((tuple(cell(v) for v in r) for r in df[cols].itertuples(index=False)), key=str), cols
 
 
