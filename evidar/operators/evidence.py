@@ -87,3 +87,21 @@ def min_max(c: str) -> Column:
     everything = Window.partitionBy(F.lit(1))
     lo, hi = F.min(c).over(everything), F.max(c).over(everything)
     return F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(0.0)
+
+
+def vote_details(votes: DataFrame, weights: dict[str, float], parent: Column) -> DataFrame:
+    """(id, family, agree_frac, all_families, voters) of ``votes`` (id, method, family, confidence; a null family abstains).
+
+    The family is that of the largest weighted confidence, the first by name of
+    equals; agree_frac is the share of voting methods whose ``parent`` (an
+    expression of family) is that of the winner; all families stand by falling
+    score; voters are the methods that voted, sorted.
+    """
+    w = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(v))])
+    cast = votes.filter("family is not null").withColumn("parent", parent)
+    per = cast.groupBy("id", "family", "parent").agg(F.round(F.sum(w[F.col("method")] * F.col("confidence")), 8).alias("s"), F.collect_list("method").alias("m"))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("o"), "family", "parent", "m")))
+    g = per.groupBy("id").agg(listed.alias("v")).withColumn("top", F.get("v", F.lit(0))["parent"])
+    n = F.aggregate("v", F.lit(0), lambda a, x: a + F.size(x["m"]))
+    same = F.aggregate("v", F.lit(0), lambda a, x: a + F.when(x["parent"] == F.col("top"), F.size(x["m"])).otherwise(0))
+    return g.select("id", F.get("v", F.lit(0))["family"].alias("family"), F.round(same / n, 6).alias("agree_frac"), F.array_join(F.transform("v", lambda x: x["family"]), ",").alias("all_families"), F.array_join(F.array_sort(F.flatten(F.transform("v", lambda x: x["m"]))), ",").alias("voters"))

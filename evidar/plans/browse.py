@@ -170,3 +170,14 @@ def turn_sequence(spark, d):
     g = t(spark, d, "conversations").groupBy("conv_id").agg(roles.alias("r"))
     changes = F.size(F.filter(F.zip_with(F.slice("r", F.lit(1), F.size("r") - 1), F.slice("r", F.lit(2), F.size("r")), lambda a, b: a != b), lambda x: x))
     return g.select("conv_id", F.array_join("r", ">").alias("roles"), F.size("r").cast("long").alias("n_turns"), changes.cast("long").alias("n_changes"))
+
+
+@query("sample_rollup", "WITH j AS (SELECT c_nationkey AS k, l_orderkey, l_returnflag, l_quantity, p_type FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey), f AS (SELECT k, p_type, count(DISTINCT l_orderkey) AS n FROM j GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, p_type) AS rn FROM f) SELECT n_name, count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_orders, count(DISTINCT l_orderkey) FILTER (l_returnflag = 'R') AS n_returned, count(*) FILTER (l_quantity > 45) AS n_large, (SELECT string_agg(p_type || '=' || n, ',' ORDER BY rn) FROM r WHERE r.k = j.k AND rn <= 12) AS families FROM j JOIN nation ON n_nationkey = k GROUP BY n_name, j.k")
+def sample_rollup(spark, d):
+    """Counts of each sample, here a nation, and its twelve most frequent families."""
+    j = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(t(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    j = j.select(F.col("c_nationkey").alias("k"), "l_orderkey", "l_returnflag", "l_quantity", "p_type")
+    counts = j.groupBy("k").agg(F.count("*").alias("n_rows"), F.count_distinct("l_orderkey").alias("n_orders"), F.count_distinct(F.when(F.col("l_returnflag") == "R", F.col("l_orderkey"))).alias("n_returned"), F.count(F.when(F.col("l_quantity") > 45, 1)).alias("n_large"))
+    top = R.first_by(j.groupBy("k", "p_type").agg(F.count_distinct("l_orderkey").alias("n")), ["k"], F.desc("n"), F.asc("p_type"), n=12, rank="rn")
+    named = top.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "p_type", "n"))), lambda x: F.concat_ws("=", x["p_type"], x["n"])), ",").alias("families"))
+    return counts.join(named, "k").join(t(spark, d, "nation"), F.col("k") == F.col("n_nationkey")).select("n_name", "n_rows", "n_orders", "n_returned", "n_large", "families")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import folds, metrics, search
+from ..operators import folds, metrics, models, search
 from ..operators import relational as R
 from ..streaming import ingest
 from ..tables import scratch
@@ -158,3 +158,17 @@ def stream_idempotent(spark, d):
     ingest.ingest_stream(spark, f"{root}/in", schema, f"{root}/wh", name)
     n = ingest.versions(spark, f"{root}/wh").groupBy("batch").agg(F.count_distinct("release").cast("int").alias("n_versions"))
     return ingest.current(spark, f"{root}/wh").groupBy("batch").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity")).join(n, "batch")
+
+
+@query("logistic_gate")
+def logistic_gate(spark, d):
+    """Scores of a gate that tells the even classes of vectors from the odd ones; tested by its optimum."""
+    e = t(spark, d, "embeddings").withColumn("y", F.col("label") % 2)
+    return models.gate_scores(models.gate(e, "embedding", "y"), e, "vec_id", "embedding").withColumn("score", F.round("score", 6))
+
+
+@query("logistic_novelty")
+def logistic_novelty(spark, d):
+    """Cross-fitted scores of documents by two signals against their quality label."""
+    x = t(spark, d, "labels").join(t(spark, d, "documents"), "doc_id").select("doc_id", "quality", F.log1p("n_chars").alias("a"), F.size(F.split("text", "\n")).alias("b"))
+    return models.novelty_scores(x, "doc_id", ["a", "b"], "quality").withColumn("score", F.round("score", 6))

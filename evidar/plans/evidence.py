@@ -115,6 +115,15 @@ def consensus_b(spark, d):
     return E.consensus(ballots(spark, d), WEIGHTS, over_present=False, abstain_below=0.2)
 
 
+@query("consensus_details", BALLOTS + """, v AS (SELECT id, family, CAST(family AS INTEGER) % 3 AS parent, CAST(round(sum(CAST(w AS DOUBLE) * conf), 8) AS DOUBLE) AS s, count(*) AS n,
+  list(CASE CAST(round(w * 10) AS INTEGER) WHEN 5 THEN 'k15' WHEN 3 THEN 'k5' ELSE 'centroid' END) AS m FROM b WHERE family IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, family) AS rn FROM v), t AS (SELECT id, family AS top, parent AS tp FROM r WHERE rn = 1)
+SELECT r.id, max(top) AS family, round(sum(CASE WHEN parent = tp THEN n ELSE 0 END) / sum(n), 6) AS agree_frac, string_agg(family, ',' ORDER BY rn) AS all_families, array_to_string(list_sort(flatten(list(m))), ',') AS voters FROM r JOIN t ON t.id = r.id GROUP BY r.id""")
+def consensus_details(spark, d):
+    """Agreement of the voters by parent, here the label modulo three; all families by score; who voted."""
+    return E.vote_details(ballots(spark, d), WEIGHTS, (F.col("family").cast("int") % 3).cast("string"))
+
+
 @query("minmax_rank", "WITH g AS (SELECT p_brand, count(*) AS n, avg(p_retailprice) AS price, avg(p_size) AS size, count(DISTINCT p_type) AS types FROM part GROUP BY p_brand), m AS (SELECT *, ln(1 + n) AS ln FROM g), x AS (SELECT p_brand, round(0.35 * coalesce((price - min(price) OVER ()) / nullif(max(price) OVER () - min(price) OVER (), 0), 0) + 0.30 * coalesce((size - min(size) OVER ()) / nullif(max(size) OVER () - min(size) OVER (), 0), 0) + 0.25 * coalesce((types - min(types) OVER ()) / nullif(max(types) OVER () - min(types) OVER (), 0), 0) + 0.10 * coalesce((ln - min(ln) OVER ()) / nullif(max(ln) OVER () - min(ln) OVER (), 0), 0), 6) AS score FROM m) SELECT p_brand, score, CAST(row_number() OVER (ORDER BY score DESC, p_brand) AS INTEGER) AS place FROM x")
 def minmax_rank(spark, d):
     from pyspark.sql import Window

@@ -306,3 +306,10 @@ def fold_strings(spark: SparkSession, path: str) -> DataFrame:
     """(id, sequence, fold): names lose the suffix of their structure file, folds are lower case; rows of fewer than three columns are skipped."""
     c = F.split("line", "\t")
     return lines(spark, path).filter(F.size(c) >= 3).select(F.regexp_replace(F.get(c, F.lit(0)), r"[.]pdb_A$", "").alias("id"), F.get(c, F.lit(1)).alias("sequence"), F.lower(F.get(c, F.lit(2))).alias("fold"))
+
+
+def training_log(spark: SparkSession, path: str) -> DataFrame:
+    """(epoch, loss, accuracy) of the lines that report an epoch."""
+    pattern = r"epoch\s+(\d+)\s+loss\s+([\d.]+)\s+val_clf_acc\s+([\d.]+)"
+    got = lambda i: F.regexp_extract("line", pattern, i)
+    return lines(spark, path).filter(F.col("line").rlike(pattern)).select(got(1).cast("int").alias("epoch"), got(2).try_cast("double").alias("loss"), got(3).try_cast("double").alias("accuracy"))

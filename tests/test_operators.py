@@ -172,3 +172,23 @@ def test_headers_helices_and_lookups(spark):
             else:
                 i += 1
         assert one(spark, lambda c: A.hydrophobic_helices(c, least=8), c=seq) == want
+
+
+def test_logistic_models(spark):
+    from evidar.operators import models
+
+    rng = np.random.RandomState(1)
+    v = rng.normal(size=(200, 3))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    y = (v[:, 0] + 0.3 * rng.normal(size=200) > 0).astype(int)
+    df = spark.createDataFrame([(i, v[i].tolist(), int(y[i])) for i in range(200)], "i long, v array<double>, y int")
+    m = models.gate(df, "v", "y")
+    w, b = m.coefficients.toArray(), m.intercept
+    p = 1 / (1 + np.exp(-(v @ w + b)))
+    # At the optimum of the sum of losses plus half the squared weights the gradient is zero.
+    assert np.abs(v.T @ (p - y) + w).max() < 0.05 and abs((p - y).sum()) < 0.05
+    assert np.allclose([r["score"] for r in models.gate_scores(m, df, "i", "v").orderBy("i").collect()], p)
+    x = df.select("i", F.get("v", F.lit(0)).alias("a"), F.get("v", F.lit(1)).alias("b"), "y")
+    out = models.novelty_scores(x, "i", ["a", "b"], "y").collect()
+    s = np.array([r["score"] for r in sorted(out, key=lambda r: r["i"])])
+    assert len(out) == 200 and np.mean((s > 0.5) == y) > 0.75 and len({r["fold"] for r in out}) == 5

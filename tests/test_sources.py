@@ -140,3 +140,16 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     next((tmp_path / "other").glob("*.parquet")).rename(tmp_path / "in" / "b" / name)
     ingest.ingest_stream(spark, incoming, "id long", root)
     assert ingest.current(spark, root).count() == 9 and ingest.read_ledger(spark, root).count() == 3
+
+
+def test_normalised_table_manifest_summary_and_log(spark, tmp_path):
+    df = spark.createDataFrame([("p1", "GH5", 0.91234, "x", 3), ("p2", None, None, "y", 4)], "protein_id string, family string, confidence double, kind string, n int")
+    sinks.write_predictions(df, str(tmp_path / "predictions"), ["kind", "n"])
+    rows = {r["protein_id"]: r for r in readers.predictions(spark, str(tmp_path / "predictions"), abstentions=True).collect()}
+    assert rows["p1"]["confidence"] == 0.9123 and rows["p1"]["extra"]["extra"] == '{"kind":"x","n":3}' and rows["p2"]["family"] is None
+    sinks.write_manifest(spark, str(tmp_path / "m"), "s1", {"fusion": "predictions"}, {"d.tsv": ("domain", "x")}, pipeline="p")
+    assert {r["kind"] for r in readers.manifest(spark, str(tmp_path / "m" / "part-*"), ["fusion"]).collect()} == {"prediction", "feature"}
+    sinks.write_summary(df, str(tmp_path / "sum"), ["family"])
+    assert readers.delimited(spark, str(tmp_path / "sum" / "detail")).count() == 2
+    log = put(tmp_path, "log", "start\nepoch 5 loss 0.25 val_clf_acc 0.9\n")
+    assert [tuple(r) for r in readers.training_log(spark, log).collect()] == [(5, 0.25, 0.9)]
