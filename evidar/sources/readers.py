@@ -159,11 +159,15 @@ def embeddings(df: DataFrame, vector: Column) -> DataFrame:
     return df.withColumn("_n", F.when(norm == 0, 1.0).otherwise(norm)).withColumn("unit", F.transform(vector, lambda x: x.cast("double") / F.col("_n"))).drop("_n")
 
 
+# Where a result folder has its overview tables and its coordinates.
+OVERVIEWS, COORDINATES = "/cazyme/dbcan/cazyme_annotation/[^/]+_overview[.]tsv$", "/annotation/prokka/.*[.]gff$"
+
+
 def samples(spark: SparkSession, root: str) -> DataFrame:
     """(sample, overview, gff) of a result folder: samples by their overview table, joined with those that have coordinates."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    over = files.filter(F.col("path").rlike("/cazyme/dbcan/cazyme_annotation/[^/]+_overview[.]tsv$")).select(F.regexp_extract("path", "/([^/]+)_overview[.]tsv$", 1).alias("sample"), F.col("path").alias("overview"))
-    gff = files.filter(F.col("path").rlike("/annotation/prokka/.*[.]gff$")).select(F.regexp_extract("path", "/([^/]+)/[^/]+[.]gff$", 1).alias("sample"), "path")
+    over = files.filter(F.col("path").rlike(OVERVIEWS)).select(F.regexp_extract("path", "/([^/]+)_overview[.]tsv$", 1).alias("sample"), F.col("path").alias("overview"))
+    gff = files.filter(F.col("path").rlike(COORDINATES)).select(F.regexp_extract("path", "/([^/]+)/[^/]+[.]gff$", 1).alias("sample"), "path")
     own = F.when(F.regexp_extract("path", "/([^/]+)[.]gff$", 1) == F.col("sample"), 0).otherwise(1)
     best = gff.groupBy("sample").agg(F.min(F.struct(F.when(F.col("path").contains("/prokka/all/"), 0).otherwise(1).alias("a"), own.alias("b"), "path"))["path"].alias("gff"))
     return over.join(best, "sample", "full").orderBy("sample")
