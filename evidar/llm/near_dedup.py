@@ -9,8 +9,13 @@ What passes is confirmed on the full sets.
 
 No bucket emits all its pairs.  The first round compares each class with the
 smallest class of its bucket.  The second takes the buckets that the first left
-with several groups, in blocks, and emits the links that join groups.
-Components come from label passing.
+with several groups, cut into blocks: sketches of each pair of blocks meet, and
+only members that have a likely partner of another group there fetch their
+full sets; the links that join groups are emitted.  Components come from label
+passing.
+
+A class bears the 128-bit digest of its set, so rows without an id and rows
+that share an id with another text keep their own links.
 
 At a similarity of just 0.85 a pair misses all bands with a chance of 4e-7, and
 the filter drops one with a chance under 1e-5.
@@ -35,8 +40,9 @@ SAMPLES = BANDS * ROWS
 SIMILAR = 85  # per cent
 #: Samples that may differ: the mean at 0.85 is 19 with a deviation of 4; some pairs of bits meet again.
 MAY_DIFFER = 31
-BLOCK = 128
-BROADCAST_IDS = 1_000_000
+#: Members of a block, and shingles in it: what bounds a task of the second round.
+BLOCK = 512
+BLOCK_SHINGLES = 500_000
 
 _rng = np.random.RandomState(11)
 _XOR = _rng.randint(0, 2**63, SAMPLES).astype(np.uint64)
@@ -44,7 +50,7 @@ _MUL = _rng.randint(0, 2**62, SAMPLES).astype(np.uint64) * np.uint64(2) + np.uin
 _SALT = _rng.randint(0, 2**63, (1, SAMPLES)).astype(np.uint64)
 _BAND = _rng.randint(0, 2**62, (ROWS, 1, BANDS)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
-SKETCHED = "doc_id long, n_shingles long, set_key binary, s0 long, s1 long, s2 long, s3 long, bands array<long>"
+SKETCHED = "doc_id long, text_hash long, n_shingles long, set_key binary, s0 long, s1 long, s2 long, s3 long, bands array<long>"
 
 
 def shingles(text: str | None, hashes: WordHashes, n: int = WORDS) -> np.ndarray:
@@ -77,7 +83,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for b in batches:
         sizes, keys, sig = [], [], []
-        for text in b.column(1):
+        for text in b.column(2):
             s = shingles(text.as_py(), hashes)
             sizes.append(len(s))
             keys.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
@@ -86,7 +92,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         odd, bands = sketches(np.array(sig))
         bands = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel()))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), *[pa.array(np.ascontiguousarray(odd[:, i])) for i in range(4)], bands], names=["doc_id", "n_shingles", "set_key", "s0", "s1", "s2", "s3", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), *[pa.array(np.ascontiguousarray(odd[:, i])) for i in range(4)], bands], names=["doc_id", "text_hash", "n_shingles", "set_key", "s0", "s1", "s2", "s3", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +101,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, b.num_rows, 256):
             part = b.slice(i, 256)
             sets = [shingles(t.as_py(), hashes).view(np.int64) for t in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["set_key", "set"])
 
 
 def near(a: str, b: str) -> Column:
@@ -106,18 +112,19 @@ def near(a: str, b: str) -> Column:
     return (100 * F.least(na, nb) >= SIMILAR * F.greatest(na, nb)) & (differ <= 2 * MAY_DIFFER)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """(id, set) of the documents with these ids."""
-    ids = ws.save(ids, f"{name}-ids")
-    side = F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
-    sets = docs.select("doc_id", "text").join(side, "doc_id", "left_semi").mapInArrow(_sets, "id long, set array<long>")
-    return ws.save(sets.dropDuplicates(["id"]), f"{name}-sets")
+def sets_of(docs: DataFrame, reps: DataFrame, keys: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """(set_key, set) of the classes with these keys, from one document of each."""
+    wanted = reps.select("set_key", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).join(keys, "set_key", "left_semi")
+    texts = docs.select("doc_id", "text", text_hash())
+    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_h")))
+    sets = found.select("set_key", "text").mapInArrow(_sets, "set_key binary, set array<long>")
+    return ws.save(sets.dropDuplicates(["set_key"]), f"{name}-sets")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """The pairs (a, b) of ids whose full sets are similar enough, as edges (src, dst)."""
-    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), ws, name)
-    x = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+def confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough, as edges (src, dst)."""
+    sets = sets_of(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct(), ws, name)
+    x = pairs.join(sets.select(F.col("set_key").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("set_key").alias("b"), F.col("set").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     edges = x.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb") - both).alias("u")).filter(100 * F.col("i") >= SIMILAR * F.col("u"))
     edges = ws.save(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), f"{name}-edges")
@@ -125,28 +132,36 @@ def confirmed(docs: DataFrame, pairs: DataFrame, ws: Workspace, name: str) -> Da
     return edges
 
 
-def between(docs: DataFrame, rows: DataFrame, ws: Workspace) -> DataFrame:
-    """Edges between the members of a bucket that bear different labels (rows of key, rep, label, n_shingles, s0 to s3).
+def between(docs: DataFrame, reps: DataFrame, rows: DataFrame, ws: Workspace) -> DataFrame:
+    """Edges between the members of a bucket that bear different labels (rows of key, set_key, label, n_shingles, s0 to s3).
 
-    A bucket is cut into blocks of about BLOCK members, and each pair of blocks
-    is one group.  A group compares sketches, then full sets, the nearest pairs
-    first, and leaves out pairs that its own links have brought together; so it
-    emits fewer edges than it has members.
+    A bucket is cut into blocks of about BLOCK members or BLOCK_SHINGLES
+    shingles, and each pair of blocks is one key of a semi-join on sketches:
+    it leaves the members with a likely partner of another label in that pair
+    of blocks.  These alone get their sets.  A group compares them, the nearest
+    pairs first, and leaves out pairs that its own links have brought together;
+    so it emits fewer edges than it has members.
     """
-    sets = sets_of(docs, rows.select(F.col("rep").alias("doc_id")).distinct(), ws, "between")
-    sizes = ws.save(rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")), "between-sizes")
-    cut = rows.join(sizes, "key").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    dealt = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("c")).select("key", F.least("b", "c").alias("bi"), F.greatest("b", "c").alias("bj"), "b", "rep", "label", "n_shingles", "s0", "s1", "s2", "s3")
-    full = dealt.join(sets.withColumnRenamed("id", "rep"), "rep")
-    edges = full.groupBy("key", "bi", "bj").applyInPandas(_links, "src long, dst long").distinct()
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = ws.save(rows.groupBy("key").agg(blocks.alias("nb")), "between-sizes")
+    cut = rows.join(sizes, "key").withColumn("b", F.pmod(F.xxhash64("set_key"), F.col("nb")).cast("int"))
+    dealt = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("c")).select("key", F.least("b", "c").alias("bi"), F.greatest("b", "c").alias("bj"), "b", "set_key", "label", "n_shingles", "s0", "s1", "s2", "s3")
+    x, y = dealt.alias("x"), dealt.alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.bi") == F.col("y.bi")) & (F.col("x.bj") == F.col("y.bj"))
+    # Either one of each block or, where both are the same block, any two.
+    across = F.col("x.b") + F.col("y.b") == F.col("x.bi") + F.col("x.bj")
+    able = ws.save(x.join(y, same & across & (F.col("x.label") != F.col("y.label")) & near("x", "y"), "left_semi"), "able")
+    sets = sets_of(docs, reps, able.select("set_key").distinct(), ws, "between")
+    edges = able.join(sets, "set_key").groupBy("key", "bi", "bj").applyInPandas(_links, "src binary, dst binary").distinct()
     edges = ws.save(edges, "between-edges")
     ws.drop("between-sets")
+    ws.drop("able")
     return edges
 
 
 def _links(g: pd.DataFrame) -> pd.DataFrame:
-    g = g.sort_values("rep", ignore_index=True)
-    ids, n = g["rep"].to_numpy(), g["n_shingles"].to_numpy()
+    g = g.sort_values("set_key", ignore_index=True)
+    ids, n = g["set_key"].to_numpy(), g["n_shingles"].to_numpy()
     words = g[["s0", "s1", "s2", "s3"]].to_numpy().view(np.uint64)
     first, second = g["b"].to_numpy() == g["bi"].iloc[0], g["b"].to_numpy() == g["bj"].iloc[0]
     differ = sum(np.bitwise_count(words[:, None, k] ^ words[None, :, k]).astype(np.int32) for k in range(4))
@@ -172,45 +187,57 @@ def _links(g: pd.DataFrame) -> pd.DataFrame:
         if 100 * both >= SIMILAR * (n[i] + n[j] - both):
             group[x] = y
             out.append((ids[i], ids[j]))
-    return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
+    return pd.DataFrame(out, columns=["src", "dst"])
 
 
-def groups(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
+def text_hash() -> Column:
+    return F.xxhash64("text").alias("text_hash")
 
-    A null text and a text without words have an empty set and no links.  A
-    repeated row is an exact copy.  A row without an id joins its group but
-    never names it, and has no component where its group has no id at all.
+
+def groups(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, first_hash) for every row of ``docs`` (doc_id, text).
+
+    ``component_id`` is the smallest id of the group; ``first_hash`` is the
+    hash of the text under that id (the smallest, where it has several).  A
+    null text and a text without words have an empty set and no links.  A
+    repeated row is an exact copy; one id with two texts is two documents, each
+    with its own links.  A row without an id has its links but never names its
+    group, and has no component where the group has no id at all.
     """
-    sk = ws.save(docs.select("doc_id", "text").mapInArrow(_sketch, SKETCHED), "sketched")
-    classes = ws.save(sk.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    owned = sk.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("rep")).alias("rep"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sk = ws.save(docs.select("doc_id", text_hash(), "text").mapInArrow(_sketch, SKETCHED), "sketched")
     # Below six shingles only equal sets are similar enough.
-    reps = sk.filter("n_shingles > 5").join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"]).dropDuplicates(["doc_id"])
-    reps = ws.save(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "s0", "s1", "s2", "s3", "bands"), "reps")
-    rows = reps.select(F.explode("bands").alias("key"), "rep")
-    shared = ws.save(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).filter("n > 1").select("key", "leader"), "shared")
+    reps = ws.save(sk.filter("n_shingles > 5").dropDuplicates(["set_key"]), "reps")
+    rows = reps.select(F.explode("bands").alias("key"), "set_key")
+    shared = ws.save(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("set_key").alias("leader")).filter("n > 1").select("key", "leader"), "shared")
     members = ws.save(rows.join(shared, "key"), "members")
 
-    sketch = reps.drop("bands")
+    sketch = reps.select("set_key", "n_shingles", "s0", "s1", "s2", "s3")
     side = F.broadcast(sketch) if small_enough(sketch, 100_000) else sketch
-    stars = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = stars.join(side.alias("x"), F.col("a") == F.col("x.rep")).join(side.alias("y"), F.col("b") == F.col("y.rep")).filter(near("x", "y")).select("a", "b")
+    stars = members.filter("set_key <> leader").select(F.col("leader").alias("a"), F.col("set_key").alias("b")).distinct()
+    stars = stars.join(side.alias("x"), F.col("a") == F.col("x.set_key")).join(side.alias("y"), F.col("b") == F.col("y.set_key")).filter(near("x", "y")).select("a", "b")
     stars = ws.save(stars, "stars")
-    edges = confirmed(docs, stars, ws, "star")
+    edges = confirmed(docs, reps, stars, ws, "star")
     labels = connected_components(edges, ws, "star-cc")
 
     # The leader has met all of its bucket; the others still meet where the first round left several groups.
-    named = members.filter("rep <> leader").join(labels, members.rep == labels.node, "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    named = members.filter("set_key <> leader").join(labels, members.set_key == labels.node, "left").select("key", "set_key", F.coalesce("label", "set_key").alias("label"))
     mixed = ws.save(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key"), "mixed")
-    named = ws.save(named.join(mixed, "key", "left_semi").join(side, "rep"), "named")
-    x, y = named.alias("x"), named.alias("y")
-    able = ws.save(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & near("x", "y"), "left_semi"), "able")
-    more = between(docs, able, ws)
+    named = ws.save(named.join(mixed, "key", "left_semi").join(side, "set_key"), "named")
+    for done in ("members", "shared", "stars", "mixed"):
+        ws.drop(done)
+    more = between(docs, reps, named, ws)
+    ws.drop("named")
     if more.limit(1).count():
         labels = connected_components(edges.union(more), ws, "all-cc")
-    out = owned.join(labels, owned.rep == labels.node, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
+
+    ids = sk.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    ids = ws.save(ids.join(labels, ids.set_key == labels.node, "full").select(F.coalesce("set_key", "node").alias("set_key"), F.coalesce("label", "set_key", "node").alias("label"), "first"), "named-classes")
+    names = ids.groupBy("label").agg(F.min("first").alias("name"))
+    names = ids.select("set_key", "label").join(names, "label").select("set_key", "name")
+    out = sk.select("doc_id", "text_hash", "n_shingles", "set_key").join(names, "set_key", "left")
+    own = F.col("set_key").isNull()
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("name.doc_id")).alias("component_id"), F.when(own, F.col("text_hash")).otherwise(F.col("name.text_hash")).alias("first_hash"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,12 +246,17 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id; rows without an id stay."""
-    gone = groups(docs, Workspace(spark, "stage7")).filter("doc_id <> component_id").select("doc_id").distinct()
-    cols = docs.columns
-    w = docs.join(gone, "doc_id", "left_anti")
-    named = w.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(w.filter("doc_id is null")).select(*[f"`{c}`" for c in cols])
+    """One document of each group: the one with the smallest id, once.  Rows without an id stay.
+
+    Two texts under one id both stay where they are not near copies.
+    """
+    cols = [f"`{c}`" for c in docs.columns]
+    g = groups(docs, Workspace(spark, "stage7"))
+    gone = g.filter((F.col("doc_id") != F.col("component_id")) | (F.col("text_hash") != F.col("first_hash"))).select("doc_id", F.col("text_hash").alias("h")).distinct()
+    id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    w = docs.select(F.struct(*cols).alias("row"), id_.alias("doc_id"), F.xxhash64(text).alias("h")).join(gone, ["doc_id", "h"], "left_anti")
+    once = w.filter("doc_id is not null").dropDuplicates(["doc_id", "h"])
+    return once.unionByName(w.filter("doc_id is null")).select("row.*")
 
 
 #: Exact similarities of all documents that share a shingle.

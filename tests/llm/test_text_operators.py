@@ -106,13 +106,46 @@ def near_copies():
     return rows
 
 
+def near_groups(spark, docs):
+    return sorted(map(tuple, near_dedup.groups(docs, ws(spark)).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+
+
 def test_near_dedup(spark, edges, empty):
     rows = [*EDGES[:3], *EDGES[3:7], *near_copies(), (20, "ONE two three four FIVE six"), (21, "one two three four five six")]
-    got = sorted(map(tuple, near_dedup.groups(spark.createDataFrame(rows, DOCS), ws(spark)).collect()), key=str)
-    assert got == sorted(brute_groups(rows), key=str)
+    assert near_groups(spark, spark.createDataFrame(rows, DOCS)) == sorted(brute_groups(rows), key=str)
     assert near_dedup.groups(empty, ws(spark)).count() == 0
 
 
+def chains():
+    """Families whose members drift away from each other, so that buckets hold several groups after their first round."""
+    r, rows = random.Random(8), []
+    for g in range(4):
+        w = prose(100, 200 + g % 2).split()
+        for k in range(40):
+            w = list(w)
+            w[r.randrange(len(w))] = r.choice(VOCABULARY)
+            rows.append((5000 - len(rows), " ".join(w)))
+    return rows
+
+
+def test_near_dedup_second_round_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 600)
+    rows = chains()
+    assert near_groups(spark, spark.createDataFrame(rows, DOCS)) == sorted(brute_groups(rows), key=str)
+
+
+def test_near_dedup_rows_without_an_id_and_ids_with_two_texts(spark):
+    base = prose(120, 31).split()
+    near, far = " ".join([*base[:-1], "zzz"]), prose(120, 32)
+    rows = [(None, near), (7, " ".join(base)), (5, far), (5, near), (9, far)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("set_key", F.lit("clash")).withColumn("row", F.lit(1)).withColumn("h", F.lit(2))
+    assert near_groups(spark, docs) == sorted(brute_groups(rows), key=str)
+    kept = near_dedup.stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"], r["set_key"], r["row"], r["h"]) for r in kept.collect()), key=str) == sorted([(None, near, "clash", 1, 2), (5, far, "clash", 1, 2), (5, near, "clash", 1, 2)], key=str)
+
+
 def test_near_dedup_stage_keeps_one_of_each_group(spark):
     rows = [*EDGES, (8, prose(80, 2))]
     kept = near_dedup.stage(spark, spark.createDataFrame(rows, DOCS).withColumn("label", F.lit("x")), "").collect()
