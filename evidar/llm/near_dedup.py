@@ -41,8 +41,9 @@ SIMILAR = 85  # per cent
 #: Samples that may differ: the mean at 0.85 is 19 with a deviation of 4; some pairs of bits meet again.
 MAY_DIFFER = 31
 #: Members of a block, and shingles in it: what bounds a task of the second round.
-BLOCK = 512
+BLOCK = 256
 BLOCK_SHINGLES = 500_000
+BROADCAST_KEYS = 1_000_000
 
 _rng = np.random.RandomState(11)
 _XOR = _rng.randint(0, 2**63, SAMPLES).astype(np.uint64)
@@ -115,6 +116,9 @@ def near(a: str, b: str) -> Column:
 def sets_of(docs: DataFrame, reps: DataFrame, keys: DataFrame, ws: Workspace, name: str) -> DataFrame:
     """(set_key, set) of the classes with these keys, from one document of each."""
     wanted = reps.select("set_key", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).join(keys, "set_key", "left_semi")
+    wanted = ws.save(wanted, f"{name}-keys")
+    # Narrow rows, counted first: below the bound no text is shuffled.
+    wanted = F.broadcast(wanted) if small_enough(wanted, BROADCAST_KEYS) else wanted
     texts = docs.select("doc_id", "text", text_hash())
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_h")))
     sets = found.select("set_key", "text").mapInArrow(_sets, "set_key binary, set array<long>")
