@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import folds, metrics, models, search
 from ..operators import relational as R
-from ..streaming import ingest
+from ..streaming import counters, ingest
 from ..tables import scratch
 from ..tables import table as t
 from .registry import query
@@ -144,6 +144,25 @@ def family_counts_min_anchor(spark, d):
     return R.facet(t(spark, d, "part"), "p_type", F.count("*")).filter("n >= 100")
 
 
+COUNTED = "SELECT event_type AS class, count(*) AS n, array_to_string((array_agg(CAST(event_id AS VARCHAR) ORDER BY md5(event_id || '|0'), event_id))[1:5], ' ') AS sample FROM events GROUP BY event_type"
+
+
+@query("class_counters", COUNTED)
+def class_counters(spark, d):
+    """Events of each type and five of them, drawn in one pass."""
+    return counters.counters(t(spark, d, "events"), "event_type", "event_id", 5).withColumn("sample", F.array_join("sample", " "))
+
+
+@query("class_counters_stream", COUNTED)
+def class_counters_stream(spark, d):
+    """The same with state over a folder that gets files twice."""
+    root, events = scratch(spark, "counters"), t(spark, d, "events").select("event_id", "event_type")
+    for value in (0, 1):
+        events.filter(F.col("event_id") % 2 == value).write.mode("append").parquet(f"{root}/in")  # the deliveries, which make up the whole table
+        out = counters.count_stream(spark, f"{root}/in", "event_id long, event_type string", root, "event_type", "event_id", 5)
+    return out.withColumn("sample", F.array_join("sample", " "))
+
+
 @query("stream_idempotent", "SELECT l_returnflag || l_linestatus AS batch, count(*) AS n, CAST(round(sum(l_quantity), 2) AS DOUBLE) AS quantity, 1 AS n_versions FROM lineitem GROUP BY ALL")
 def stream_idempotent(spark, d):
     """A folder of files taken as a stream; some are delivered twice, and the stream is started twice."""
