@@ -317,3 +317,52 @@ def training_log(spark: SparkSession, path: str) -> DataFrame:
     pattern = r"epoch\s+(\d+)\s+loss\s+([\d.]+)\s+val_clf_acc\s+([\d.]+)"
     got = lambda i: F.regexp_extract("line", pattern, i)
     return lines(spark, path).filter(F.col("line").rlike(pattern)).select(got(1).cast("int").alias("epoch"), got(2).try_cast("double").alias("loss"), got(3).try_cast("double").alias("accuracy"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def software_versions(spark: SparkSession, path: str) -> DataFrame:
+    """(tool, version) of a file of two levels, process and tool; of a tool that several processes name the last counts.
+
+    Versions are kept as they are written.  No file gives no rows.
+    """
+    if not exists(spark, path):
+        return spark.createDataFrame([], "tool string, version string")
+    pair = r"^\s+([^#:]+):\s*(\S.*)$"
+    bare = F.trim(F.regexp_replace("line", r"\s+#.*$", ""))
+    unquoted = lambda i: F.regexp_replace(F.trim(F.regexp_extract(F.concat(F.lit(" "), bare), pair, i)), "^(['\"])(.*)\\1$", "$2")
+    rows = lines(spark, path).filter(F.col("line").rlike(pair)).select("pos", F.lower(unquoted(1)).alias("tool"), unquoted(2).alias("version")).filter("tool <> ''")
+    return rows.groupBy("tool").agg(F.max_by("version", "pos").alias("version"))
+
+
+def samplesheet(spark: SparkSession, path: str) -> DataFrame:
+    """(sample, row): the columns of each row by name, under its sample or sample_id; the last row of a sample counts.  No file gives no rows."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "sample string, row map<string,string>")
+    df = delimited(spark, path, sep=",")
+    keys = [F.when(F.col(c) != "", F.col(c)) for c in ("sample", "sample_id") if c in df.columns]
+    if not keys:
+        return spark.createDataFrame([], "sample string, row map<string,string>")
+    row = F.create_map(*[x for c in df.columns for x in (F.lit(c), F.col(f"`{c}`"))])
+    rows = df.select(F.coalesce(*keys).alias("sample"), row.alias("row"), F.monotonically_increasing_id().alias("at")).filter("sample is not null")
+    return rows.groupBy("sample").agg(F.max_by("row", "at").alias("row"))
+
+
+def genomes(spark: SparkSession, root: str, needed: list[str], limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Folders class/genome below ``root``, in order: (class, genome, files) of those with all files, and (class, genome, missing) of the others.
+
+    ``needed`` are patterns of file names.  A folder that lacks one is no
+    error: it goes to the second table.  ``limit`` takes the first folders.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    at = F.split(F.substring_index("path", root.rstrip("/").rsplit("/", 1)[-1] + "/", -1), "/")
+    named = files.select(F.get(at, F.lit(0)).alias("class"), F.get(at, F.lit(1)).alias("genome"), "path").filter(F.size(at) >= 3)
+    found = named.groupBy("class", "genome").agg(F.array_sort(F.collect_list("path")).alias("files"))
+    if limit is not None:
+        found = found.orderBy("class", "genome").limit(limit)
+    lacks = F.filter(F.array(*[F.lit(p) for p in needed]).cast("array<string>"), lambda p: ~F.exists("files", lambda f: F.rlike(F.substring_index(f, "/", -1), p)))
+    checked = found.withColumn("missing", lacks)
+    return checked.filter(F.size("missing") == 0).select("class", "genome", "files"), checked.filter(F.size("missing") > 0).select("class", "genome", "missing")

@@ -153,3 +153,23 @@ def test_normalised_table_manifest_summary_and_log(spark, tmp_path):
     assert readers.delimited(spark, str(tmp_path / "sum" / "detail")).count() == 2
     log = put(tmp_path, "log", "start\nepoch 5 loss 0.25 val_clf_acc 0.9\n")
     assert [tuple(r) for r in readers.training_log(spark, log).collect()] == [(5, 0.25, 0.9)]
+
+
+def test_software_versions_and_samplesheet(spark, tmp_path):
+    (tmp_path / "v.yml").write_text("# made by a run\nFIRST:\n  Tool: 1.10\n  other: '2.0'\nSECOND:\n    tool: \"3.1-b\"  # newer\nempty:\n")
+    assert {r["tool"]: r["version"] for r in readers.software_versions(spark, f"{tmp_path}/v.yml").collect()} == {"tool": "3.1-b", "other": "2.0"}
+    assert readers.software_versions(spark, f"{tmp_path}/none.yml").count() == 0
+    (tmp_path / "s.csv").write_text("sample_id,group,sample\ns1,x,\n,y,s2\n,z,\ns1,w,\n")
+    assert {r["sample"]: r["row"]["group"] for r in readers.samplesheet(spark, f"{tmp_path}/s.csv").collect()} == {"s1": "w", "s2": "y"}
+    assert readers.samplesheet(spark, f"{tmp_path}/none.csv").count() == 0
+
+
+def test_genomes_and_those_that_lack_a_file(spark, tmp_path):
+    for c, g, names in (("b", "g3", ["overview.tsv", "x.faa"]), ("a", "g1", ["overview.tsv", "y.faa"]), ("a", "g2", ["overview.tsv"])):
+        (tmp_path / "top" / c / g / "deep").mkdir(parents=True)
+        for n in names:
+            (tmp_path / "top" / c / g / "deep" / n).write_text("x")
+    good, bad = readers.genomes(spark, f"{tmp_path}/top", ["^overview[.]tsv$", "[.]faa$"])
+    assert sorted((r["class"], r["genome"], len(r["files"])) for r in good.collect()) == [("a", "g1", 2), ("b", "g3", 2)]
+    assert [(r["class"], r["genome"], r["missing"]) for r in bad.collect()] == [("a", "g2", ["[.]faa$"])]
+    assert readers.genomes(spark, f"{tmp_path}/top", [], limit=1)[0].count() == 1
