@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, html_extract, lm_score, mixing, near_dedup, neighbours, periodic, pii, quality, sharding, toxicity
+from . import chat_format, conversation_repair, decontaminate, html_extract, lm_score, mixing, near_dedup, neighbours, periodic, pii, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_lm_scoring": lm_score.op9_lm_scoring,
         "op10_mixing": mixing.op10_mixing,
         "op11_nearest_neighbours": neighbours.op11_nearest_neighbours,
+        "op12_conversation_repair": conversation_repair.op12_conversation_repair,
         "op13_periodic_runs": periodic.op13_periodic_runs,
         "quality_ablation": quality.quality_ablation,
         "pipeline": corpus_pipeline.run,
