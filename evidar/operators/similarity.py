@@ -2,53 +2,212 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import scratch
 from .relational import first_by
 
-BLOCK = 4096
+#: Rows of a block, queries that meet it in one task, and the bytes of centres that travel with a task.
+BLOCK, QUERIES, CENTRE_BYTES = 4096, 2048, 32 << 20
+#: Width of the rings of a cell, in distance from its centre (unit vectors lie at most 2 apart).
+RING = 1 / 64
+#: What rounding to six digits may move a similarity by, and a little more.
+SLACK = 2e-6
 
 
-def knn(queries: DataFrame, reference: DataFrame, k: int, vector: str = "embedding", id_: str = "vec_id", same_table: bool = True, block: int = BLOCK) -> DataFrame:
-    """(q, r, sim, rank): the k most similar reference rows of each query, exact, ties by id.
+def unit(column: pa.Array, dim: int) -> np.ndarray:
+    """The rows of a list column as unit vectors, in double precision."""
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    m = m / np.abs(m).max(axis=1, keepdims=True)
+    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
-    Both sides are cut into blocks by a hash of the id; each pair of blocks is
-    one task, which multiplies two matrices and keeps its k best for each
-    query.  The lists of a query meet in a second step.  Nothing is broadcast.
+
+def distances(u: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * (u @ centres.T), 0))
+
+
+class NeighbourIndex:
+    """A written index for exact nearest neighbours by cosine.
+
+    Rows with the same vector are one entry.  Entries belong to the cell of
+    their nearest centre; a cell is cut into rings by the distance from its
+    centre, and rings into blocks of about BLOCK entries.  By the triangle
+    inequality a query at distance d of a centre is no nearer than lo - d and
+    d - hi to an entry of a ring (lo, hi), so a block whose bound is worse than
+    the query's k-th best neighbour so far need not be compared.
+
+    Tables, in a folder that the cluster shares: ``entries`` (e, v, cell, dist,
+    ring, block), ``members`` (e, id) and ``blocks`` (cell, ring, block, n, lo,
+    hi), which has a row for BLOCK entries or a ring.
     """
 
-    def blocks(df: DataFrame) -> int:
-        return max(1, -(-df.count() // block))
+    def __init__(self, spark: SparkSession, reference: DataFrame, vector: str = "embedding", id_: str = "vec_id", cells: int | None = None, block: int = BLOCK):
+        self.spark, self.path, self.block = spark, scratch(spark, "neighbours"), block
+        rows = reference.select(F.col(id_).alias("id"), F.col(vector).alias("v")).filter("id is not null and v is not null")
+        self.kind = rows.schema["id"].dataType.simpleString()
+        rows = self.save(rows.withColumn("e", F.xxhash64("v")), "rows")
+        # Entries are told by their vectors; the hash only names them, so two vectors of one hash get the vector's text to it.
+        same = rows.groupBy("e", "v").agg(F.min("id").alias("least"))
+        clash = same.groupBy("e").count().filter("count > 1").select("e")
+        name = F.concat_ws("/", F.col("e").cast("string"), F.when(F.col("clash"), F.col("v").cast("string")))
+        flagged = lambda df: df.join(clash.withColumn("clash", F.lit(True)), "e", "left").withColumn("e", name).drop("clash")
+        self.members = self.save(flagged(rows).select("e", "id"), "members")
+        entries = flagged(same).select("e", "v")
+        zero = ~F.exists("v", lambda x: x != 0)
+        self.zeros = self.save(entries.filter(zero).join(self.members, "e").select("id"), "zeros")
+        entries = self.save(entries.filter(~zero), "vectors")
+        self.n = entries.count()
+        first = entries.select(F.size("v").alias("d")).first()
+        self.dim = first["d"] if first else 1
+        wanted = cells or int(min(max(1, self.n**0.5), CENTRE_BYTES / 8 / self.dim))
+        self.centres = self._centres(entries, wanted)
+        dealt = self.save(self._dealt(entries), "dealt")
+        # Rings of a cell are joined until a block is full; one that is more than full is dealt by a hash.
+        rings = dealt.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi"))
+        upto = Window.partitionBy("cell").orderBy("ring").rowsBetween(Window.unboundedPreceding, -1)  # 128 rings of a cell at most
+        rings = rings.withColumn("group", F.floor(F.coalesce(F.sum("n").over(upto), F.lit(0)) / block))
+        groups = rings.groupBy("cell", "group").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        self.blocks = self.save(groups.withColumn("parts", F.ceil(F.col("n") / block)), "blocks")
+        placed = dealt.join(rings.select("cell", "ring", "group"), ["cell", "ring"]).join(self.blocks.select("cell", "group", "parts"), ["cell", "group"])
+        self.entries = self.save(placed.select("e", "v", "cell", "group", F.pmod(F.xxhash64("e", F.lit(1)), F.col("parts")).alias("part")), "entries")
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def _centres(self, entries: DataFrame, wanted: int) -> np.ndarray:
+        """Drawn entries, moved once to the mean of the drawn ones next to each; bounded by CENTRE_BYTES."""
+        drawn = entries.orderBy(F.xxhash64("e", F.lit(7)), "e").limit(int(min(8 * wanted, max(wanted, CENTRE_BYTES / 8 / self.dim)))).select("v").collect()
+        u = unit(pa.array([list(r["v"]) for r in drawn], pa.list_(pa.float64())), self.dim) if drawn else np.zeros((0, self.dim))
+        c = u[:wanted]
+        if len(u) > len(c):
+            near = distances(u, c).argmin(1)
+            c = np.stack([u[near == i].sum(0) if (near == i).any() else c[i] for i in range(len(c))])
+            length = np.linalg.norm(c, axis=1, keepdims=True)
+            c = np.where(length > 1e-9, c / np.maximum(length, 1e-9), u[: len(c)])
+        return c
+
+    def _dealt(self, entries: DataFrame) -> DataFrame:
+        centres, dim = self.centres, self.dim
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if len(b):
+                    d = distances(unit(b.column("v"), dim), centres)
+                    cell = d.argmin(1)
+                    dist = d[np.arange(len(d)), cell]
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(dist), pa.array((dist / RING).astype(np.int32))], names=["e", "v", "cell", "dist", "ring"])
+
+        return entries.mapInArrow(deal, f"e string, v {entries.schema['v'].dataType.simpleString()}, cell int, dist double, ring int")
+
+    def _cells(self, asked: DataFrame, best: int | None = None) -> DataFrame:
+        """(q, cell, d): the ``best`` cells of each query by their bounds, or all that may hold one of similarity ``least``; ``least`` null takes all."""
+        centres, dim = self.centres, self.dim
+        span = {r["cell"]: (r["lo"], r["hi"]) for r in self.blocks.groupBy("cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()}  # a row for each centre
+        lo, hi = (np.array([span.get(c, (9.0, 9.0))[i] for c in range(len(centres))]) for i in (0, 1))
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            step = max(1, (1 << 22) // max(1, len(centres)))
+            for b in batches:
+                for at in range(0, len(b), step):
+                    x = b.slice(at, step)
+                    d = distances(unit(x.column("v"), dim), centres)
+                    off = np.maximum(np.maximum(lo - d, d - hi), 0)
+                    if best:
+                        order = np.lexsort((d, off), axis=1)[:, :best]
+                        i, j = np.repeat(np.arange(len(x)), order.shape[1]), order.ravel()
+                    else:
+                        least = x.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
+                        i, j = np.nonzero((1 - off * off / 2 >= least[:, None] - SLACK) | np.isnan(least)[:, None])
+                    yield pa.RecordBatch.from_arrays([x.column("q").take(pa.array(i)), pa.array(j.astype(np.int32)), pa.array(d[i, j])], names=["q", "cell", "d"])
+
+        return asked.mapInArrow(place, "q string, cell int, d double")
+
+    def _compare(self, asked: DataFrame, todo: DataFrame, k: int) -> DataFrame:
+        """(q, e, sim): the k nearest entries of each block to each query that ``todo`` (q, cell, group) sends there."""
+        key = ["cell", "group", "part"]
+        split = todo.groupBy("cell", "group").agg(F.ceil(F.count("*") / QUERIES).alias("turns")).join(self.blocks.select("cell", "group", "parts"), ["cell", "group"])
+        left = todo.join(split, ["cell", "group"]).select("q", "cell", "group", F.pmod(F.xxhash64("q", F.lit(2)), F.col("turns")).alias("turn"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(asked.select("q", "v"), "q")
+        right = self.entries.join(split.select("cell", "group", "turns"), ["cell", "group"]).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
+        dim = self.dim
+        types = pa.schema([("q", pa.string()), ("e", pa.string()), ("sim", pa.float64())])
+
+        def best(a: pa.Table, b: pa.Table) -> pa.Table:
+            if not len(a) or not len(b):
+                return types.empty_table()
+            q, e = np.array(a["q"].to_pylist(), object), np.array(b["e"].to_pylist(), object)
+            sims = np.round(unit(a["v"].combine_chunks(), dim) @ unit(b["v"].combine_chunks(), dim).T, 6)
+            # All that reach the k-th best: ties are decided by the members' ids.
+            least = np.partition(sims, -k, axis=1)[:, -k] if len(e) > k else np.full(len(q), -2.0)
+            i, j = np.nonzero(sims >= least[:, None])
+            return pa.table([pa.array(q[i], pa.string()), pa.array(e[j], pa.string()), pa.array(sims[i, j])], schema=types)
+
+        return left.groupBy(*key, "turn").cogroup(right.groupBy(*key, "turn")).applyInArrow(best, "q string, e string, sim double")
+
+    def search(self, queries: DataFrame, k: int, vector: str = "embedding", id_: str = "vec_id", same_table: bool = True, probes: int | None = None) -> DataFrame:
+        """(q, r, sim, rank): the k most similar reference rows of each query, by similarity of six digits and then id.
+
+        Exact; with ``probes`` only so many blocks are compared for each query,
+        those of the best bounds.  A zero vector is similar to all rows by 0.
+        Rows without id or vector take no part; vectors are of one length.  The
+        result is written once, and ``compared`` holds how many pairs of a
+        query and a block there are and were compared.
+        """
+        rows = queries.select(F.col(id_).alias("q"), F.col(vector).alias("v")).filter("q is not null and v is not null")
+        run = f"search-{uuid.uuid4().hex[:8]}"
+        zero = ~F.exists("v", lambda x: x != 0)
+        named = self.save(rows.withColumn("k", F.concat(F.xxhash64("v").cast("string"), F.lit("/"), F.md5(F.col("v").cast("string")))), f"{run}-queries")
+        asked = self.save(named.filter(~zero).groupBy("k", "v").agg(F.lit(1).alias("n")).select(F.col("k").alias("q"), "v"), f"{run}-asked")  # equal vectors ask once
+        depth = k + 1 if same_table else k  # one of them may be the query itself
+        rings = F.broadcast(self.blocks) if self.blocks.count() <= 100_000 else self.blocks
+        bound = F.greatest(F.col("lo") - F.col("d"), F.col("d") - F.col("hi"), F.lit(0.0))
+        of = lambda cells: cells.join(rings, "cell").select("q", "cell", "group", (1 - bound * bound / 2).alias("most"), F.abs((F.col("lo") + F.col("hi")) / 2 - F.col("d")).alias("off"))
+        ahead = first_by(of(self._cells(asked.select("q", "v"), probes or FIRST)), ["q"], F.desc("most"), F.asc("off"), F.asc("cell"), F.asc("group"), n=probes or FIRST).select("q", "cell", "group")
+        ahead = self.save(ahead, f"{run}-ahead")
+        found = self.save(self._compare(asked, ahead, depth), f"{run}-near")
+        if not probes:
+            # The depth-th best of the first blocks is a bound: only blocks that may hold one as good are left.
+            kth = first_by(found, ["q"], F.desc("sim"), n=depth, rank="place").filter(F.col("place") == depth).select("q", F.col("sim").alias("least"))
+            wanted = asked.join(kth, "q", "left").select("q", "v", "least")
+            rest = of(self._cells(wanted)).join(kth, "q", "left").filter(F.col("least").isNull() | (F.col("most") >= F.col("least") - SLACK)).select("q", "cell", "group").join(ahead, ["q", "cell", "group"], "left_anti")
+            rest = self.save(rest, f"{run}-rest")
+            found = found.unionByName(self.save(self._compare(asked, rest, depth), f"{run}-far"))
+            ahead = ahead.unionByName(rest)
+        per_query = self.blocks.count()
+        self.compared = {"possible": asked.count() * per_query, "compared": ahead.count()}
 
-    nq, nr = blocks(queries), blocks(reference)
-    part = lambda n: F.pmod(F.xxhash64(id_), F.lit(n)).cast("int")
-    q = queries.select(F.col(id_).alias("id"), F.col(vector).alias("v"), part(nq).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("rb"))
-    r = reference.select(F.col(id_).alias("id"), F.col(vector).alias("v"), part(nr).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
+        # Of one entry the first k + 1 members by id are enough.
+        members = first_by(self.members, ["e"], F.asc("id"), n=depth)
+        best = first_by(found.join(members, "e").select("q", "id", "sim"), ["q"], F.desc("sim"), F.asc("id"), n=depth)
+        near = named.select(F.col("q").alias("own"), "k").join(best, F.col("k") == best["q"]).select("own", "id", "sim")
+        every = F.broadcast(self.members.select("id").orderBy("id").limit(depth))  # k + 1 rows
+        zeros = F.broadcast(self.zeros.orderBy("id").limit(depth))  # likewise
+        nought = F.lit(0.0).alias("sim")
+        near = near.unionByName(named.filter(zero).select(F.col("q").alias("own")).join(every).select("own", "id", nought)).unionByName(named.filter(~zero).select(F.col("q").alias("own")).join(zeros).select("own", "id", nought))
+        near = near.filter(F.col("own") != F.col("id")) if same_table else near
+        ranked = first_by(near, ["own"], F.desc("sim"), F.asc("id"), n=k, rank="rank")
+        return self.save(ranked.select(F.col("own").alias("q"), F.col("id").alias("r"), "sim", "rank"), f"{run}-result")
 
-    def matrix(v: pd.Series) -> np.ndarray:
-        m = np.array(v.tolist(), np.float64).reshape(len(v), -1)
-        return m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
 
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"q": [], "r": [], "sim": []})
-        ids = b["id"].to_numpy()
-        sims = np.round(matrix(a["v"]) @ matrix(b["v"]).T, 6)
-        own = a["id"].to_numpy()
-        if same_table:
-            sims[own[:, None] == ids[None, :]] = -2.0
-        # All that reach the k-th best similarity of a query: ties are decided by id afterwards.
-        least = np.partition(sims, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(own), -1.5)
-        i, j = np.nonzero((sims >= least[:, None]) & (sims > -2))
-        return pd.DataFrame({"q": own[i], "r": ids[j], "sim": sims[i, j]}).sort_values(["q", "sim", "r"], ascending=[True, False, True]).groupby("q", sort=False).head(k)
+#: Blocks that give the first bound of a query.
+FIRST = 3
 
-    near = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(best, "q long, r long, sim double")
-    return first_by(near, ["q"], F.desc("sim"), F.asc("r"), n=k, rank="rank")
+
+def knn(queries: DataFrame, reference: DataFrame, k: int, vector: str = "embedding", id_: str = "vec_id", same_table: bool = True, block: int = BLOCK, probes: int | None = None) -> DataFrame:
+    """(q, r, sim, rank): the k most similar reference rows of each query, ties by id; see NeighbourIndex."""
+    return NeighbourIndex(queries.sparkSession, reference, vector, id_, block=block).search(queries, k, vector, id_, same_table, probes)
+
+
+def recall(found: DataFrame, true: DataFrame) -> DataFrame:
+    """One row (n, hits, recall): how many of the true (q, r) pairs were found."""
+    x = true.select("q", "r").join(found.select("q", "r", F.lit(1).alias("hit")), ["q", "r"], "left")
+    return x.agg(F.count("*").alias("n"), F.count("hit").alias("hits"), (F.count("hit") / F.count("*")).alias("recall"))
 
 
 def vote(neighbours: DataFrame, labels: DataFrame, weighted: bool = False) -> DataFrame:
@@ -76,36 +235,35 @@ def centroids(df: DataFrame, label: str, vector: str = "embedding") -> DataFrame
     return whole.withColumn("_l", length).select(label, F.when(F.col("_l") == 0, F.col("c")).otherwise(F.transform("c", lambda x: x / F.col("_l"))).alias("c"))
 
 
-CENTROIDS = 20_000
+def nearest_centroid(df: DataFrame, cents: DataFrame, label: str, vector: str = "embedding", id_: str = "vec_id", limit: int = CENTRE_BYTES) -> DataFrame:
+    """(id, family, sim, margin) by the nearest centroid, ties by family; a zero vector is similar to all by 0.
 
+    Up to ``limit`` bytes of centroids travel as one matrix and are multiplied
+    with batches of vectors; more are searched in an index of them.  Both give
+    the same rows.  Rows without a vector have no family.
+    """
+    named = cents.select(F.col(label).cast("string").alias("vec_id"), F.col("c").alias("embedding")).filter("vec_id is not null")
+    asked = df.select(F.col(id_).alias("id"), F.col(vector).alias("v"))
+    none = lambda x: x.select("id", F.lit(None).cast("string").alias("family"), F.lit(None).cast("double").alias("sim"), F.lit(None).cast("double").alias("margin"))
+    size = named.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    if not size["n"]:
+        return none(asked)
+    if size["n"] * size["d"] * 8 > limit:
+        two = NeighbourIndex(df.sparkSession, named).search(asked, 2, "v", "id", same_table=False)
+        by = two.groupBy(F.col("q").alias("id")).agg(F.max(F.when(F.col("rank") == 1, F.col("r"))).alias("family"), F.max("sim").alias("sim"), F.min("sim").alias("other"), F.count("*").alias("n"))
+        found = by.select("id", "family", "sim", F.when(F.col("n") > 1, F.round(F.col("sim") - F.col("other"), 6)).otherwise(1.0).alias("margin"))
+        return asked.select("id").join(found, "id", "left")
+    rows = sorted(named.collect(), key=lambda r: r["vec_id"])  # within the limit
+    families, m = pa.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
+    m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
-def nearest_centroid(df: DataFrame, cents: DataFrame, label: str, vector: str = "embedding", id_: str = "vec_id") -> DataFrame:
-    """(id, family, sim, margin) by the nearest centroid, ties by family; a zero vector has no similarity to any.
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, m.shape[1])
+            sims = np.round((v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) == 0, 1, n)) @ m.T, 6)
+            order = np.argsort(-sims, axis=1, kind="stable")[:, :2]
+            two = np.take_along_axis(sims, order, 1)
+            margin = np.round(two[:, 0] - two[:, 1], 6) if len(families) > 1 else np.ones(len(v))
+            yield pa.RecordBatch.from_arrays([b.column("id"), families.take(pa.array(order[:, 0])), pa.array(two[:, 0]), pa.array(margin)], names=["id", "family", "sim", "margin"])
 
-    There is one centroid for each class of a taxonomy.  Up to CENTROIDS of
-    them travel as one matrix and are multiplied with batches of vectors; more
-    are compared as blocks of a nearest-neighbour search.
-    """
-    named = cents.select(F.col(label).cast("string").alias("family"), "c").filter("family is not null")
-    rows = named.limit(CENTROIDS + 1).collect()
-    if len(rows) <= CENTROIDS:
-        rows.sort(key=lambda r: r["family"])
-        families, m = np.array([r["family"] for r in rows], object), np.array([r["c"] for r in rows], np.float64)
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if len(rows) else m
-
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                v = np.array(b["v"].tolist(), np.float64).reshape(len(b), -1)
-                sims = np.round((v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) == 0, np.nan, n)) @ m.T, 6)
-                order = np.argsort(-sims, axis=1, kind="stable")[:, :2]
-                two = np.take_along_axis(sims, order, 1)
-                margin = np.round(two[:, 0] - two[:, 1], 6) if len(families) > 1 else np.ones(len(b))
-                yield pd.DataFrame({"id": b["id"], "family": families[order[:, 0]], "sim": two[:, 0], "margin": margin})
-
-        if not rows:
-            return df.select(F.col(id_).alias("id"), F.lit(None).cast("string").alias("family"), F.lit(None).cast("double").alias("sim"), F.lit(None).cast("double").alias("margin"))
-        return df.select(F.col(id_).alias("id"), F.col(vector).alias("v")).mapInPandas(best, f"id {df.schema[id_].dataType.simpleString()}, family string, sim double, margin double")
-    numbered = named.withColumn("r", F.xxhash64("family"))
-    two = knn(df.select(F.col(id_).alias("id"), F.col(vector).alias("v")), numbered.select(F.col("r").alias("id"), F.col("c").alias("v")), 2, vector="v", id_="id", same_table=False)
-    two = two.join(numbered.select("r", "family"), "r").groupBy(F.col("q").alias("id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("s"), "family"))).alias("t"))
-    return two.select("id", F.get("t", F.lit(0))["family"].alias("family"), (-F.get("t", F.lit(0))["s"]).alias("sim"), F.round(F.coalesce(F.get("t", F.lit(1))["s"] - F.get("t", F.lit(0))["s"], F.lit(1.0)), 6).alias("margin"))
+    return asked.filter("v is not null").mapInArrow(best, f"id {df.schema[id_].dataType.simpleString()}, family string, sim double, margin double").unionByName(none(asked.filter("v is null")))

@@ -48,6 +48,7 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """Searched once and written: every voter reads the same table."""
     return S.knn(vectors(spark, d), vectors(spark, d), k)
 
 
