@@ -1,78 +1,13 @@
-"""Sequential decisions within a group, and deterministic sampling."""
+"""Deterministic sampling and first occurrences."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relational import first_by
 
 
-#: Neighbouring islands that one group takes.
-TOGETHER = 128
-
-
-def islands(df: DataFrame, key: str, start: str, end: str, gap: int | None = None) -> DataFrame:
-    """``df`` with ``_island``: intervals of a key that no other part of the key can touch stand in one island.
-
-    TOGETHER neighbouring islands bear one number, so that small ones do not
-    make a group each.
-
-    An island begins where a start is past every end before it (and ``gap``
-    more).  Ends are first taken together by bins of starts, so that the running
-    maximum over a key with many rows is one over its bins.  A fold over
-    intervals can then be cut at islands without another result.
-    """
-    span = df.agg(F.min(start).alias("lo"), F.max(start).alias("hi")).first()
-    width = max(1.0, ((span["hi"] or 0) - (span["lo"] or 0)) / 4096)
-    binned = df.withColumn("_bin", F.floor(F.col(start) / width))
-    before = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = binned.groupBy(key, "_bin").agg(F.max(end).alias("_top"))
-    bins = bins.select(key, "_bin", F.max("_top").over(before).alias("_carry"))
-    inside = Window.partitionBy(key, "_bin").orderBy(start).rowsBetween(Window.unboundedPreceding, -1)
-    seen = binned.join(bins, [key, "_bin"]).withColumn("_reach", F.greatest("_carry", F.max(end).over(inside)))
-    flag = seen.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + (gap or 0)), 1).otherwise(0))
-    counts = flag.groupBy(key, "_bin").agg(F.sum("_new").alias("_k"))
-    counts = counts.select(key, "_bin", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_k"))
-    upto = Window.partitionBy(key, "_bin").orderBy(start).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return flag.withColumn("_in", F.sum("_new").over(upto)).join(counts, [key, "_bin"]).withColumn("_island", F.floor((F.col("_k") + F.col("_in")) / TOGETHER)).drop("_bin", "_carry", "_reach", "_new", "_k", "_in")
-
-
-def resolve_overlaps(df: DataFrame, key: str, id_: str, start: str, end: str, *order: str, share: float = 0.5) -> DataFrame:
-    """Rows kept when each group is read in ``order``: those that overlap no kept row by more than ``share`` of the shorter."""
-    names = [key, id_, start, end]
-
-    def keep(g: pd.DataFrame) -> pd.DataFrame:
-        s, e = g[start].to_numpy(), g[end].to_numpy()
-        kept = np.zeros(len(g), bool)
-        for i in range(len(g)):
-            x, y = s[kept], e[kept]
-            both = np.minimum(e[i], y) - np.maximum(s[i], x) + 1
-            kept[i] = not (both > share * np.minimum(e[i] - s[i] + 1, y - x + 1)).any()
-        return g[kept]
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*names).schema.fields)
-    return islands(df, key, start, end).groupBy(key, "_island").applyInPandas(lambda g: keep(g.sort_values([*order, id_], ignore_index=True))[names], schema)
-
-
-def pack_lanes(df: DataFrame, key: str, id_: str, start: str, end: str, gap: int = 8) -> DataFrame:
-    """(key, id, lane): each interval, by start and then id, in the first lane whose last interval ends more than ``gap`` before it begins."""
-
-    def pack(g: pd.DataFrame) -> pd.DataFrame:
-        ends: list[int] = []
-        lanes = []
-        for s, e in zip(g[start], g[end], strict=True):
-            lane = next((i for i, x in enumerate(ends) if s > x + gap), len(ends))
-            ends[lane : lane + 1] = [e]
-            lanes.append(lane)
-        return pd.DataFrame({key: g[key], id_: g[id_], "lane": lanes})
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return islands(df, key, start, end, gap).groupBy(key, "_island").applyInPandas(lambda g: pack(g.sort_values([start, id_], ignore_index=True)), f"{key} {kinds[key]}, {id_} {kinds[id_]}, lane int")
-
-
 def draw(id_: str, seed: str) -> Column:
     """A place in a reproducible random order."""
     return F.md5(F.concat_ws("|", F.col(id_).cast("string"), F.lit(seed)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import overlap_join
 
 def first_by(df: DataFrame, keys: list[str], *order: Column, n: int = 1, rank: str | None = None) -> DataFrame:
     """The first n rows of each group in a total order; ``rank`` names a column for the place."""
@@ -38,28 +39,16 @@ def matrix(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame
     return wide.withColumn("total", sum((F.col(v) for v in values), F.lit(0)).cast("long"))
 
 
-def overlapping_pairs(df: DataFrame, key: str, id_: str, start: str, end: str, width: int) -> DataFrame:
-    """(key, a, b), a < b, of the intervals of a key that share a point.
-
-    Starts and ends are whole numbers.  Intervals are dealt into bins of
-    ``width``; a pair is reported in the bin where the later of the two begins,
-    so it is found once and the join has only equality keys.
-    """
-    binned = df.select(key, F.col(id_).alias("i"), F.col(start).alias("s"), F.col(end).alias("e")).filter("s <= e")
-    binned = binned.withColumn("bin", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor(F.col("e") / width))))
-    a, b = binned.alias("a"), binned.alias("b")
-    same = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.i") < F.col("b.i"))
-    meet = (F.col("a.s") <= F.col("b.e")) & (F.col("b.s") <= F.col("a.e"))
-    here = F.floor(F.greatest("a.s", "b.s") / width) == F.col("a.bin")
-    return a.join(b, same & meet & here).select(F.col(f"a.{key}").alias(key), F.col("a.i").alias("a"), F.col("b.i").alias("b"))
-
-
 def neighbourhood(df: DataFrame, focal: DataFrame, keys: list[str], start: str, end: str, id_: str, flank: float, limit: int) -> DataFrame:
     """Rows of the focal row's keys that overlap its interval widened by ``flank``, at most ``limit`` for each focal row, the lowest first.
 
-    ``focal`` has the keys, ``focal_id``, ``focal_start`` and ``focal_end``.
+    ``focal`` has the keys, ``focal_id``, ``focal_start`` and ``focal_end``;
+    starts and ends are whole numbers.  Rows and focal rows meet in a hierarchy
+    of bins, so many focal rows on one contig do not make all its pairs.
     """
-    near = df.join(focal, keys).filter((F.col(end) >= F.col("focal_start") - flank) & (F.col(start) <= F.col("focal_end") + flank))
+    rows = df.withColumn("s", F.col(start)).withColumn("e", F.col(end))
+    asked = focal.withColumn("s", (F.col("focal_start") - flank).cast("long")).withColumn("e", (F.col("focal_end") + flank).cast("long"))
+    near = overlap_join(rows, asked, keys).select(*[F.col(f"a.{c}").alias(c) for c in df.columns], *[F.col(f"b.{c}").alias(c) for c in focal.columns if c not in keys])
     return first_by(near, ["focal_id"], F.asc(start), F.asc(id_), n=limit, rank="place")
 
 

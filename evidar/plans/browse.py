@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import annotation as A
+from ..operators import intervals as I
 from ..operators import relational as R
 from ..tables import table as t
 from .registry import query
@@ -121,7 +122,7 @@ def neighbourhood(spark, d):
 def interval_pairs_binned(spark, d):
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date"))
     o = t(spark, d, "orders").select("o_custkey", "o_orderkey", day.alias("s")).withColumn("e", F.col("s") + 30)
-    return R.overlapping_pairs(o, "o_custkey", "o_orderkey", "s", "e", 60).groupBy("o_custkey").agg(F.count("*").alias("n_pairs"))
+    return I.overlapping_pairs(o, "o_custkey", "o_orderkey", "s", "e").groupBy("o_custkey").agg(F.count("*").alias("n_pairs"))
 
 
 @query("cluster_aggregate", "WITH c AS (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL), s AS (SELECT l_orderkey, string_agg(l_returnflag || ' x ' || n, ', ' ORDER BY l_returnflag) AS composition FROM c GROUP BY l_orderkey), m AS (SELECT l_orderkey, CAST(CAST(min(l_shipdate) AS DATE) AS VARCHAR) AS first_day, CAST(CAST(max(l_shipdate) AS DATE) AS VARCHAR) AS last_day, count(*) AS n_members FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, first_day, last_day, n_members, composition FROM m JOIN s USING (l_orderkey)")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import folds, metrics, models, search
+from ..operators import folds
+from ..operators import intervals as folded
+from ..operators import metrics, models, search
 from ..operators import relational as R
 from ..streaming import counters, ingest
 from ..tables import scratch
@@ -113,14 +115,22 @@ def intervals(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("end", F.col("start") + 3600 * 6 + (F.col("event_id") % 7) * 3600).withColumn("worst", -F.col("value"))
 
 
-@query("overlap_resolve")
+# In order of the rows of a user: what was kept so far, and the ends of the lanes so far, go with the recursion.
+IN_ORDER = "WITH RECURSIVE e AS (SELECT user_id, event_id, value, CAST(floor(epoch(CAST(ts AS TIMESTAMP))) AS BIGINT) AS s FROM events), i AS (SELECT user_id, event_id, s, s + 21600 + (event_id % 7) * 3600 AS e, row_number() OVER (PARTITION BY user_id ORDER BY {order}, event_id) AS n FROM e), "
+
+
+@query("overlap_resolve", IN_ORDER.format(order="-value") + """f AS (SELECT user_id, 0::BIGINT AS n, []::STRUCT(i BIGINT, s BIGINT, e BIGINT)[] AS k FROM (SELECT DISTINCT user_id FROM i)
+  UNION ALL SELECT f.user_id, i.n, CASE WHEN len(list_filter(f.k, lambda x: least(x.e, i.e) - greatest(x.s, i.s) + 1 > 0.5 * least(x.e - x.s + 1, i.e - i.s + 1))) = 0 THEN list_append(f.k, {'i': i.event_id, 's': i.s, 'e': i.e}) ELSE f.k END FROM f JOIN i ON i.user_id = f.user_id AND i.n = f.n + 1),
+z AS (SELECT user_id, unnest(arg_max(k, n)) AS x FROM f GROUP BY user_id) SELECT user_id, x.i AS event_id, x.s AS start, x.e AS "end" FROM z""")
 def overlap_resolve(spark, d):
-    return folds.resolve_overlaps(intervals(spark, d), "user_id", "event_id", "start", "end", "worst")
+    return folded.resolve_overlaps(intervals(spark, d), "user_id", "event_id", "start", "end", "worst")
 
 
-@query("lane_pack")
+@query("lane_pack", IN_ORDER.format(order="s") + """f AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::BIGINT AS l, []::BIGINT[] AS ends FROM (SELECT DISTINCT user_id FROM i)
+  UNION ALL SELECT user_id, n, event_id, l, CASE WHEN l <= len(ends) THEN list_concat(ends[1:l - 1], [e], ends[l + 1:]) ELSE list_append(ends, e) END FROM (SELECT f.user_id, i.n, i.event_id, i.e, f.ends, coalesce(list_position(list_transform(f.ends, lambda x: i.s > x + 8), true), len(f.ends) + 1) AS l FROM f JOIN i ON i.user_id = f.user_id AND i.n = f.n + 1))
+SELECT user_id, event_id, CAST(l - 1 AS INTEGER) AS lane FROM f WHERE n > 0""")
 def lane_pack(spark, d):
-    return folds.pack_lanes(intervals(spark, d), "user_id", "event_id", "start", "end")
+    return folded.pack_lanes(intervals(spark, d), "user_id", "event_id", "start", "end")
 
 
 @query("stratified_sample", "SELECT lang, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '|13'), doc_id) AS rn FROM documents) WHERE rn <= 40")

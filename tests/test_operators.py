@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidar.functions import annotation as A
-from evidar.operators import evidence, folds, metrics, relational, similarity
+from evidar.operators import evidence, folds, intervals, metrics, relational, similarity
 
 
 def one(spark, expr, **values):
@@ -110,8 +110,8 @@ def test_consensus_denominators(spark):
 def test_overlap_resolution_and_lanes(spark):
     rows = [("p", 1, 1, 100, 0.1), ("p", 2, 40, 140, 0.2), ("p", 3, 90, 200, 0.3), ("q", 4, 5, 9, 0.0)]
     df = spark.createDataFrame(rows, "k string, i int, s int, e int, w double")
-    assert {r["i"] for r in folds.resolve_overlaps(df, "k", "i", "s", "e", "w").collect()} == {1, 3, 4}
-    assert {r["i"]: r["lane"] for r in folds.pack_lanes(df, "k", "i", "s", "e").collect()} == {1: 0, 2: 1, 3: 2, 4: 0}
+    assert {r["i"] for r in intervals.resolve_overlaps(df, "k", "i", "s", "e", "w").collect()} == {1, 3, 4}
+    assert {r["i"]: r["lane"] for r in intervals.pack_lanes(df, "k", "i", "s", "e").collect()} == {1: 0, 2: 1, 3: 2, 4: 0}
 
 
 def test_sampling_does_not_depend_on_partitions(spark):
@@ -150,10 +150,10 @@ def test_folds_at_islands_equal_folds_of_whole_keys(spark):
             lane = next((n for n, x in enumerate(ends) if s > x + 8), len(ends))
             ends[lane : lane + 1] = [e]
             lanes[i] = lane
-    assert {r["i"] for r in folds.resolve_overlaps(df, "k", "i", "s", "e", "w").collect()} == kept
-    assert {r["i"]: r["lane"] for r in folds.pack_lanes(df, "k", "i", "s", "e").collect()} == lanes
+    assert {r["i"] for r in intervals.resolve_overlaps(df, "k", "i", "s", "e", "w").collect()} == kept
+    assert {r["i"]: r["lane"] for r in intervals.pack_lanes(df, "k", "i", "s", "e").collect()} == lanes
     touching = spark.createDataFrame([(1, 1, 0, 10), (1, 2, 18, 20), (1, 3, 19, 30)], "k int, i int, s int, e int")
-    assert {r["i"]: r["lane"] for r in folds.pack_lanes(touching, "k", "i", "s", "e").collect()} == {1: 0, 2: 1, 3: 0}
+    assert {r["i"]: r["lane"] for r in intervals.pack_lanes(touching, "k", "i", "s", "e").collect()} == {1: 0, 2: 1, 3: 0}
 
 
 def test_headers_helices_and_lookups(spark):
