@@ -33,7 +33,6 @@ VOTERS = 96
 FEATURES = 768
 ITERATIONS = 12
 THRESHOLD = 0.3
-CANDIDATES = 50_000
 MEMO = 300_000
 
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -58,7 +57,7 @@ class Known(dict):
     def __init__(self, features: list[str]):
         self.places: dict[str, list[tuple[int, int]]] = {}
         for i, f in enumerate(features):
-            base, level = (f[:-1], int(f[-1])) if f[-1].isdigit() else (f, 1)
+            base, level = (f[:-1], int(f[-1])) if f[-2:-1] == "*" else (f, 1)  # no word holds a star
             self.places.setdefault(base, []).append((level, i))
 
     def __missing__(self, word: str) -> tuple[str, ...]:
@@ -73,48 +72,48 @@ class Known(dict):
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """Whether a row is kept from fitting; a row without an id has no label and is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def train_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(text, toxic) of at most ``rows`` labelled documents, chosen by a hash of the id."""
+    """(doc_id, text, toxic) of at most ``rows`` labelled documents, chosen by a hash of the id.
+
+    One row for each id: of labels that disagree the larger counts, of several
+    texts under one id the smallest.
+    """
     usable = labels.filter("toxic is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")  # at most ``rows`` narrow rows
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` narrow rows
+    return texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
 
 
 def suggest(train: DataFrame, n: int) -> list[str]:
     """The n words and stems that most speak for toxic, by their document frequencies among toxic and other rows."""
 
-    def on_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                words = set(TOKEN.findall(text.lower())) if text else set()
-                seen.update(features_of(words))
-        names = list(seen)
-        for i in range(0, len(names), 10_000):
-            part = names[i : i + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[f] for f in part], pa.int64())], names=["feature", "pos"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[Counter, Counter] = Counter(), Counter()
 
-    is_toxic = F.coalesce(F.col("toxic") == 1, F.lit(False))
-    found = train.filter(is_toxic).select("text").mapInArrow(on_toxic, "feature string, pos long").groupBy("feature").agg(F.sum("pos").alias("pos")).filter("pos >= 2")
-    pos = {r["feature"]: r["pos"] for r in found.orderBy(F.desc("pos"), "feature").limit(CANDIDATES).collect()}
-    names = sorted(pos)
+        def told() -> Iterator[pa.RecordBatch]:
+            names = sorted(seen[0].keys() | seen[1].keys())
+            for i in range(0, len(names), 10_000):
+                part = names[i : i + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[f] for f in part], pa.int64()) for c in seen)], names=["feature", "neg", "pos"])
 
-    def on_other(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = Known(names), np.zeros(len(names), np.int64)
         for b in batches:
-            for text in b.column(0).to_pylist():
-                seen[known.in_text(text)] += 1
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["place", "neg"])
-
-    neg = {r["place"]: r["neg"] for r in train.filter(~is_toxic).select("text").mapInArrow(on_other, "place long, neg long").groupBy("place").agg(F.sum("neg").alias("neg")).collect()}
-    n_pos = train.filter(is_toxic).count() + 1.0
-    n_neg = train.filter(~is_toxic).count() + 1.0
-    lift = {f: np.log((pos[f] + 0.5) / n_pos) - np.log((neg.get(i, 0) + 0.5) / n_neg) for i, f in enumerate(names)}
-    return sorted((f for f in names if lift[f] > 1), key=lambda f: (-round(lift[f] * pos[f], 6), f))[:n]
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                seen[toxic].update(features_of(set(TOKEN.findall(text.lower())) if text else set()))
+                if len(seen[0]) + len(seen[1]) > MEMO:  # told in parts, which are summed afterwards
+                    yield from told()
+                    seen = Counter(), Counter()
+        yield from told()
+
+    is_toxic = F.coalesce(F.col("toxic") == 1, F.lit(False))
+    counts = train.select("text", is_toxic.cast("int").alias("y")).mapInArrow(count, "feature string, neg long, pos long").groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).filter("pos >= 2")
+    rows = train.agg(F.count(F.when(is_toxic, 1)).alias("pos"), F.count(F.when(~is_toxic, 1)).alias("neg")).first()
+    lift = F.log((F.col("pos") + 0.5) / (rows["pos"] + 1.0)) - F.log((F.col("neg") + 0.5) / (rows["neg"] + 1.0))
+    best = counts.withColumn("lift", lift).filter("lift > 1").orderBy(F.desc(F.round(F.col("lift") * F.col("pos"), 6)), "feature").limit(n)
+    return [r["feature"] for r in best.select("feature").collect()]
 
 
 def choose_voters(x: np.ndarray, toxic: np.ndarray, n: int = VOTERS) -> list[int]:

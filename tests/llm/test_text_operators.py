@@ -290,6 +290,20 @@ def test_stages_keep_columns_of_any_name(spark, empty):
 # toxicity
 
 
+def test_toxicity_of_odd_words_and_rows(spark):
+    """Superscripts end a word like any letter; repeated rows, ids without text, labels that disagree and rows without an id."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2][:120]
+    rows = [(i, prose(30, i) + (" vile m² x³ filth" if n % 3 == 0 else "")) for n, i in enumerate(ids)]
+    df = spark.createDataFrame([*rows, *rows[:30], (rows[0][0], "another text"), (None, "vile m² x³ filth"), (9999, None), (9998, "vile m² x³ filth " * 20_000)], DOCS)
+    labels = spark.createDataFrame([(i, int(n % 3 == 0)) for n, i in enumerate(ids)] + [(ids[1], 1), (ids[1], 0), (None, 1), (9999, 1)], "doc_id long, toxic int")
+    train = toxicity.train_rows(df, labels)
+    assert train.count() == train.select("doc_id").distinct().count() <= len(ids) + 1
+    got = toxicity.score(df, toxicity.fit(df, labels, ws(spark))).withColumn("h", toxicity.held_out(F.col("doc_id"))).collect()
+    assert len(got) == df.count() and all(r["h"] is not None and 0 <= r["score"] <= 1 for r in got)
+    by_id = {r["doc_id"]: r["predicted"] for r in got}
+    assert by_id[None] == by_id[9998] == by_id[ids[3]] == 1 and by_id[9999] == by_id[ids[2]] == 0
+
+
 def test_label_model_finds_good_and_bad_voters():
     r = np.random.RandomState(0)
     y = r.rand(4000) < 0.2
