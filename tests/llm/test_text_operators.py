@@ -273,9 +273,25 @@ def test_pii_patterns_that_secrets_seed_give_away_other_values(spark):
     assert all(spans[i] == "id:14:78" for i in range(30)) and spans[40] == "id:12:20" and spans[41] == ""
 
 
+def test_pii_of_two_texts_under_one_id(spark):
+    rows = [(i, f"please write to contact: u{i}@site{i}.com today") for i in range(40)] + [(50, "please write to contact: u50#site50.com today"), (50, "x"), (50, "x"), (None, "please write to contact: u51#site51.com today")]
+    got = pii.find(spark.createDataFrame(rows, DOCS), ws(spark)).filter("doc_id = 50 or doc_id is null").select("doc_id", pii.joined("spans")).collect()
+    assert sorted((str(r[0]), r[1]) for r in got) == [("50", ""), ("50", ""), ("50", "id:25:39"), ("None", "")]
+
+
 # stages
 
 
+def test_decontamination_stage_goes_by_text(spark, tmp_path):
+    """Of two texts under one id the clean one stays; a leaky row without an id goes."""
+    item = prose(60, 77)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leaky = f"{prose(40, 5)} {item} {prose(40, 6)}"
+    rows = [(1, leaky), (1, prose(200, 8)), (2, prose(200, 9)), (None, leaky), (None, prose(90, 10)), (3, None), (4, "")]
+    left = decontaminate.stage(spark, spark.createDataFrame(rows, DOCS), str(tmp_path))
+    assert sorted((tuple(r) for r in left.collect()), key=str) == sorted((r for r in rows if r[1] != leaky), key=str)
+
+
 def test_stages_keep_columns_of_any_name(spark, empty):
     names = ["doc_id", "text", "n_words", "failed_bits", "_m", "_n", "_w", "_x", "_c", "_p", "_own", "own", "size", "shard"]
     rows = [(i, prose(60, i), *["mine"] * 12) for i in range(6)] + [(7, None, *["mine"] * 12)]
