@@ -44,10 +44,11 @@ def majority(*calls: Column) -> Column:
 def compare_methods(df: DataFrame, group: list[str], tool: str, advanced: Column, fusion: Column, placeholder: Column) -> DataFrame:
     """Per group: baseline and advanced tools, and whether only advanced methods make the call with enough support."""
     named = df.withColumn("_adv", advanced).withColumn("_fus", fusion).withColumn("_ph", placeholder)
+    advanced_set = F.collect_set(F.when(F.col("_adv"), F.col(tool)))
     out = named.groupBy(*group).agg(
         F.array_join(F.array_sort(F.collect_set(F.when(~F.col("_adv"), F.col(tool)))), ",").alias("baseline_tools"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("_adv"), F.col(tool)))), ",").alias("advanced_tools"),
-        F.count_distinct(F.when(F.col("_adv"), F.col(tool))).alias("n_adv"),
+        F.array_join(F.array_sort(advanced_set), ",").alias("advanced_tools"),
+        F.size(advanced_set).cast("long").alias("n_adv"),
         F.bool_or(~F.col("_adv")).alias("_base"),
         F.bool_or(F.col("_adv") & F.col("_fus")).alias("_fusion"),
         F.bool_or("_ph").alias("_placeholder"),

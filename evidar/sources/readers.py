@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.annotation import cleaned, families_in_cell, whole
+from ..functions.methods import COLUMNS, json_object, primary_family
 from ..operators.relational import first_by
 
 
@@ -188,7 +189,26 @@ def manifest(spark: SparkSession, path: str, tools: list[str]) -> DataFrame:
     return p.unionByName(f).withColumn("path", F.concat_ws("/", "base", "path"))
 
 
-#: By type of feature: columns for label, score, start, end and path, and columns that join the attributes.  A label after "=" is a constant.
+def method_predictions(spark: SparkSession, path: str, tool: str, methods: DataFrame, id_: str | None = None, family: str | None = None, confidence: str | None = None) -> DataFrame:
+    """(protein_id, family, confidence, ec, all_families, extra, tool) of a method's own table, read by its row in ``methods``.
+
+    The row names the columns (arguments override it; a method that is not
+    registered has protein_id, family and confidence) and those that go into
+    the JSON object ``extra``.  Of several families in a cell the first is the
+    call and ``all_families`` has all.  Rows without an id go; one without a
+    family abstains.  Adding a method is adding a row.
+    """
+    row = methods.filter(F.col("key") == tool).first()
+    pick = {k: row[k] if row and row[k] else v for k, v in COLUMNS.items()}
+    df = delimited(spark, path)
+    cell = lambda c: cleaned(F.col(f"`{c}`"), "advanced") if c in df.columns else F.lit(None).cast("string")
+    first, every = primary_family(cell(family or pick["family_column"]))
+    extra = json_object({c: F.col(f"`{c}`") for c in (row["extra"] if row else []) if c in df.columns})
+    out = df.select(cell(id_ or pick["id_column"]).alias("protein_id"), first.alias("family"), cell(confidence or pick["confidence_column"]).try_cast("double").alias("confidence"), cell("ec").alias("ec"), every.alias("all_families"), extra.alias("extra"), F.lit(tool).alias("tool"))
+    return out.filter("protein_id is not null")
+
+
+#: Fixed values.  By type of feature: columns for label, score, start, end and path, and columns that join the attributes.  A label after "=" is a constant.
 FEATURES: dict[str, tuple[dict[str, str], list[str]]] = {
     "signal_peptide": ({"label": "prediction", "score": "sp_prob", "end": "cs_position"}, []),
     "tm_topology": ({"label": "prediction", "score": "n_tm"}, ["topology"]),

@@ -13,7 +13,7 @@ from ..functions.annotation import wrapped
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     """Arrays become sorted, distinct, ";"-joined cells."""
     arrays = {f.name for f in df.schema.fields if f.dataType.typeName() == "array"}
-    df.select(*[F.array_join(F.array_sort(F.array_distinct(c)), ";").alias(c) if c in arrays else F.col(f"`{c}`") for c in df.columns]).write.mode("overwrite").csv(path, sep=sep, header=True)
+    df.select(*[F.array_join(F.array_sort(F.array_distinct(c)), ";").alias(c) if c in arrays else F.col(f"`{c}`") for c in df.columns]).write.mode("overwrite").csv(path, sep=sep, header=True, quote='"', escape='"')
 
 
 def write_fasta(df: DataFrame, path: str, id_: str = "id", sequence: str = "sequence") -> None:
