@@ -126,6 +126,39 @@ def test_ingest_is_idempotent_and_versioned(spark, tmp_path):
     assert ingest.current(spark, root).count() == 4
 
 
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """Both write at once; every source is there once, releases are gapless, and what both bring is taken once."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "wh")
+
+    def write(w):
+        for i in range(3):
+            names = [f"w{w}-{i}", f"both-{i}"]
+            rows = spark.createDataFrame([(n, w, i) for n in names], "source string, writer int, release int")
+            ingest.ingest(spark, rows, spark.createDataFrame([(n, "sum") for n in names], "source string, checksum string"), root)
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(write, (1, 2)))
+    got = ingest.current(spark, root).collect()
+    assert sorted(r["source"] for r in got) == sorted([f"w{w}-{i}" for w in (1, 2) for i in range(3)] + [f"both-{i}" for i in range(3)])
+    assert {r["ingest_release"] for r in got} <= set(range(1, 7)) and all(r["release"] in (0, 1, 2) for r in got)
+    assert ingest.sweep(spark, root, 3600) == 0
+    spark.range(2).write.parquet(f"{root}/rows/part_run=orphan")
+    assert ingest.sweep(spark, root, 0) >= 1 and not (tmp_path / "wh/rows/part_run=orphan").exists()
+    assert len(ingest.current(spark, root).collect()) == len(got)
+
+
+def test_a_source_of_several_parts(spark, tmp_path):
+    root = str(tmp_path / "wh")
+    schema, sums = "source string, part string, x int", "source string, part string, checksum string"
+    assert ingest.ingest(spark, spark.createDataFrame([("s", "a", 1), ("s", "a", 2)], schema), spark.createDataFrame([("s", "a", "1")], sums), root) == 1
+    assert ingest.ingest(spark, spark.createDataFrame([("s", "b", 3)], schema), spark.createDataFrame([("s", "b", "1")], sums), root) == 1
+    assert sorted(r["x"] for r in ingest.current(spark, root).collect()) == [1, 2, 3]
+    assert ingest.ingest(spark, spark.createDataFrame([("s", "a", 9), ("s", "b", 3)], schema), spark.createDataFrame([("s", "a", "2"), ("s", "b", "1")], sums), root) == 1
+    assert sorted(r["x"] for r in ingest.current(spark, root).collect()) == [3, 9] and ingest.versions(spark, root).count() == 4
+
+
 def test_stream_takes_each_file_once(spark, tmp_path):
     incoming, root = str(tmp_path / "in"), str(tmp_path / "wh")
     spark.range(5).coalesce(1).write.parquet(f"{incoming}/a")
