@@ -49,11 +49,46 @@ def family_of_best(hits: DataFrame, labels: DataFrame, query: str, target: str,
 def fetch(rows: DataFrame, wanted: DataFrame, partition: str, id_: str) -> DataFrame:
     """The rows of the wanted (partition, id); only the partitions that are asked for are read.
 
-    The partitions are few by their nature (folders), and are named in the
-    filter so that the scan can prune them.
+    ``rows`` is partitioned by folders of ``partition``, so where Spark
+    broadcasts the wanted rows it takes the folders to read from them, at run
+    time; nothing is collected.
     """
-    parts = [r[0] for r in wanted.select(partition).distinct().collect()]
-    return rows.filter(F.col(partition).isin(parts)).join(wanted.select(partition, id_).distinct(), [partition, id_], "left_semi")
+    return rows.join(wanted.select(partition, id_).distinct(), [partition, id_], "left_semi")
+
+
+def with_evidence(items: DataFrame, key: str, tables: dict[str, DataFrame], defaults: dict[str, object]) -> DataFrame:
+    """``items`` with the columns of every table of evidence, which has a row for each key or none, and n_tools, how many tables know the item.
+
+    A column that ``defaults`` names gets that value where nothing is known.
+    All sides are joined on one key, so items are shuffled by it once.
+    """
+    out, flags = items, []
+    for name, df in tables.items():
+        out = out.join(df.withColumn(f"_{name}", F.lit(1)), key, "left")
+        flags.append(F.coalesce(f"_{name}", F.lit(0)))
+    out = out.withColumn("n_tools", sum(flags, F.lit(0)).cast("int")).drop(*[f"_{n}" for n in tables])
+    return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
+
+
+def build_clusters(members: DataFrame, genes: DataFrame, substrates: DataFrame) -> DataFrame:
+    """(cluster_key, contig, start, end, composition, n_genes, substrate, score) of gene clusters.
+
+    ``members`` is (cluster_key, gene_key, gene_type, contig, start, end, pos),
+    a row for each gene in the order of ``pos``; ``genes`` is (gene_key, contig,
+    start, end); ``substrates`` is (cluster_key, substrate, score).  A cluster
+    spans the coordinates of its members and of their genes, 0 without any; its
+    contig is the first that a member names, else the first of a gene, else
+    "?"; its composition counts the types in the order in which they first
+    appear, as "type×n".  Types are counted before clusters are gathered, so a
+    cluster of any number of genes is a row for each type.
+    """
+    g = genes.select("gene_key", F.nullif("contig", F.lit("")).alias("_contig"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.lit(True).alias("_known"))
+    x = members.join(g, "gene_key", "left").withColumn("gene_type", F.coalesce(F.nullif("gene_type", F.lit("")), F.lit("null")))
+    named = lambda c: F.min(F.when(c.isNotNull(), F.struct("pos", c.alias("contig"))))
+    per = x.groupBy("cluster_key", "gene_type").agg(F.count("*").alias("n"), F.min("pos").alias("pos"), F.least(F.min("start"), F.min("_start")).alias("start"), F.greatest(F.max("end"), F.max("_end")).alias("end"), named(F.nullif("contig", F.lit(""))).alias("own"), named(F.col("_contig")).alias("gene"))
+    kinds = F.transform(F.array_sort(F.collect_list(F.struct("pos", "gene_type", "n"))), lambda t: F.concat(t["gene_type"], F.lit("×"), t["n"].cast("string")))
+    out = per.groupBy("cluster_key").agg(F.coalesce(F.min("own")["contig"], F.min("gene")["contig"], F.lit("?")).alias("contig"), F.coalesce(F.min("start"), F.lit(0)).alias("start"), F.coalesce(F.max("end"), F.lit(0)).alias("end"), F.array_join(kinds, ", ").alias("composition"), F.sum("n").alias("n_genes"))
+    return out.join(substrates.select("cluster_key", "substrate", "score"), "cluster_key", "left")
 
 
 def lookup_with_base(items: DataFrame, reference: DataFrame, family: str, columns: list[str]) -> DataFrame:

@@ -48,6 +48,15 @@ def average_precision(df: DataFrame, score: str, positive: Column) -> DataFrame:
     return s.agg((F.sum(F.col("p") * tp / (tp + F.col("n_before") + F.col("n"))) / F.sum("p")).alias("average_precision"))
 
 
+def precision_recall_curve(df: DataFrame, score: str, positive: Column) -> DataFrame:
+    """(threshold, precision, recall) at every different score, score at least; and the end of the curve, precision 1 and recall 0, without a threshold."""
+    s = running(per_score(df, score, positive), ["p", "n"], descending=True)
+    tp, fp = F.col("p_before") + F.col("p"), F.col("n_before") + F.col("n")
+    total = per_score(df, score, positive).agg(F.sum("p").alias("all"))
+    points = s.join(F.broadcast(total)).select(F.col("score").alias("threshold"), (tp / (tp + fp)).alias("precision"), F.coalesce(F.try_divide(tp, F.col("all")), F.lit(1.0)).alias("recall"))  # one row
+    return points.unionAll(df.sparkSession.range(1).select(F.lit(None).cast("double"), F.lit(1.0), F.lit(0.0)))
+
+
 def operating_points(df: DataFrame, score: str, positive: Column, thresholds: list[float]) -> DataFrame:
     """Precision, recall and F1 at thresholds (score at least)."""
     each = df.select(F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"), F.col(score).alias("s"), positive.alias("y"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +34,8 @@ def containing(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, tex
 
 def _finder(items: list[tuple], doc_id: str, item_id: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
         ids: dict[str, list] = {}
         for i, t in items:
             ids.setdefault(t, []).append(i)

@@ -72,6 +72,11 @@ def average_precision(spark, d):
     return metrics.average_precision(scored(spark, d), "s", F.col("y")).select(F.round("average_precision", 6).alias("average_precision"))
 
 
+@query("precision_recall_curve", EVAL + ", g AS (SELECT s, count(*) FILTER (y) AS p, count(*) AS k FROM e GROUP BY s), c AS (SELECT s, sum(p) OVER w AS tp, sum(k) OVER w AS k, sum(p) OVER () AS n FROM g WINDOW w AS (ORDER BY s DESC)) SELECT round(s, 6) AS threshold, round(tp / k, 6) AS precision, round(tp / n, 6) AS recall FROM c UNION ALL SELECT NULL, 1.0, 0.0")
+def precision_recall_curve(spark, d):
+    return metrics.precision_recall_curve(scored(spark, d), "s", F.col("y")).select(*[F.round(c, 6).alias(c) for c in ("threshold", "precision", "recall")])
+
+
 POINTS = [0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9]
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evidence as E
 from ..operators import merge as J
 from ..operators import metrics as M
+from ..tables import scratch
 from ..tables import table as t
 from .evidence import HEADS, VEC, heads, near, vectors
 from .registry import query
@@ -178,3 +179,42 @@ def novelty_class(spark, d):
 
     kind = F.when(F.col("p_partkey") % 3 == 0, "novel_family").when(F.col("p_partkey") % 3 == 1, "novel_seq").otherwise("other")
     return t(spark, d, "part").select("p_partkey", classify(kind, F.array("p_brand", "p_type"), ["Brand#11", "Brand#12", "ECONOMY"]).alias("class"))
+
+
+FOUR = "WITH a AS (SELECT l_orderkey AS id, max(l_extendedprice) AS bits FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT user_id AS id, count(*) AS hits FROM events GROUP BY 1), c AS (SELECT doc_id AS id, max(quality) AS quality FROM labels GROUP BY 1), e AS (SELECT p_partkey AS id, min(p_brand) AS family FROM part GROUP BY 1)"
+
+
+@query("four_evidence_tables", FOUR + " SELECT o_orderkey AS id, round(coalesce(bits, 0.0), 2) AS bits, coalesce(hits, 0) AS hits, coalesce(quality, -1) AS quality, coalesce(family, '-') AS family, CAST((bits IS NOT NULL)::INT + (hits IS NOT NULL)::INT + (a2.id IS NOT NULL)::INT + (family IS NOT NULL)::INT AS INTEGER) AS n_tools FROM orders LEFT JOIN a ON a.id = o_orderkey LEFT JOIN b ON b.id = o_orderkey LEFT JOIN c a2 ON a2.id = o_orderkey LEFT JOIN e ON e.id = o_orderkey")
+def four_evidence_tables(spark, d):
+    """Four tables of their own, joined to every item."""
+    of = lambda name, k, c: t(spark, d, name).groupBy(F.col(k).alias("id")).agg(c)
+    tables = {
+        "a": t(spark, d, "lineitem").filter("l_returnflag = 'A'").groupBy(F.col("l_orderkey").alias("id")).agg(F.round(F.max("l_extendedprice"), 2).alias("bits")),
+        "b": of("events", "user_id", F.count("*").alias("hits")),
+        "c": of("labels", "doc_id", F.max("quality").alias("quality")),
+        "e": of("part", "p_partkey", F.min("p_brand").alias("family")),
+    }
+    return J.with_evidence(t(spark, d, "orders").select(F.col("o_orderkey").alias("id")), "id", tables, {"bits": 0.0, "hits": 0, "quality": -1, "family": "-"})
+
+
+@query("partitioned_fetch", "SELECT source, doc_id, length(text) AS n FROM documents WHERE source IN ('src1', 'src7') AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def partitioned_fetch(spark, d):
+    """A table in folders by source, of which only the wanted folders are read."""
+    path = scratch(spark, "partitioned")
+    t(spark, d, "documents").write.partitionBy("source").parquet(path)
+    docs = spark.read.parquet(path)
+    wanted = t(spark, d, "documents").filter("source in ('src1', 'src7')").select("source", "doc_id").join(t(spark, d, "labels").filter("quality = 0"), "doc_id", "left_semi").select("source", "doc_id")
+    return J.fetch(docs, wanted, "source", "doc_id").select("source", "doc_id", F.char_length("text").cast("long").alias("n"))
+
+
+@query("gene_clusters", """WITH m AS (SELECT l_orderkey AS k, l_partkey AS g, CASE l_returnflag WHEN 'A' THEN 'CAZyme' WHEN 'N' THEN 'TC' ELSE '' END AS ty, CASE WHEN l_linenumber % 3 = 0 THEN 'c' || l_suppkey ELSE '' END AS contig, l_suppkey AS s, l_suppkey + 5 AS e, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS pos FROM lineitem),
+x AS (SELECT m.*, CASE WHEN p_size % 2 = 0 THEN 'g' || p_size END AS gc, p_size AS gs, p_size + 100 AS ge FROM m LEFT JOIN (SELECT * FROM part WHERE p_partkey % 4 > 0) ON p_partkey = g),
+ty AS (SELECT k, coalesce(nullif(ty, ''), 'null') AS ty, count(*) AS n, min(pos) AS pos FROM m GROUP BY 1, 2), c AS (SELECT k, string_agg(ty || '×' || n, ', ' ORDER BY pos) AS composition FROM ty GROUP BY k)
+SELECT x.k AS cluster_key, coalesce(arg_min(contig, pos) FILTER (contig <> ''), arg_min(gc, pos) FILTER (gc IS NOT NULL), '?') AS contig, least(min(s), min(gs)) AS start, greatest(max(e), max(ge)) AS "end", any_value(composition) AS composition, count(*) AS n_genes, any_value(o_orderpriority) AS substrate FROM x JOIN c ON c.k = x.k LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) o ON o_orderkey = x.k GROUP BY x.k""")
+def gene_clusters(spark, d):
+    kind = F.when(F.col("l_returnflag") == "A", "CAZyme").when(F.col("l_returnflag") == "N", "TC").otherwise("")
+    contig = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("c"), F.col("l_suppkey").cast("string"))).otherwise("")
+    members = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("cluster_key"), F.col("l_partkey").alias("gene_key"), kind.alias("gene_type"), contig.alias("contig"), F.col("l_suppkey").alias("start"), (F.col("l_suppkey") + 5).alias("end"), (F.col("l_linenumber").cast("long") * 100000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("pos"))
+    genes = t(spark, d, "part").filter("p_partkey % 4 > 0").select(F.col("p_partkey").alias("gene_key"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("g"), F.col("p_size").cast("string"))).alias("contig"), F.col("p_size").cast("long").alias("start"), (F.col("p_size") + 100).cast("long").alias("end"))
+    substrates = t(spark, d, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("cluster_key"), F.col("o_orderpriority").alias("substrate"), F.lit(1.0).alias("score"))
+    return J.build_clusters(members, genes, substrates).drop("score")

@@ -121,6 +121,12 @@ def evidence_report(spark, d):
     return out.select("l_orderkey", F.col("r.identity.o_orderpriority").alias("priority"), F.coalesce("r.identity.c_name", F.lit("-")).alias("customer"), F.size("r.review.reasons").cast("long").alias("n_reasons"), "r.lines.n_lines", "r.lines.best_part")
 
 
+@query("decoy_texts", "WITH x AS (SELECT p_partkey, p_name, unnest(string_split(p_name, '')) AS c, generate_subscripts(string_split(p_name, ''), 1) - 1 AS i FROM part) SELECT p_partkey, string_agg(c, '' ORDER BY md5('11|' || i || '|' || p_name), c) AS decoy FROM x GROUP BY p_partkey")
+def decoy_texts(spark, d):
+    """The decoys themselves: letters in the order of a hash of seed, place and sequence."""
+    return t(spark, d, "part").select("p_partkey", folds.shuffled_letters(F.col("p_name"), "11").alias("decoy"))
+
+
 LABEL = "CASE p_partkey % 6 WHEN 0 THEN 'GH5_4' WHEN 1 THEN 'cbm48' WHEN 2 THEN 'SLH' WHEN 3 THEN 'PF00150' WHEN 4 THEN ' GT2 ' END"
 
 

@@ -160,6 +160,12 @@ def embeddings(df: DataFrame, vector: Column) -> DataFrame:
     return df.withColumn("_n", F.when(norm == 0, 1.0).otherwise(norm)).withColumn("unit", F.transform(vector, lambda x: x.cast("double") / F.col("_n"))).drop("_n")
 
 
+def embedding_shards(spark: SparkSession, path: str, vector: str = "emb") -> DataFrame:
+    """The rows of all shards with ``shard`` (the file's name) and ``place`` in it, whose order is that of the shards joined by name; vectors as units."""
+    df = spark.read.parquet(path).withColumns({"shard": F.col("_metadata.file_name"), "place": F.col("_metadata.row_index")})
+    return embeddings(df, F.col(vector))
+
+
 # Where a result folder has its overview tables and its coordinates.
 OVERVIEWS, COORDINATES = "/cazyme/dbcan/cazyme_annotation/[^/]+_overview[.]tsv$", "/annotation/prokka/.*[.]gff$"
 
@@ -297,6 +303,20 @@ def ranked_ec(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("protein_id", F.posexplode(read).alias("i", "x")).select("protein_id", "x.ec_number", "x.confidence", (F.col("i") + 1).alias("rank"))
 
 
+def with_score_type(ranked: DataFrame) -> DataFrame:
+    """``ranked_ec`` with the kind of its values for each protein: gmm_confidence if none is above 1, else distance."""
+    top = ranked.groupBy("protein_id").agg(F.max(F.nanvl("confidence", F.lit(None).cast("double"))).alias("_top"))
+    return ranked.join(top, "protein_id").withColumn("score_type", F.when(F.col("_top") <= 1, "gmm_confidence").otherwise("distance")).drop("_top")
+
+
+def interpro_map(spark: SparkSession, path: str) -> DataFrame:
+    """(pfam, interpro, description) of lines ``PFxxxxx.v <TAB> IPRxxxxxx [<TAB> description]``; the last line of an accession counts, a missing description is a dash."""
+    c = F.split("line", "\t")
+    rows = lines(spark, path).filter((F.size(c) >= 2) & F.get(c, F.lit(0)).startswith("PF")).select("path", "pos", F.substring_index(F.get(c, F.lit(0)), ".", 1).alias("pfam"), F.trim(F.get(c, F.lit(1))).alias("interpro"), F.coalesce(F.nullif(F.trim(F.get(c, F.lit(2))), F.lit("")), F.lit("-")).alias("description"))
+    last = rows.filter(F.col("interpro").startswith("IPR")).groupBy("pfam").agg(F.max_by(F.struct("interpro", "description"), F.struct("path", "pos")).alias("x"))
+    return last.select("pfam", "x.*")
+
+
 def signal_results(spark: SparkSession, path: str) -> DataFrame:
     """(protein_id, prediction, probability): the probability of the predicted class, whose column a comment line names."""
     all_ = lines(spark, path).filter("trim(line) <> ''")

@@ -20,6 +20,16 @@ def write_fasta(df: DataFrame, path: str, id_: str = "id", sequence: str = "sequ
     df.filter(F.col(sequence).isNotNull()).select(F.concat(F.lit(">"), id_, F.lit("\n"), wrapped(F.col(sequence))).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_gene_fasta(genes: DataFrame, path: str, gene: str | None = None, sample: str | None = None) -> None:
+    """Proteins of a search (all of ``genes``), of one gene or of one sample: the header has gene, sample and product; genes without a sequence are left out.
+
+    ``genes`` has gene_key, sample_key, product and protein_seq.
+    """
+    of = genes.filter(F.col("gene_key") == gene) if gene is not None else genes.filter(F.col("sample_key") == sample) if sample is not None else genes
+    header = F.trim(F.concat_ws(" ", "gene_key", "sample_key", F.coalesce("product", F.lit(""))))
+    write_fasta(of.filter("protein_seq <> ''").select(header.alias("id"), F.col("protein_seq").alias("sequence")), path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*[f"`{c}`" for c in df.columns])).alias("value")).write.mode("overwrite").text(path)
 

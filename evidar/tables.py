@@ -32,4 +32,4 @@ def scratch(spark: SparkSession, name: str) -> str:
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(folder)
     files.deleteOnExit(folder)
-    return path
+    return f"{path}/data"
