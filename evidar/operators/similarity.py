@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import scratch
@@ -32,6 +32,11 @@ def distances(u: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (u @ centres.T), 0))
 
 
+def named(vector: str) -> Column:
+    """A name that equal vectors share: two digests."""
+    return F.concat_ws("/", F.xxhash64(vector).cast("string"), F.md5(F.col(vector).cast("string")))
+
+
 class NeighbourIndex:
     """A written index for exact nearest neighbours by cosine.
 
@@ -49,19 +54,14 @@ class NeighbourIndex:
 
     def __init__(self, spark: SparkSession, reference: DataFrame, vector: str = "embedding", id_: str = "vec_id", cells: int | None = None, block: int = BLOCK):
         self.spark, self.path, self.block = spark, scratch(spark, "neighbours"), block
-        rows = reference.select(F.col(id_).alias("id"), F.col(vector).alias("v")).filter("id is not null and v is not null")
+        # Equal vectors are one entry, named by two digests of them.
+        rows = reference.select(F.col(id_).alias("id"), F.col(vector).alias("v")).filter("id is not null and v is not null").withColumn("e", named("v"))
         self.kind = rows.schema["id"].dataType.simpleString()
-        rows = self.save(rows.withColumn("e", F.xxhash64("v")), "rows")
-        # Entries are told by their vectors; the hash only names them, so two vectors of one hash get the vector's text to it.
-        same = rows.groupBy("e", "v").agg(F.min("id").alias("least"))
-        clash = same.groupBy("e").count().filter("count > 1").select("e")
-        name = F.concat_ws("/", F.col("e").cast("string"), F.when(F.col("clash"), F.col("v").cast("string")))
-        flagged = lambda df: df.join(clash.withColumn("clash", F.lit(True)), "e", "left").withColumn("e", name).drop("clash")
-        self.members = self.save(flagged(rows).select("e", "id"), "members")
-        entries = flagged(same).select("e", "v")
         zero = ~F.exists("v", lambda x: x != 0)
-        self.zeros = self.save(entries.filter(zero).join(self.members, "e").select("id"), "zeros")
-        entries = self.save(entries.filter(~zero), "vectors")
+        self.members = self.save(rows.select("e", "id", zero.alias("zero")), "members")
+        self.zeros = self.members.filter("zero").select("id")
+        self.members = self.members.select("e", "id")
+        entries = self.save(rows.filter(~zero).groupBy("e").agg(F.first("v").alias("v")), "vectors")
         self.n = entries.count()
         first = entries.select(F.size("v").alias("d")).first()
         self.dim = first["d"] if first else 1
@@ -156,14 +156,14 @@ class NeighbourIndex:
         Exact; with ``probes`` only so many blocks are compared for each query,
         those of the best bounds.  A zero vector is similar to all rows by 0.
         Rows without id or vector take no part; vectors are of one length.  The
-        result is written once, and ``compared`` holds how many pairs of a
-        query and a block there are and were compared.
+        result is written once; ``compared`` tells how many pairs of a query
+        and a block there are and were compared in the last search.
         """
         rows = queries.select(F.col(id_).alias("q"), F.col(vector).alias("v")).filter("q is not null and v is not null")
         run = f"search-{uuid.uuid4().hex[:8]}"
         zero = ~F.exists("v", lambda x: x != 0)
-        named = self.save(rows.withColumn("k", F.concat(F.xxhash64("v").cast("string"), F.lit("/"), F.md5(F.col("v").cast("string")))), f"{run}-queries")
-        asked = self.save(named.filter(~zero).groupBy("k", "v").agg(F.lit(1).alias("n")).select(F.col("k").alias("q"), "v"), f"{run}-asked")  # equal vectors ask once
+        asking = self.save(rows.withColumn("k", named("v")), f"{run}-queries")
+        asked = self.save(asking.filter(~zero).groupBy("k").agg(F.first("v").alias("v")).select(F.col("k").alias("q"), "v"), f"{run}-asked")  # equal vectors ask once
         depth = k + 1 if same_table else k  # one of them may be the query itself
         rings = F.broadcast(self.blocks) if self.blocks.count() <= 100_000 else self.blocks
         bound = F.greatest(F.col("lo") - F.col("d"), F.col("d") - F.col("hi"), F.lit(0.0))
@@ -177,24 +177,26 @@ class NeighbourIndex:
             wanted = asked.join(kth, "q", "left").select("q", "v", "least")
             rest = of(self._cells(wanted)).join(kth, "q", "left").filter(F.col("least").isNull() | (F.col("most") >= F.col("least") - SLACK)).select("q", "cell", "group").join(ahead, ["q", "cell", "group"], "left_anti")
             rest = self.save(rest, f"{run}-rest")
-            found = found.unionByName(self.save(self._compare(asked, rest, depth), f"{run}-far"))
+            found = found.unionByName(self._compare(asked, rest, depth))
             ahead = ahead.unionByName(rest)
-        per_query = self.blocks.count()
-        self.compared = {"possible": asked.count() * per_query, "compared": ahead.count()}
-
+        self._asked, self._sent = asked, ahead
         # Of one entry the first k + 1 members by id are enough.
         members = first_by(self.members, ["e"], F.asc("id"), n=depth)
         best = first_by(found.join(members, "e").select("q", "id", "sim"), ["q"], F.desc("sim"), F.asc("id"), n=depth)
-        near = named.select(F.col("q").alias("own"), "k").join(best, F.col("k") == best["q"]).select("own", "id", "sim")
+        near = asking.select(F.col("q").alias("own"), "k").join(best, F.col("k") == best["q"]).select("own", "id", "sim")
         every = F.broadcast(self.members.select("id").orderBy("id").limit(depth))  # k + 1 rows
         zeros = F.broadcast(self.zeros.orderBy("id").limit(depth))  # likewise
         nought = F.lit(0.0).alias("sim")
-        near = near.unionByName(named.filter(zero).select(F.col("q").alias("own")).join(every).select("own", "id", nought)).unionByName(named.filter(~zero).select(F.col("q").alias("own")).join(zeros).select("own", "id", nought))
+        near = near.unionByName(asking.filter(zero).select(F.col("q").alias("own")).join(every).select("own", "id", nought)).unionByName(asking.filter(~zero).select(F.col("q").alias("own")).join(zeros).select("own", "id", nought))
         near = near.filter(F.col("own") != F.col("id")) if same_table else near
         ranked = first_by(near, ["own"], F.desc("sim"), F.asc("id"), n=k, rank="rank")
         return self.save(ranked.select(F.col("own").alias("q"), F.col("id").alias("r"), "sim", "rank"), f"{run}-result")
 
 
+    def compared(self) -> dict[str, int]:
+        return {"possible": self._asked.count() * self.blocks.count(), "compared": self._sent.count()}
+
+
 #: Blocks that give the first bound of a query.
 FIRST = 3
 
