@@ -1,4 +1,4 @@
 """Named queries; importing the package registers them."""
 
-from . import browse, chemistry, evaluation, evidence, grouping, merging, methods, reading, reading_files, reports  # noqa: F401
+from . import browse, chemistry, evaluation, evidence, grouping, marks, merging, methods, reading, reading_files, reports  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
