@@ -65,7 +65,7 @@ class NeighbourIndex:
         self.n = entries.count()
         first = entries.select(F.size("v").alias("d")).first()
         self.dim = first["d"] if first else 1
-        wanted = cells or int(min(max(1, self.n**0.5), CENTRE_BYTES / 8 / self.dim))
+        wanted = cells or int(max(1, min(self.n**0.5, self.n / 256, CENTRE_BYTES / 8 / self.dim)))
         self.centres = self._centres(entries, wanted)
         dealt = self.save(self._dealt(entries), "dealt")
         # Rings of a cell are joined until a block is full; one that is more than full is dealt by a hash.

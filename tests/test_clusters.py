@@ -102,5 +102,5 @@ def test_clusters_equal_brute_force(spark):
 def test_no_rows_and_no_edges(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in C.density_clusters(S.knn(df, df, 3), df, "vec_id").collect()] == [(1, None)]
-    none = df.filter("false")
-    assert C.density_clusters(S.knn(none, none, 3), none, "vec_id").count() == 0
+    near = spark.createDataFrame([], "q long, r long, sim double, rank int")
+    assert C.density_clusters(near, df.filter("false"), "vec_id").count() == 0

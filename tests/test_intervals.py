@@ -2,8 +2,6 @@
 
 import random
 
-import pytest
-
 from evidar.operators import intervals as I
 from evidar.operators import relational as R
 
@@ -51,28 +49,25 @@ ODD = [("a", 900, None, 5, 1.0), ("a", 901, 5, None, 1.0), (None, 902, 1, 50, 3.
 CASES = {"dense": drawn(150, 1), "random": drawn(200, 2, reach=4000), "short": drawn(150, 3, keys="abc", lengths=(1, 3)), "chain": [("a", i, 10 * i, 10 * i + 25, float(i % 3)) for i in range(60)], "long over short": [("a", i, 50 * i, 50 * i + 9, float(i % 7)) for i in range(60)] + [("a", 100 + i, 7 * i, 2900 + i, 3.5 if i else 0.5) for i in range(20)]}
 
 
-@pytest.mark.parametrize("case", CASES)
-def test_rounds_equal_the_fold(spark, case):
-    rows = CASES[case] + [(k, i, s, e, w) for k, i, s, e, w in ODD if i != 904 or case != "chain"]
-    df = spark.createDataFrame(rows, NAMES)
-    assert {r["i"] for r in I.resolve_overlaps(df, "k", "i", "s", "e", "w").collect()} == kept(rows)
-    assert {r["i"]: r["lane"] for r in I.pack_lanes(df, "k", "i", "s", "e").collect()} == lanes(rows)
-
-
-def test_other_shares_and_equal_rows(spark):
-    rows = drawn(120, 7)
-    df = spark.createDataFrame(rows, NAMES)
-    for share in (0.0, 0.9):
-        assert {r["i"] for r in I.resolve_overlaps(df, "k", "i", "s", "e", "w", share=share).collect()} == kept(rows, share)
-    twice = spark.createDataFrame([("a", 1, 1, 9, 0.0)] * 2 + [("a", 2, 30, 20, 0.0)], NAMES)
-    assert sorted(r["i"] for r in I.resolve_overlaps(twice, "k", "i", "s", "e", "w").collect()) == [1, 2]
+def test_rounds_equal_the_fold(spark):
+    """All cases at once, each with keys of its own; equal rows and an empty table besides."""
+    rows = [(f"{case} {k}", 10_000 * n + i, s, e, w) for n, (case, found) in enumerate(CASES.items()) for k, i, s, e, w in found] + ODD
+    df = spark.createDataFrame([*rows, ("twice", 1, 1, 9, 0.0), ("twice", 1, 1, 9, 0.0), ("twice", 2, 30, 20, 0.0)], NAMES)
+    got = [(r["k"], r["i"]) for r in I.resolve_overlaps(df, "k", "i", "s", "e", "w").collect()]
+    assert sorted(i for k, i in got if k == "twice") == [1, 2]
+    assert {i for k, i in got if k != "twice"} == kept(rows) and len(got) == len(kept(rows)) + 2
+    assert {r["i"]: r["lane"] for r in I.pack_lanes(df.filter("k <> 'twice' or k is null"), "k", "i", "s", "e").collect()} == lanes(rows)
     empty = df.filter("false")
     assert I.resolve_overlaps(empty, "k", "i", "s", "e", "w").count() == 0 and I.pack_lanes(empty, "k", "i", "s", "e").count() == 0
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_pairs_are_found_once(spark, seed):
-    rows = drawn(150, 20 + seed) + [("a", 500, -(10**12), 10**12, 0.0), ("b", 501, 10**15, 10**15, 0.0)] + ODD[:2]
+def test_another_share(spark):
+    rows = drawn(80, 7)
+    assert {r["i"] for r in I.resolve_overlaps(spark.createDataFrame(rows, NAMES), "k", "i", "s", "e", "w", share=0.9).collect()} == kept(rows, 0.9)
+
+
+def test_pairs_are_found_once(spark):
+    rows = drawn(150, 20) + [("a", 500, -(10**12), 10**12, 0.0), ("b", 501, 10**15, 10**15, 0.0)] + ODD[:2]
     df = spark.createDataFrame(rows, NAMES)
     got = [(r["a"], r["b"]) for r in I.overlapping_pairs(df, "k", "i", "s", "e").collect()]
     fine = [r for r in rows if r[2] is not None and r[3] is not None and r[2] <= r[3]]
