@@ -31,9 +31,9 @@ def components(edges: DataFrame, steps: Steps, *level: str) -> DataFrame:
     labels = steps.save(both.groupBy(*by, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         near = both.join(labels.select(*by, F.col("node").alias("b"), "label"), [*by, "b"]).groupBy(*by, F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = steps.save(labels.join(near, [*by, "node"]).select(*by, "node", F.col("label").alias("old"), F.least("label", "near").alias("via")))
-        far = step.select(*by, F.col("node").alias("via"), F.col("via").alias("far"))
-        labels = steps.save(step.join(far, [*by, "via"], "left").select(*by, "node", F.least("via", "far").alias("label"), "old"))
+        far = labels.select(*by, F.col("node").alias("label"), F.col("label").alias("far"))
+        step = labels.withColumn("old", F.col("label")).join(far, [*by, "label"], "left").join(near, [*by, "node"], "left")
+        labels = steps.save(step.select(*by, "node", F.least("label", "near", "far").alias("label"), "old"))
         moved = labels.filter("label <> old").limit(1).count()
         labels = labels.drop("old")
         if not moved:

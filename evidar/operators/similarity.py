@@ -65,6 +65,11 @@ class NeighbourIndex:
         self.n = entries.count()
         first = entries.select(F.size("v").alias("d")).first()
         self.dim = first["d"] if first else 1
+        self.one_block = cells is None and self.n <= block
+        if self.one_block:  # nothing to prune
+            self.blocks = spark.createDataFrame([(0, 0, self.n, 0.0, 2.0, 1)], "cell int, group long, n long, lo double, hi double, parts long")
+            self.entries = entries.select("e", "v", F.lit(0).alias("cell"), F.lit(0).cast("long").alias("group"), F.lit(0).cast("long").alias("part"))
+            return
         wanted = cells or int(max(1, min(self.n**0.5, self.n / 256, CENTRE_BYTES / 8 / self.dim)))
         self.centres = self._centres(entries, wanted)
         dealt = self.save(self._dealt(entries), "dealt")
@@ -165,6 +170,16 @@ class NeighbourIndex:
         asking = self.save(rows.withColumn("k", named("v")), f"{run}-queries")
         asked = self.save(asking.filter(~zero).groupBy("k").agg(F.first("v").alias("v")).select(F.col("k").alias("q"), "v"), f"{run}-asked")  # equal vectors ask once
         depth = k + 1 if same_table else k  # one of them may be the query itself
+        if self.one_block:
+            ahead = asked.select("q", F.lit(0).alias("cell"), F.lit(0).cast("long").alias("group"))
+            found = self._compare(asked, ahead, depth)
+        else:
+            ahead, found = self._pruned(asked, depth, probes, run)
+        self._asked, self._sent = asked, ahead
+        return self._told(asking, zero, found, k, depth, same_table, run)
+
+    def _pruned(self, asked: DataFrame, depth: int, probes: int | None, run: str) -> tuple[DataFrame, DataFrame]:
+        """The (query, block) pairs that are compared, and the nearest entries that they give."""
         rings = F.broadcast(self.blocks) if self.blocks.count() <= 100_000 else self.blocks
         bound = F.greatest(F.col("lo") - F.col("d"), F.col("d") - F.col("hi"), F.lit(0.0))
         of = lambda cells: cells.join(rings, "cell").select("q", "cell", "group", (1 - bound * bound / 2).alias("most"), F.abs((F.col("lo") + F.col("hi")) / 2 - F.col("d")).alias("off"))
@@ -179,7 +194,10 @@ class NeighbourIndex:
             rest = self.save(rest, f"{run}-rest")
             found = found.unionByName(self._compare(asked, rest, depth))
             ahead = ahead.unionByName(rest)
-        self._asked, self._sent = asked, ahead
+        return ahead, found
+
+    def _told(self, asking: DataFrame, zero: Column, found: DataFrame, k: int, depth: int, same_table: bool, run: str) -> DataFrame:
+        """The rows behind the entries found, and those that a zero vector on either side is similar to by 0."""
         # Of one entry the first k + 1 members by id are enough.
         members = first_by(self.members, ["e"], F.asc("id"), n=depth)
         best = first_by(found.join(members, "e").select("q", "id", "sim"), ["q"], F.desc("sim"), F.asc("id"), n=depth)

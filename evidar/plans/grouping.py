@@ -14,7 +14,7 @@ from .registry import query
 def density(spark, d):
     """The clusters and the neighbours that they are made of, each searched or computed once."""
     neighbours = near(spark, d, 10)
-    return neighbours, clusters.density_clusters(neighbours, vectors(spark, d), "vec_id", smallest=5, samples=3).withColumnRenamed("id", "vec_id")
+    return neighbours, clusters.density_clusters(neighbours, vectors(spark, d), "vec_id", smallest=5, samples=3, levels=8).withColumnRenamed("id", "vec_id")
 
 
 @query("density_clusters")

@@ -53,7 +53,7 @@ def test_evidence_scores(spark):
 def test_overlapping_pairs(spark):
     rng = random.Random(1)
     rows = [(rng.randint(0, 3), i, s := rng.randint(0, 300), s + rng.randint(0, 90)) for i in range(120)]
-    got = relational.overlapping_pairs(spark.createDataFrame(rows, "k int, i int, s int, e int"), "k", "i", "s", "e", 25).collect()
+    got = intervals.overlapping_pairs(spark.createDataFrame(rows, "k int, i int, s int, e int"), "k", "i", "s", "e").collect()
     want = {(k, a, b) for k, a, s, e in rows for q, b, x, y in rows if k == q and a < b and s <= y and x <= e}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
