@@ -70,7 +70,7 @@ class NeighbourIndex:
             self.blocks = spark.createDataFrame([(0, 0, self.n, 0.0, 2.0, 1)], "cell int, group long, n long, lo double, hi double, parts long")
             self.entries = entries.select("e", "v", F.lit(0).alias("cell"), F.lit(0).cast("long").alias("group"), F.lit(0).cast("long").alias("part"))
             return
-        wanted = cells or int(max(1, min(self.n**0.5, self.n / 256, CENTRE_BYTES / 8 / self.dim)))
+        wanted = cells or int(max(1, min(self.n**0.5, self.n / 2048, CENTRE_BYTES / 8 / self.dim)))
         self.centres = self._centres(entries, wanted)
         dealt = self.save(self._dealt(entries), "dealt")
         # Rings of a cell are joined until a block is full; one that is more than full is dealt by a hash.
