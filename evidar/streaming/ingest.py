@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 LEDGER = "source string, part string, checksum string, release long, run string"
 #: Attempts at a commit before a writer gives up.
 ATTEMPTS = 100
+#: Entries of a ledger that may travel to the tasks that read rows.
+ENTRIES = 20_000
 
 
 def _files(spark: SparkSession, path: str):
@@ -106,7 +108,10 @@ def versions(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([], "source string, release long")
     kind = spark.read.parquet(f"{root}/rows/part_run={newest}").schema
     rows = spark.read.schema(kind.add("part_run", "string")).parquet(f"{root}/rows")
-    of = rows.join(ledger.select("source", "part", F.col("run").alias("part_run"), F.col("release").alias("_release")), ["source", "part", "part_run"])
+    entries = ledger.select("source", "part", F.col("run").alias("part_run"), F.col("release").alias("_release"))
+    # Rows that compress well look small enough to be broadcast and are not, so the ledger's side is said: it is sent if it is short, else both are sorted.
+    entries = F.broadcast(entries) if entries.limit(ENTRIES + 1).count() <= ENTRIES else entries.hint("merge")
+    of = rows.join(entries, ["source", "part", "part_run"])
     name = "ingest_release" if "release" in kind["row"].dataType.names else "release"
     return of.select("source", "row.*", F.col("_release").alias(name), F.col("part").alias("_part"))
 

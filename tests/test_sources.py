@@ -107,6 +107,19 @@ def test_profile_hit_variants(spark, tmp_path):
     assert len(two) == 2 and (two[0]["protein_id"], two[0]["profile"], two[0]["start"], two[0]["coverage"]) == ("GH5.hmm", "prot1", 11, 0.5)
 
 
+def test_compressible_rows_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """A million equal rows are a few KB on disk: the ledger goes to them, never they to the driver."""
+    root = str(tmp_path / "wh")
+    rows = spark.range(1_000_000).select(F.lit("s").alias("source"), F.lit(1.0).alias("x"))
+    assert ingest.ingest(spark, rows, spark.createDataFrame([("s", "1")], "source string, checksum string"), root) == 1
+    x = ingest.versions(spark, root)
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan and x.count() == 1_000_000
+    monkeypatch.setattr(ingest, "ENTRIES", 0)
+    y = ingest.versions(spark, root)
+    assert "BroadcastHashJoin [source" not in y._jdf.queryExecution().executedPlan().toString() and y.count() == 1_000_000
+
+
 def test_ingest_is_idempotent_and_versioned(spark, tmp_path):
     root = str(tmp_path / "wh")
     rows = spark.createDataFrame([("s1", 1), ("s2", 2)], "source string, x int")
