@@ -15,9 +15,12 @@ def text(c: Column) -> Column:
 
 
 def number(c: Column) -> Column:
-    """A JSON number, without a fraction where it is whole; null where there is none."""
+    """A JSON number, without a fraction where it is whole and without an exponent from 0.0001 on; null where there is none."""
     d = c.cast("double")
-    return F.when(d.isNull() | F.isnan(d), F.lit("null")).when(d == F.floor(d), F.floor(d).cast("string")).otherwise(F.regexp_extract(F.to_json(F.struct(d.alias("x"))), r"^\{\"x\":(.*)\}$", 1))
+    shortest = F.regexp_extract(F.to_json(F.struct(d.alias("x"))), r"^\{\"x\":(.*)\}$", 1)
+    # A double with a fraction has at most 16 digits before the point; below 0.001 and from 10 million on its shortest form has an exponent.
+    plain = F.regexp_replace(shortest.try_cast("decimal(38,21)").cast("string"), "0+$", "")
+    return F.when(d.isNull() | F.isnan(d), F.lit("null")).when(d == F.floor(d), F.floor(d).cast("string")).when((F.abs(d) >= 1e-4) & shortest.contains("E"), F.coalesce(plain, shortest)).otherwise(shortest)
 
 
 def flag(c: Column) -> Column:

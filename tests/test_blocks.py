@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from evidar.operators import blocks as B
 
 
@@ -24,3 +26,10 @@ def test_nested_report(spark, tmp_path):
     assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
     B.write_reports(out, f"{tmp_path}/reports")
     assert {json.loads(x)["protein_id"] for f in (tmp_path / "reports").glob("part-*") for x in f.read_text().splitlines()} == {"p1", "p2"}
+
+
+def test_numbers_have_no_exponent(spark):
+    """From ten million on, and below a thousandth, as the other engine writes them."""
+    cases = {10000000.5: "10000000.5", -90450049.5: "-90450049.5", 123456789012.0625: "123456789012.0625", 4503599627370495.5: "4503599627370495.5", 0.000125: "0.000125", 0.00012345678901234567: "0.00012345678901234567", 12.25: "12.25", 2e7: "20000000", -0.5: "-0.5"}
+    got = spark.createDataFrame([(x,) for x in cases], "x double").select("x", B.number(F.col("x")).alias("n")).collect()
+    assert {r["x"]: r["n"] for r in got} == cases
