@@ -1,6 +1,7 @@
 """The text operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -412,6 +413,25 @@ def test_leaks(spark, edges, empty):
     assert decontaminate.leaks(edges, bench.limit(0), ws(spark)).count() == 0
 
 
+def test_latent_basis_is_that_of_all_windows(spark):
+    """Its span is that of the leading right singular vectors of the whole window matrix; no document is drawn for it."""
+    words = [f"w{i}".encode() for i in range(40)]
+    items = decontaminate.Items([1, 2, 3], [words[:20], words[10:34], words[5:40]], [[], [], []])
+    space = decontaminate.Space(items.vocabulary, np.linspace(1, 3, 40))
+    own = decontaminate.window_ids(items, space, items.windows())
+    x = np.zeros((len(own), 40))
+    for r, ids in zip(x, own, strict=True):
+        r[ids] = space.idf[ids]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    basis = decontaminate.latent_basis(space, own)
+    rank = np.linalg.matrix_rank(x)
+    assert np.allclose(x @ basis[:, :rank] @ basis[:, :rank].T, x, atol=1e-3)
+    shared = ws(spark)
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve")], "item_id long, text string")
+    assert decontaminate.leaks(spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve")], DOCS), bench, shared).count() == 1
+    assert not os.path.exists(f"{shared.root.removeprefix('file://')}/sample")
+
+
 def test_leaks_recall_against_brute_force(spark):
     """All pairs whose common subsequence is long enough, by brute force, against what the cosine search lets through."""
     rng = random.Random(8)
