@@ -65,11 +65,19 @@ def instability(df: DataFrame, id_: str, residues_: str, weights: DataFrame) ->
     """(id, instability): 10 / length times the sum of the weights of neighbouring residues.
 
     ``weights`` (pair, weight) is the published table of 400 dipeptides, which
-    is given, not kept here; a pair that it lacks weighs 1.  Pairs are counted
-    for each sequence before they meet the table.
+    is given, not kept here; a pair that it lacks weighs 1.  The table travels
+    as one row, so each sequence is weighed where it is read.
     """
     n = F.char_length(residues_)
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(F.col(residues_), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    rows = df.filter(n > 0).select(F.col(id_).alias("id"), n.alias("n"), F.explode_outer(pairs).alias("pair")).groupBy("id", "n", "pair").agg(F.count("pair").alias("k"))
-    weighed = rows.join(weights.select("pair", "weight"), "pair", "left")
-    return weighed.groupBy("id", "n").agg(F.sum(F.col("k") * F.coalesce("weight", F.lit(1.0))).alias("s")).select("id", (10 / F.col("n") * F.col("s")).alias("instability"))
+    pairs = weights.filter("char_length(pair) = 2").groupBy("pair").agg(F.sum(F.coalesce("weight", F.lit(1.0)).cast("double")).alias("weight"))  # two letters: 400 pairs of residues
+    # One row: the letters of the pairs, and the weights by the places of their two letters in it.
+    letters = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("pair", ""))))), "")
+    known = pairs.agg(letters.alias("_letters"), F.map_from_entries(F.collect_list(F.struct("pair", "weight"))).alias("m"))
+    each = F.filter(F.split("_letters", ""), lambda x: x != "")
+    table = known.select("_letters", F.flatten(F.transform(each, lambda x: F.transform(each, lambda y: F.coalesce(F.try_element_at("m", F.concat(x, y)), F.lit(1.0))))).alias("_weights"))
+    place = lambda i: F.call_function("instr", F.col("_letters"), F.substring(F.col(residues_), i, F.lit(1)))
+    # The place of the letter before goes with the sum, so each letter is looked up once.
+    start = F.struct(F.lit(0.0).cast("double").alias("s"), place(F.lit(1)).alias("p"))
+    weight = lambda x, y: F.when((x > 0) & (y > 0), F.get("_weights", (x - 1) * F.char_length("_letters") + y - 1)).otherwise(1.0)
+    total = F.aggregate(F.sequence(F.lit(2), n), start, lambda a, i: F.struct((a["s"] + weight(a["p"], place(i))).alias("s"), place(i).alias("p")))["s"]
+    return df.filter(n > 0).join(F.broadcast(table)).select(F.col(id_).alias("id"), (10 / n * F.when(n > 1, total).otherwise(0.0)).alias("instability"))

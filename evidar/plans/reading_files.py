@@ -35,11 +35,15 @@ def read_gff3(spark, d):
     return readers.gff3(spark, path).select("gene_key", F.col("start").cast("long"), F.col("end").cast("long"), F.col("length").cast("long"), "strand", "product")
 
 
+def hit_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Lines by part and line; ranges of them are a file each."""
+    return t(spark, d, "lineitem").repartitionByRange("l_partkey", "l_linenumber").sortWithinPartitions("l_partkey", "l_linenumber")
+
+
 @query("read_structure_hits", "SELECT protein_id, target, target_family, CAST(rank AS INTEGER) AS rank FROM (SELECT 'o' || l_orderkey AS protein_id, 'GH' || l_partkey || '_x' || l_linenumber AS target, 'GH' || l_partkey AS target_family, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_linenumber) AS rank FROM lineitem) WHERE rank <= 3")
 def read_structure_hits(spark, d):
-    """Ties go by the order of the file, here by part and line."""
-    li = t(spark, d, "lineitem").repartition(1).sortWithinPartitions("l_partkey", "l_linenumber")
-    path = written(spark, li, "o", F.col("l_orderkey"), "\tGH", F.col("l_partkey"), "_x", F.col("l_linenumber"), "\t0.5\t1\t1\t1\t1\t1\t1\t1\t1e-5\t", F.col("l_extendedprice"))
+    """Ties go by the order of the files, here by part and line."""
+    path = written(spark, hit_rows(spark, d), "o", F.col("l_orderkey"), "\tGH", F.col("l_partkey"), "_x", F.col("l_linenumber"), "\t0.5\t1\t1\t1\t1\t1\t1\t1\t1e-5\t", F.col("l_extendedprice"))
     return readers.structure_hits(spark, path, 3).select("protein_id", "target", "target_family", "rank")
 
 

@@ -258,7 +258,7 @@ def wanted_rows(spark: SparkSession, path: str, wanted: DataFrame, id_column: in
 
 
 def structure_hits(spark: SparkSession, path: str, k: int) -> DataFrame:
-    """(protein_id, target, target_family, tmscore, lddt, evalue, bits, fident, rank): the k hits of most bits of each query, in file order where they tie.
+    """(protein_id, target, target_family, tmscore, lddt, evalue, bits, fident, rank): the k hits of most bits of each query, in the order of file names and then of lines where they tie.
 
     A file may have a header, which names its columns; else they stand in the
     usual order.
@@ -266,16 +266,17 @@ def structure_hits(spark: SparkSession, path: str, k: int) -> DataFrame:
     c = F.split("line", "\t")
     all_ = lines(spark, path).filter("line <> ''").select("path", "pos", c.alias("c"))
     head = all_.groupBy("path").agg(F.min("pos").alias("top"), F.transform(F.min_by("c", "pos"), F.lower).alias("h"))
-    j = all_.join(head, "path").withColumn("named", F.array_contains("h", "query")).filter(~F.col("named") | (F.col("pos") != F.col("top")))
+    # A row for each file.
+    j = all_.join(F.broadcast(head), "path").withColumn("named", F.array_contains("h", "query")).filter(~F.col("named") | (F.col("pos") != F.col("top")))
 
     def at(place: int, *names: str):
         found = F.coalesce(*[F.nullif(F.array_position("h", n), F.lit(0)) for n in names]).cast("int") - 1
         return F.when(F.col("named"), F.get("c", found)).otherwise(F.get("c", F.lit(place)) if place >= 0 else F.element_at("c", -1))
 
     num = lambda x: F.nullif(x, F.lit("")).try_cast("double")
-    rows = j.select("pos", at(0, "query").alias("protein_id"), at(1, "target").alias("target"), num(at(-1, "alntmscore", "tmscore")).alias("tmscore"), num(at(-1, "lddt")).alias("lddt"), F.coalesce(num(at(10, "evalue")), F.lit(0.0)).alias("evalue"), F.coalesce(num(at(11, "bits")), F.lit(0.0)).alias("bits"), F.coalesce(num(at(2, "fident")), F.lit(0.0)).alias("fident")).filter("protein_id <> ''")
+    rows = j.select("path", "pos", at(0, "query").alias("protein_id"), at(1, "target").alias("target"), num(at(-1, "alntmscore", "tmscore")).alias("tmscore"), num(at(-1, "lddt")).alias("lddt"), F.coalesce(num(at(10, "evalue")), F.lit(0.0)).alias("evalue"), F.coalesce(num(at(11, "bits")), F.lit(0.0)).alias("bits"), F.coalesce(num(at(2, "fident")), F.lit(0.0)).alias("fident")).filter("protein_id <> ''")
     family = F.coalesce(F.nullif(F.regexp_extract("target", r"([A-Z]{2,3}\d+)", 1), F.lit("")), F.lit("-"))
-    return first_by(rows.withColumn("target_family", family), ["protein_id"], F.desc("bits"), F.asc("pos"), n=k, rank="rank").drop("pos")
+    return first_by(rows.withColumn("target_family", family), ["protein_id"], F.desc("bits"), F.asc("path"), F.asc("pos"), n=k, rank="rank").drop("path", "pos")
 
 
 def topology(spark: SparkSession, gff: str, three_line: str) -> DataFrame:

@@ -40,3 +40,13 @@ def test_localization_ties_conflicts_and_lifting(spark):
     up = {r["id"]: r["localization"] for r in L.localize(proteins, "id", "s", terms, L.compartments(spark), parents).collect()}
     assert up[5] == "Mitochondrion" and up[2] == "Cytoplasm"
     assert L.lifted(terms.select("term").filter(F.lit(False)), L.compartments(spark), parents).count() == 0
+
+
+def test_instability_needs_no_group_of_pairs(spark):
+    """Every sequence is weighed where it is read: one row each, also of equal ids, and no shuffle of pairs."""
+    df = spark.createDataFrame([(1, "AAC"), (1, "ACA"), (2, "A"), (3, None), (4, "")], "i long, s string")
+    w = spark.createDataFrame([("AA", 2.0), ("AC", None)], "pair string, weight double")
+    out = C.instability(df, "i", "s", w)
+    assert sorted((r["id"], round(r["instability"], 6)) for r in out.collect()) == [(1, 6.666667), (1, 10.0), (2, 0.0)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "hashpartitioning(id" not in plan

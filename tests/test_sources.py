@@ -107,6 +107,23 @@ def test_profile_hit_variants(spark, tmp_path):
     assert len(two) == 2 and (two[0]["protein_id"], two[0]["profile"], two[0]["start"], two[0]["coverage"]) == ("GH5.hmm", "prot1", 11, 0.5)
 
 
+def test_structure_hits_tie_by_files(spark, tmp_path):
+    """Equal bits stand in the order of files, whatever their lines; a larger file is cut by Spark, so one file is no order of all."""
+    (tmp_path / "hits").mkdir()
+    row = lambda target: f"p\t{target}\t0.5\t1\t1\t1\t1\t1\t1\t1\t1e-5\t7.0\n"
+    put(tmp_path, "hits/b.tsv", row("GH3_c"))
+    put(tmp_path, "hits/a.tsv", row("GH1_a") + row("GH2_b"))
+    got = sorted((r["rank"], r["target"]) for r in readers.structure_hits(spark, str(tmp_path / "hits"), 3).collect())
+    assert got == [(1, "GH1_a"), (2, "GH2_b"), (3, "GH3_c")]
+
+
+def test_structure_hits_are_written_as_ranges(spark):
+    from evidar.plans import reading_files
+
+    plan = reading_files.hit_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "SinglePartition" not in plan
+
+
 def test_compressible_rows_are_not_broadcast(spark, tmp_path, monkeypatch):
     """A million equal rows are a few KB on disk: the ledger goes to them, never they to the driver."""
     root = str(tmp_path / "wh")
