@@ -15,6 +15,10 @@ from .relational import first_by
 
 #: Rows of a block, queries that meet it in one task, and the bytes of centres that travel with a task.
 BLOCK, QUERIES, CENTRE_BYTES = 4096, 2048, 32 << 20
+#: A search that prunes little is swept: its queries are cut into so many shares or more, of so many at most, and all entries stream past each.
+SHARES, SHARE = 24, 65_536
+#: Queries that tell how much is pruned, and the part of the cells from which on a search is swept; both decide the cost and never the result.
+ASKED, WIDE = 2_000, 0.1
 #: Width of the rings of a cell, in distance from its centre (unit vectors lie at most 2 apart).
 RING = 1 / 64
 #: What rounding to six digits may move a similarity by, and a little more.
@@ -155,6 +159,85 @@ class NeighbourIndex:
 
         return left.groupBy(*key, "turn").cogroup(right.groupBy(*key, "turn")).applyInArrow(best, "q string, e string, sim double")
 
+    def _swept(self, asked: DataFrame, k: int) -> DataFrame:
+        """(q, e, sim): of all entries, those that reach the k-th best of each query.
+
+        A share's queries come first and stay in memory with their best so far;
+        entries stream past them.  Each entry is sent once for each share, and
+        only what is found goes on.
+        """
+        shares = max(SHARES, -(-asked.count() // SHARE))
+        left = asked.select(F.pmod(F.xxhash64("q", F.lit(2)), F.lit(shares)).alias("share"), F.lit(0).alias("kind"), F.col("q").alias("name"), "v")
+        right = self.entries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"), F.lit(1).alias("kind"), F.col("e").alias("name"), "v")
+        dim = self.dim
+        names = ["q", "e", "sim"]
+
+        class Share:
+            def __init__(self):
+                self.q, self.v, self.unit, self.waiting = [], [], None, 0
+
+            def ask(self, b):
+                self.q += b.column("name").to_pylist()
+                self.v.append(unit(b.column("v"), dim))
+
+            def meet(self, b):
+                if self.unit is None:
+                    self.unit = np.concatenate(self.v) if self.v else np.zeros((0, dim))
+                    self.least = np.full(len(self.unit), -9.0)
+                    self.i, self.s, self.e = [np.zeros(0, int)], [np.zeros(0)], [np.zeros(0, object)]
+                if not len(self.unit):
+                    return
+                e, v = np.array(b.column("name").to_pylist(), object), unit(b.column("v"), dim)
+                step = max(k, (1 << 22) // len(self.unit))
+                for at in range(0, len(e), step):
+                    sims = self.unit @ v[at : at + step].T
+                    least = self.least
+                    if sims.shape[1] > k and least.min() < -2:
+                        least = np.maximum(least, np.round(np.partition(sims, -k, axis=1)[:, -k], 6))
+                    i, j = np.nonzero(sims >= (least - SLACK)[:, None])
+                    self.i.append(i)
+                    self.s.append(np.round(sims[i, j], 6))
+                    self.e.append(e[at + j])
+                    self.waiting += len(i)
+                    if self.waiting > 2 * k * len(self.unit):
+                        self.settle()
+
+            def settle(self):
+                """Only what reaches the k-th best is kept, ties included."""
+                i, s, e = map(np.concatenate, (self.i, self.s, self.e))
+                order = np.lexsort((-s, i))
+                i, s, e = i[order], s[order], e[order]
+                first = np.searchsorted(i, np.arange(len(self.unit) + 1))
+                full = np.flatnonzero(np.diff(first) >= k)
+                self.least[full] = s[first[full] + k - 1]
+                kept = s >= self.least[i]
+                self.i, self.s, self.e, self.waiting = [i[kept]], [s[kept]], [e[kept]], 0
+
+            def told(self):
+                if self.unit is not None and len(self.unit):
+                    self.settle()
+                    q = np.array(self.q, object)
+                    for at in range(0, len(self.i[0]), 1 << 16):
+                        part = slice(at, at + (1 << 16))
+                        yield pa.RecordBatch.from_arrays([pa.array(q[self.i[0][part]], pa.string()), pa.array(self.e[0][part], pa.string()), pa.array(self.s[0][part])], names=names)
+
+        def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, share = None, Share()
+            for b in batches:
+                n, kind = b.column("share").to_numpy(), b.column("kind").to_numpy()
+                cuts = [0, *(np.flatnonzero((np.diff(n) != 0) | (np.diff(kind) != 0)) + 1), len(b)]
+                for lo, hi in zip(cuts, cuts[1:], strict=False):
+                    if hi == lo:
+                        continue
+                    if n[lo] != at:
+                        yield from share.told()
+                        at, share = n[lo], Share()
+                    (share.meet if kind[lo] else share.ask)(b.slice(lo, hi - lo))
+            yield from share.told()
+
+        dealt = left.unionByName(right).repartition(int(shares), "share").sortWithinPartitions("share", "kind")
+        return dealt.mapInArrow(sweep, "q string, e string, sim double")
+
     def search(self, queries: DataFrame, k: int, vector: str = "embedding", id_: str = "vec_id", same_table: bool = True, probes: int | None = None) -> DataFrame:
         """(q, r, sim, rank): the k most similar reference rows of each query, by similarity of six digits and then id.
 
@@ -178,8 +261,8 @@ class NeighbourIndex:
         self._asked, self._sent = asked, ahead
         return self._told(asking, zero, found, k, depth, same_table, run)
 
-    def _pruned(self, asked: DataFrame, depth: int, probes: int | None, run: str) -> tuple[DataFrame, DataFrame]:
-        """The (query, block) pairs that are compared, and the nearest entries that they give."""
+    def _pruned(self, asked: DataFrame, depth: int, probes: int | None, run: str) -> tuple[DataFrame | None, DataFrame]:
+        """The (query, block) pairs that are compared, or none where all are, and the nearest entries that they give."""
         rings = F.broadcast(self.blocks) if self.blocks.count() <= 100_000 else self.blocks
         bound = F.greatest(F.col("lo") - F.col("d"), F.col("d") - F.col("hi"), F.lit(0.0))
         of = lambda cells: cells.join(rings, "cell").select("q", "cell", "group", (1 - bound * bound / 2).alias("most"), F.abs((F.col("lo") + F.col("hi")) / 2 - F.col("d")).alias("off"))
@@ -190,6 +273,9 @@ class NeighbourIndex:
             # The depth-th best of the first blocks is a bound: only blocks that may hold one as good are left.
             kth = first_by(found, ["q"], F.desc("sim"), n=depth, rank="place").filter(F.col("place") == depth).select("q", F.col("sim").alias("least"))
             wanted = asked.join(kth, "q", "left").select("q", "v", "least")
+            some = self.save(wanted.orderBy(F.xxhash64("q", F.lit(3))).limit(ASKED), f"{run}-some")
+            if self._cells(some).count() > WIDE * some.count() * len(self.centres):
+                return None, self._swept(asked, depth)
             rest = of(self._cells(wanted)).join(kth, "q", "left").filter(F.col("least").isNull() | (F.col("most") >= F.col("least") - SLACK)).select("q", "cell", "group").join(ahead, ["q", "cell", "group"], "left_anti")
             rest = self.save(rest, f"{run}-rest")
             found = found.unionByName(self._compare(asked, rest, depth))
@@ -212,7 +298,7 @@ class NeighbourIndex:
 
 
     def compared(self) -> dict[str, int]:
-        return {"possible": self._asked.count() * self.blocks.count(), "compared": self._sent.count()}
+        return {"possible": self._asked.count() * self.blocks.count(), "compared": self._sent.count() if self._sent else self._asked.count() * self.blocks.count()}
 
 
 #: Blocks that give the first bound of a query.

@@ -73,6 +73,18 @@ def test_probes_trade_recall(spark):
     assert found[0] < found[1] <= 1.0
 
 
+def test_what_is_not_pruned_is_swept(spark, monkeypatch):
+    """Random vectors: entries stream past shares of the queries, ties and copies included, and no pair of a query and a block is sent."""
+    r = np.random.RandomState(8)
+    rows = [(i, r.randn(16).tolist()) for i in range(300)]
+    rows = [(i, rows[i % 40][1] if i >= 200 else v) for i, v in rows]
+    df = spark.createDataFrame(rows, NAMES)
+    monkeypatch.setattr(S, "SHARES", 3)
+    index = S.NeighbourIndex(spark, df, cells=6, block=16)
+    assert answers(index.search(df, 5)) == brute(rows, 5)
+    assert index._sent is None and index.compared()["compared"] == index.compared()["possible"]
+
+
 @pytest.mark.parametrize("limit", [1 << 25, 0])
 def test_nearest_centroid_by_matrix_and_by_index(spark, limit):
     rows = clustered(60, d=6, seed=2) + [(900, [0.0] * 6), (901, None)]
