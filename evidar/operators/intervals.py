@@ -9,7 +9,7 @@ that is as wide or wider, and in no more bins for a longer interval.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -74,18 +74,19 @@ def overlapping_pairs(df: DataFrame, key: str, id_: str, start: str, end: str) -
     return overlap_join(rows, rows, [key]).filter("a.i < b.i").select(F.col(f"a.{key}").alias(key), F.col("a.i").alias("a"), F.col("b.i").alias("b"))
 
 
-def _places(l: Column, s: Column, levels: Column) -> Column:
-    """(kind, m, bin): where an interval stands: alone, and in the sums of the levels that are FAR wider."""
-    alone = F.array(F.struct(F.lit(0).alias("kind"), l.alias("m"), down(s, l).alias("bin")))
-    return F.concat(alone, F.transform(F.filter(levels, lambda m: m >= l + FAR), lambda m: F.struct(F.lit(1).alias("kind"), m.alias("m"), down(s, m - 2).alias("bin"))))
+def _sums(l: Column, s: Column, levels: list[int]) -> Column:
+    """(m, bin): where an interval stands in the sums of the levels that are FAR wider."""
+    return F.transform(F.filter(F.array(*map(F.lit, levels)), lambda m: m >= l + FAR), lambda m: F.struct(m.alias("m"), down(s, m - 2).alias("bin")))
 
 
-def _sights(l: Column, s: Column, e: Column, levels: Column) -> Column:
-    """(kind, m, bin): where all stand that may overlap an interval: those at most FAR - 1 levels smaller alone, smaller ones in sums over quarters of its own width."""
-    alone = F.transform(F.filter(levels, lambda m: m > l - FAR), lambda m: F.transform(bins(s, e, m), lambda i: F.struct(F.lit(0).alias("kind"), m.alias("m"), i.alias("bin"))))
-    quarter = F.when(l >= FAR, l - 2).otherwise(0)
-    sums = F.when(l >= FAR, F.transform(F.sequence(down(s, quarter) - 1, down(e, quarter)), lambda i: F.struct(F.lit(1).alias("kind"), l.alias("m"), i.alias("bin")))).otherwise(F.array().cast("array<struct<kind:int,m:int,bin:bigint>>"))
-    return F.concat(F.flatten(alone), sums)
+def _quarters(l: Column, s: Column, e: Column) -> Column:
+    """(m, bin): the sums, over quarters of its own width, in which those stand that are FAR levels smaller and may overlap an interval."""
+    return F.transform(F.sequence(down(s, l - 2) - 1, down(e, l - 2)), lambda i: F.struct(l.alias("m"), i.alias("bin")))
+
+
+def _alone(s: Column, e: Column, levels: list[int], wanted: Callable[[Column], Column]) -> Column:
+    """(m, bin): where intervals of the ``wanted`` levels stand alone that may overlap an interval."""
+    return F.flatten(F.transform(F.filter(F.array(*map(F.lit, levels)), wanted), lambda m: F.transform(bins(s, e, m), lambda i: F.struct(m.alias("m"), i.alias("bin")))))
 
 
 def resolve_overlaps(df: DataFrame, key: str, id_: str, start: str, end: str, *order: str, share: float = 0.5) -> DataFrame:
@@ -96,10 +97,13 @@ def resolve_overlaps(df: DataFrame, key: str, id_: str, start: str, end: str, *o
     kept, whatever comes; the open rows that overlap it too much are dropped.
     This is repeated until none is open; rows in random order take about as
     many rounds as the logarithm of the longest chain of overlapping rows, a
-    chain that gets steadily better takes one for each row.  Every round is a
-    few hash aggregates and joins by bins, whose sums take the place of the
-    many short rows under a long one, so no key, dense region or pair of
-    crowded bins is spelled out, and each round is written.
+    chain that gets steadily better takes one for each row.  In a round the
+    open rows stay in their own bins: they are summed up there, and the kept
+    ones, each in one round only, are sent to the bins of about their own
+    width.  Only where some rows are FAR levels wider than others do open rows
+    look beyond: sums over bins take the place of the many short rows under a
+    long one.  So no key, dense region or pair of crowded bins is spelled out,
+    and each round is written.
 
     Starts and ends are whole numbers and ``share`` is below 1.  A null key is
     a key.  A row with a null start or end, or one that ends before it starts,
@@ -111,39 +115,47 @@ def resolve_overlaps(df: DataFrame, key: str, id_: str, start: str, end: str, *o
         x.write.parquet(f"{root}/{name}")
         return spark.read.schema(x.schema).parquet(f"{root}/{name}")
 
-    s, e = F.col("s"), F.col("e")
+    s, e, l = F.col("s"), F.col("e"), F.col("l")
     length, k = e - s + 1, F.struct(F.col(key)).alias("k")  # a struct is equal to itself where the key in it is null
     rows = df.select(k, F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate((key, id_, start, end))]).alias("row"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(id_).alias("_id"), F.monotonically_increasing_id().alias("uid"))
-    best = F.struct(*[x for i in range(len(order)) for x in (F.col(f"_o{i}").isNull().alias(f"n{i}"), F.col(f"_o{i}").alias(f"o{i}"))], F.col("_id").alias("id"), F.col("uid").alias("uid"))
-    rows = save(rows.select("k", "row", "s", "e", best.alias("rank"), "uid", level(s, e).alias("l")), "rows")
-    touching = rows.filter("s <= e")
-    levels = touching.agg(F.array_sort(F.collect_set("l")).alias("levels"))  # one row of at most 64 levels
-    open_ = save(touching.drop("row").join(F.broadcast(levels)), "open-0")
-    on, turn = ["k", "kind", "m", "bin"], 0
-    spread = lambda x, p, *c: x.select("k", *c, F.explode(p).alias("p")).select("k", *c, "p.*")
-    places, sights = _places(F.col("l"), s, F.col("levels")), _sights(F.col("l"), s, e, F.col("levels"))
+    best = F.struct(*[x for i in range(len(order)) for x in (F.col(f"_o{i}").isNull().alias(f"n{i}"), F.col(f"_o{i}").alias(f"o{i}"))], F.col("_id").alias("id"), F.col("uid").alias("uid")).alias("rank")
+    # The row itself is kept where it takes no part; of the others its parts are enough.
+    rows = save(rows.select("k", level(s, e).alias("l"), "s", "e", best, F.when(s <= e, F.lit(None)).otherwise(F.col("row")).alias("row")), "rows")
+    out = rows.filter("s is null or e is null or s > e").select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate((key, id_, start, end))])
+    touching = rows.filter("s <= e").select("k", "l", down(s, l).alias("bin"), "s", "e", "rank")
+    levels = sorted(touching.agg(F.collect_set("l").alias("levels")).first()["levels"])  # at most 64
+    far = bool(levels) and levels[-1] - levels[0] >= FAR
+    on, own, turn, open_ = ["k", "m", "bin"], ["k", "l", "bin"], 0, touching
+    spread = lambda x, p, *c: x.select("k", *c, F.explode(p).alias("p")).select("*", "p.*").drop("p")
     while open_.limit(1).count():
         turn += 1
-        tops = save(spread(open_, places, "rank").groupBy(*on).agg(F.min("rank").alias("top")), f"tops-{turn}")
-        own = tops.filter("kind = 0").select("k", F.col("m").alias("l"), F.col("bin").alias("own"), "top")
-        firsts = open_.withColumn("own", down(s, F.col("l"))).join(own, ["k", "l", "own"]).filter("rank = top").drop("own", "top")
-        better = spread(firsts, sights, "uid", "rank").join(tops, on).groupBy("uid").agg(F.max(F.col("top") < F.col("rank")).alias("waits"))
-        won = save(firsts.join(better.filter("not waits").select("uid"), "uid"), f"won-{turn}")
-        alone = spread(won, places, "s", "e").filter("kind = 0").select(*on, F.col("s").alias("ws"), F.col("e").alias("we"))
-        seen = spread(open_, sights, "uid", "s", "e", "l")
+        firsts = save(open_.groupBy(*own).agg(F.min(F.struct("rank", "s", "e")).alias("t")).select(*own, "t.*"), f"firsts-{turn}")
+        tops, at = firsts.select("k", l.alias("m"), "bin", F.col("rank").alias("top")), F.col("bin").alias("own")
+        waits = spread(firsts, _alone(s, e, levels, lambda m: m > l - FAR), "l", at, "rank").join(tops, on).filter("top < rank").select("k", "l", F.col("own").alias("bin"))
+        if far:
+            short = spread(open_, _sums(l, s, levels), "rank").groupBy(*on).agg(F.min("rank").alias("top"))
+            waits = waits.unionAll(spread(firsts.filter(l >= levels[0] + FAR), _quarters(l, s, e), "l", at, "rank").join(short, on).filter("top < rank").select("k", "l", F.col("own").alias("bin")))
+        won = save(firsts.join(waits.distinct(), own, "left_anti"), f"won-{turn}")
+        # Winners of about the width of an open row come to its bin; few of them can stand there, for they hardly overlap.
+        sent = spread(won, _alone(s, e, levels, lambda m: (m > l - FAR) & (m < l + FAR)), s.alias("ws"), e.alias("we")).withColumnsRenamed({"k": "wk", "bin": "wbin"})
         both = F.least("e", "we") - F.greatest("s", "ws") + 1
-        near = seen.join(alone, on).filter(both > share * F.least(length, F.col("we") - F.col("ws") + 1)).select("uid")
-        # A much shorter winner overlaps too much by its end past a start, or by its start before an end.
-        sums = spread(won, places, "s", "e").filter("kind = 1").groupBy(*on).agg(F.max(e + 1 - share * length).alias("past"), F.min(s + share * length - 1).alias("from"))
-        left = F.col("bin") <= down(s, F.col("l") - 2)
-        far = seen.filter("kind = 1").join(sums, on).filter(F.when(left, F.col("past") > s).otherwise(F.col("from") < e)).select("uid")
-        gone = near.unionAll(far).unionAll(won.select("uid")).distinct()
-        open_ = save(open_.join(gone, "uid", "left_anti"), f"open-{turn}")
-    out = rows.filter("s is null or e is null or s > e").select("row")
+        much = both > share * F.least(length, F.col("we") - F.col("ws") + 1)
+        left = open_.join(sent, (F.col("k") == F.col("wk")) & (l == F.col("m")) & (F.col("bin") == F.col("wbin")) & much, "left_anti")
+        if far:
+            uid = F.col("rank.uid").alias("uid")
+            alone = won.select("k", l.alias("m"), "bin", s.alias("ws"), e.alias("we"))
+            under = spread(open_, _alone(s, e, levels, lambda m: m >= l + FAR), uid, "s", "e").join(alone, on).filter(much).select("uid")
+            # A much shorter winner overlaps too much by its end past a start, or by its start before an end.
+            sums = spread(won, _sums(l, s, levels), "s", "e").groupBy(*on).agg(F.max(e + 1 - share * length).alias("past"), F.min(s + share * length - 1).alias("from"))
+            before = F.col("bin") <= down(s, F.col("m") - 2)
+            over = spread(open_.filter(l >= levels[0] + FAR), _quarters(l, s, e), uid, "s", "e").join(sums, on).filter(F.when(before, F.col("past") > s).otherwise(F.col("from") < e)).select("uid")
+            left = left.withColumn("uid", uid).join(under.unionAll(over).distinct(), "uid", "left_anti").drop("uid")
+        open_ = save(left, f"open-{turn}")
     if turn:
-        won = spark.read.parquet(*[f"{root}/won-{i}" for i in range(1, turn + 1)]).select("uid")
-        out = out.unionAll(rows.join(won, "uid").select("row"))
-    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate((key, id_, start, end))])
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        won = spark.read.schema(won.schema).parquet(*[f"{root}/won-{i}" for i in range(1, turn + 1)])
+        out = out.unionAll(won.select(F.col(f"k.{key}").alias(key), F.col("rank.id").alias(id_), s.cast(kinds[start]).alias(start), e.cast(kinds[end]).alias(end)))
+    return out
 
 
 def islands(df: DataFrame, key: str, start: str, end: str, *order: str, gap: float = 0) -> DataFrame:

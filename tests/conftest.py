@@ -17,3 +17,23 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture
+def moved(spark):
+    """A function that runs an action without broadcasts chosen by size and tells how many records its stages shuffled."""
+
+    def run(action):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.sparkContext.setJobGroup("moved", "moved")
+        try:
+            jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+            stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+            total = lambda: sum(x.apply(i).shuffleWriteRecords() for x in [stages()] for i in range(x.size()))
+            before = total()
+            action()
+            return total() - before
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+    return run

@@ -66,6 +66,17 @@ def test_another_share(spark):
     assert {r["i"] for r in I.resolve_overlaps(spark.createDataFrame(rows, NAMES), "k", "i", "s", "e", "w", share=0.9).collect()} == kept(rows, 0.9)
 
 
+def test_a_round_sends_an_open_row_to_few_bins(spark, moved):
+    """Rows of about the same length: what is shuffled is some records for each row, not a dozen for each row and round."""
+    r = random.Random(3)
+    rows = [(f"k{i % 40}", i, s := r.randint(0, 2_000_000), s + 21_600 + 3600 * (i % 7), float(r.randint(0, 200))) for i in range(2_000)]
+    df = spark.createDataFrame(rows, NAMES)
+    got = []
+    n = moved(lambda: got.extend(I.resolve_overlaps(df, "k", "i", "s", "e", "w").collect()))
+    assert {x["i"] for x in got} == kept(rows)
+    assert n < 25 * len(rows), n / len(rows)
+
+
 def test_pairs_are_found_once(spark):
     rows = drawn(150, 20) + [("a", 500, -(10**12), 10**12, 0.0), ("b", 501, 10**15, 10**15, 0.0)] + ODD[:2]
     df = spark.createDataFrame(rows, NAMES)
