@@ -31,27 +31,30 @@ def compartments(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(COMPARTMENTS.items()), "term string, compartment string")
 
 
-def lifted(terms: DataFrame, mapped: DataFrame, parents: DataFrame) -> DataFrame:
-    """(term, compartment): of each different term its own compartment, or those of its nearest ancestors that have one.
+def descended(mapped: DataFrame, parents: DataFrame) -> DataFrame:
+    """(term, compartment): of each term of the ontology its own compartments, or those of its nearest ancestors that have one.
 
-    ``parents`` is (term, parent).  All terms climb together, one step a round;
-    a path ends at the first ancestor with a compartment, and cycles end when
-    no new (term, ancestor) appears.
+    ``parents`` is (term, parent).  Compartments go down, one step a round, to
+    the terms that have none yet; a term takes all that reach it in the first
+    round that any does, and its edges then go.  So each edge is followed in
+    one round only, however many terms stand below it, and cycles end.
     """
-    steps = Steps(terms.sparkSession, "lifted")
-    at = steps.save(terms.select("term").distinct().withColumn("here", F.col("term")))
-    seen, found = at, None
+    steps = Steps(mapped.sparkSession, "lifted")
+    at = steps.save(mapped.filter("term is not null and compartment is not null").select("term", "compartment").distinct())
+    left, found = parents.select("term", "parent").filter("term is not null and parent is not null"), []
     while at.limit(1).count():
-        hit = at.join(mapped.select(F.col("term").alias("here"), "compartment"), "here", "left")
-        hit = steps.save(hit)
-        new = hit.filter("compartment is not null").select("term", "compartment")
-        found = new if found is None else found.unionAll(new)
-        # A term that has one at this height climbs no further on any path.
-        done = new.select("term").distinct()
-        up = hit.filter("compartment is null").select("term", "here").join(done, "term", "left_anti").join(parents.select(F.col("term").alias("here"), "parent"), "here").select("term", F.col("parent").alias("here")).distinct()
-        at = steps.save(up.join(seen, ["term", "here"], "left_anti"))
-        seen = steps.save(seen.unionAll(at))
-    return steps.save((found if found is not None else mapped.select("term", "compartment").limit(0)).distinct())
+        found.append(at)
+        left = steps.save(left.join(at.select("term").distinct(), "term", "left_anti"))
+        at = steps.save(left.join(at.withColumnRenamed("term", "parent"), "parent").select("term", "compartment").distinct())
+    out = found[0] if found else at
+    for x in found[1:]:
+        out = out.unionAll(x)
+    return steps.save(out)
+
+
+def lifted(terms: DataFrame, mapped: DataFrame, parents: DataFrame) -> DataFrame:
+    """(term, compartment) of those of ``terms`` that have one, their own or that of their nearest ancestors."""
+    return descended(mapped, parents).join(terms.select("term"), "term", "left_semi")
 
 
 def localize(proteins: DataFrame, id_: str, signal: str, terms: DataFrame, mapped: DataFrame, parents: DataFrame | None = None) -> DataFrame:
@@ -63,7 +66,7 @@ def localize(proteins: DataFrame, id_: str, signal: str, terms: DataFrame, mappe
     signal peptide means the secretory pathway; without either nothing is said.
     """
     cc = terms.filter(F.lower("category") == "cellular_component").select(F.col(id_).alias("_id"), "term")
-    of = mapped.select("term", "compartment") if parents is None else lifted(cc, mapped, parents)
+    of = mapped.select("term", "compartment") if parents is None else descended(mapped, parents)
     votes = cc.join(of, "term").groupBy("_id", "compartment").agg(F.count("*").alias("n"))
     best = votes.groupBy("_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "compartment")).alias("b"), F.sum("n").alias("n_terms"))
     x = proteins.join(best, F.col(id_) == F.col("_id"), "left")

@@ -50,3 +50,15 @@ def test_instability_needs_no_group_of_pairs(spark):
     assert sorted((r["id"], round(r["instability"], 6)) for r in out.collect()) == [(1, 6.666667), (1, 10.0), (2, 0.0)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "hashpartitioning(id" not in plan
+
+
+def test_terms_below_a_chain_do_not_climb_one_by_one(spark, moved):
+    """An edge is followed once, however many terms stand below it; cycles end, and the nearest ancestors win, all of them."""
+    chain = [(f"C{i}", f"C{i + 1}") for i in range(8)] + [("C8", "GO:0005634")]
+    edges = chain + [(f"L{i}", "C0") for i in range(400)] + [("X", "Y"), ("Y", "X"), ("Z", "GO:0005739"), ("Z", "GO:0005764"), ("Z", "C8"), ("GO:0005634", "GO:0005777")]
+    parents = spark.createDataFrame(edges, "term string, parent string")
+    terms = spark.createDataFrame([(f"L{i}",) for i in range(400)] + [("X",), ("Z",), ("GO:0005634",)], "term string")
+    got = []
+    n = moved(lambda: got.extend(map(tuple, L.lifted(terms, L.compartments(spark), parents).collect())))
+    assert sorted(got) == sorted([(f"L{i}", "Nucleus") for i in range(400)] + [("Z", "Mitochondrion"), ("Z", "Lysosome/Vacuole"), ("GO:0005634", "Nucleus")])
+    assert n < 30 * len(edges), n / len(edges)
