@@ -8,19 +8,26 @@ from pyspark.sql import functions as F
 from .clusters import Steps
 
 
+#: Words that are cut out of one piece of a sequence; a place in a string is found by reading up to it.
+PIECE = 64
+
+
 def kmer_keys(sequence: str, k: int, keys: int, salt: int):
     """The ``keys`` lowest hashes of the words of k letters; a shorter sequence is one word."""
-    words = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(sequence) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.lit(salt), F.substring(sequence, i, F.lit(k))))
-    return F.slice(F.array_sort(F.array_distinct(words)), 1, keys)
+    last = F.floor((F.greatest(F.char_length(sequence) - k, F.lit(0))) / PIECE).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda p: F.substring(sequence, p * PIECE + 1, F.lit(PIECE + k - 1)))
+    words = F.transform(pieces, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(x) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.lit(salt), F.substring(x, i, F.lit(k)))))
+    return F.slice(F.sort_array(F.array_distinct(F.flatten(words))), 1, keys)
 
 
-def candidates(rows: DataFrame, k: int, keys: int, salt: int) -> DataFrame:
+def candidates(rows: DataFrame, k: int, keys: int, salt: int, steps: Steps | None = None) -> DataFrame:
     """(id, rep): each sequence with the longest one of each of its keys, which stands before it in the order (length descending, id).
 
     A key has one centre, found by a partial aggregation, so a key that many
-    sequences share makes a row for each of them and no pairs.
+    sequences share makes a row for each of them and no pairs.  The keys are
+    written, for they are read twice.
     """
-    keyed = rows.select("id", "n", F.explode(kmer_keys("s", k, keys, salt)).alias("key"))
+    keyed = (steps or Steps(rows.sparkSession, "keys")).save(rows.select("id", "n", F.explode(kmer_keys("s", k, keys, salt)).alias("key")))
     centre = keyed.groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("n"), "id")).alias("c"), F.count("*").alias("m")).filter("m > 1").select("key", F.col("c.id").alias("rep"))
     return keyed.join(centre, "key").filter("id <> rep").select("id", "rep").distinct()
 
@@ -60,7 +67,7 @@ def reduce_redundancy(df: DataFrame, id_: str, sequence: str, identity: float =
     rows = steps.save(df.select(F.col(id_).alias("id"), F.col(sequence).alias("s"), F.char_length(sequence).alias("n")).filter("id is not null and s is not null"))
     left, gone = rows, []
     for turn in range(passes):
-        pairs = steps.save(alike(candidates(left, k, keys, turn), left, identity, coverage))
+        pairs = steps.save(alike(candidates(left, k, keys, turn, steps), left, identity, coverage))
         open_, kept = pairs, None
         dropped = []
         while open_.limit(1).count():

@@ -60,3 +60,17 @@ def test_one_key_for_all_makes_no_pairs(spark):
     hot = df.selectExpr("id", "'MKVMKV' as s", "6 as n")
     assert D.candidates(hot, 4, 20, 0).count() == 299
     assert D.reduce_redundancy(df.filter("false"), "id", "s").count() == 0
+
+
+def test_keys_are_made_once_and_by_pieces(spark):
+    """The written keys are read twice; the words of a piece are those of the whole sequence."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(2)
+    rows = [(i, "".join(r.choice(LETTERS + "äß€") for _ in range(n))) for i, n in enumerate([0, 1, 3, 4, 5, 63, 64, 66, 67, 68, 69, 127, 128, 131, 132, 300])]
+    df = spark.createDataFrame(rows, "id long, s string").selectExpr("id", "s", "char_length(s) as n")
+    words = F.expr("transform(sequence(1, greatest(char_length(s) - 3, 1)), i -> xxhash64(7, substring(s, i, 4)))")
+    for x in df.select(D.kmer_keys("s", 4, 20, 7).alias("got"), F.slice(F.array_sort(F.array_distinct(words)), 1, 20).alias("want")).collect():
+        assert x["got"] == x["want"]
+    plan = D.candidates(df, 4, 20, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
