@@ -20,6 +20,21 @@ class Steps:
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.n}")
 
 
+def meet(a: DataFrame, b: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join whose sides are both shuffled: there are hundreds of them over the rounds, and each table that Spark chose to broadcast would go through the driver."""
+    return a.join(b.hint("merge"), on, how)
+
+
+def roots(up: DataFrame, steps: Steps) -> DataFrame:
+    """(t, label): the end that each node of ``up`` (t, label) reaches by its pointers; an end points to itself.  Pointers double in each round."""
+    while True:
+        far = up.select(F.col("t").alias("label"), F.col("label").alias("far"))
+        step = steps.save(meet(up, far, "label").select("t", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("moved")))
+        up = step.select("t", "label")
+        if not step.filter("moved").limit(1).count():
+            return up
+
+
 def components(edges: DataFrame, steps: Steps, *level: str) -> DataFrame:
     """(level..., node, label): the smallest node that each node of ``edges`` (level..., a, b) reaches within its level.
 
@@ -30,9 +45,9 @@ def components(edges: DataFrame, steps: Steps, *level: str) -> DataFrame:
     both = steps.save(edges.select(*by, "a", "b").unionAll(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = steps.save(both.groupBy(*by, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        near = both.join(labels.select(*by, F.col("node").alias("b"), "label"), [*by, "b"]).groupBy(*by, F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = meet(both, labels.select(*by, F.col("node").alias("b"), "label"), [*by, "b"]).groupBy(*by, F.col("a").alias("node")).agg(F.min("label").alias("near"))
         far = labels.select(*by, F.col("node").alias("label"), F.col("label").alias("far"))
-        step = labels.withColumn("old", F.col("label")).join(far, [*by, "label"], "left").join(near, [*by, "node"], "left")
+        step = meet(meet(labels.withColumn("old", F.col("label")), far, [*by, "label"], "left"), near, [*by, "node"], "left")
         labels = steps.save(step.select(*by, "node", F.least("label", "near", "far").alias("label"), "old"))
         moved = labels.filter("label <> old").limit(1).count()
         labels = labels.drop("old")
@@ -44,18 +59,23 @@ def spanning_forest(edges: DataFrame, steps: Steps) -> DataFrame:
     """(a, b, w) of the least spanning forest of ``edges`` (a, b, w), equal weights by a and then b.
 
     In each Borůvka round every tree takes the least edge that leaves it, so
-    trees at least halve in number; edges within a tree go.
+    trees at least halve in number; edges within a tree go.  A tree points to
+    the one that its edge leads to; as no two edges are equal, pointers meet in
+    one pair of trees that took the same edge, whose smaller one is the end.
     """
     left = steps.save(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.min("w").alias("w")).select("a", "b", "w", F.col("a").alias("x"), F.col("b").alias("y")))
     forest = []
     while left.limit(1).count():
         e = F.struct("w", "a", "b", "x", "y").alias("e")
         best = left.select(F.col("x").alias("t"), e).unionAll(left.select(F.col("y").alias("t"), e)).groupBy("t").agg(F.min("e").alias("e"))
-        taken = steps.save(best.select("e.*").distinct())
-        forest.append(taken.select("a", "b", "w"))
-        labels = components(taken.select(F.col("x").alias("a"), F.col("y").alias("b")), steps)
-        x, y = labels.select(F.col("node").alias("x"), F.col("label").alias("lx")), labels.select(F.col("node").alias("y"), F.col("label").alias("ly"))
-        left = steps.save(left.join(x, "x").join(y, "y").filter("lx <> ly").select("a", "b", "w", F.col("lx").alias("x"), F.col("ly").alias("y")))
+        best = steps.save(best.select("t", "e.a", "e.b", "e.w", F.when(F.col("t") == F.col("e.x"), F.col("e.y")).otherwise(F.col("e.x")).alias("up")))
+        back = best.select(F.col("t").alias("up"), F.col("up").alias("back"))
+        label = F.when(F.col("back") == F.col("t"), F.least("t", "up")).otherwise(F.col("up")).alias("label")
+        taken = steps.save(meet(best, back, "up").select("t", label, "a", "b", "w"))
+        forest.append(taken.filter("t <> label").select("a", "b", "w"))
+        labels = roots(taken.select("t", "label"), steps)
+        x, y = labels.select(F.col("t").alias("x"), F.col("label").alias("lx")), labels.select(F.col("t").alias("y"), F.col("label").alias("ly"))
+        left = steps.save(meet(meet(left, x, "x"), y, "y").filter("lx <> ly").select("a", "b", "w", F.col("lx").alias("x"), F.col("ly").alias("y")))
     out = edges.select(*[F.col(c) for c in ("a", "b", "w")]).limit(0)
     for f in forest:
         out = out.unionAll(f)
@@ -72,7 +92,7 @@ def reachability(near: DataFrame, samples: int) -> DataFrame:
     d = F.round(1 - F.col("sim"), 6)
     core = near.filter(F.col("rank") < samples).groupBy("q").agg(F.max(d).alias("core"))
     x, y = core.select("q", F.col("core").alias("cq")), core.select(F.col("q").alias("r"), F.col("core").alias("cr"))
-    return near.join(x, "q", "left").join(y, "r", "left").select(F.col("q").alias("a"), F.col("r").alias("b"), F.greatest(d, "cq", "cr").alias("w"))
+    return meet(meet(near, x, "q", "left"), y, "r", "left").select(F.col("q").alias("a"), F.col("r").alias("b"), F.greatest(d, "cq", "cr").alias("w"))
 
 
 def density_clusters(near: DataFrame, ids: DataFrame, id_: str, smallest: int = 5, samples: int = 5, levels: int = 12) -> DataFrame:
@@ -103,7 +123,7 @@ def density_clusters(near: DataFrame, ids: DataFrame, id_: str, smallest: int =
     labels = components(at, steps, "j")
     big = labels.groupBy("j", "label").agg(F.count("*").alias("n")).filter(F.col("n") >= smallest)
     parents = labels.select((F.col("j") - 1).alias("j"), F.col("node").alias("label"), F.col("label").alias("parent"))  # a label is a node of its component
-    big = steps.save(big.join(parents, ["j", "label"], "left"))
+    big = steps.save(meet(big, parents, ["j", "label"], "left"))
     falls = F.element_at(F.array(*map(F.lit, fall)), F.col("j") + 1)
     big = big.withColumn("gain", F.round(F.col("n") * falls, 6))
     # Up: what each component is, and its stability so far; rows are components of ``smallest`` rows.
@@ -112,7 +132,7 @@ def density_clusters(near: DataFrame, ids: DataFrame, id_: str, smallest: int =
         here = big.filter(F.col("j") == j)
         if j:
             k = state[-1].groupBy(F.col("parent").alias("label")).agg(F.count("*").alias("kids"), F.max("cluster").alias("c"), F.max("own").alias("o"), F.max("below").alias("b"), F.sum(F.greatest("own", "below")).alias("best"))
-            here = here.join(k, "label", "left")
+            here = meet(here, k, "label", "left")
         else:
             here = here.withColumns({"kids": F.lit(None).cast("long"), "c": F.lit(None).cast("string"), "o": F.lit(None).cast("double"), "b": F.lit(None).cast("double"), "best": F.lit(None).cast("double")})
         on = F.coalesce(F.col("kids") == 1, F.lit(False))
@@ -123,7 +143,7 @@ def density_clusters(near: DataFrame, ids: DataFrame, id_: str, smallest: int =
     for j in range(len(cuts) - 1, -1, -1):
         s = state[j]
         if above is not None:
-            s = s.join(above.select(F.col("label").alias("parent"), F.col("cluster").alias("pc"), F.col("open").alias("po")), "parent", "left")
+            s = meet(s, above.select(F.col("label").alias("parent"), F.col("cluster").alias("pc"), F.col("open").alias("po")), "parent", "left")
         else:
             s = s.withColumns({"pc": F.lit(None).cast("string"), "po": F.lit(None).cast("boolean")})
         ends = F.col("pc").isNull() | (F.col("pc") != F.col("cluster"))
@@ -134,5 +154,5 @@ def density_clusters(near: DataFrame, ids: DataFrame, id_: str, smallest: int =
     chosen = taken[0]
     for x in taken[1:]:
         chosen = chosen.unionAll(x)
-    named = labels.join(steps.save(chosen), ["j", "label"]).select(F.col("node").alias("id"), "label")
-    return out.join(named, "id", "left")
+    named = meet(labels, steps.save(chosen), ["j", "label"]).select(F.col("node").alias("id"), "label")
+    return meet(out, named, "id", "left")

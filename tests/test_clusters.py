@@ -104,3 +104,17 @@ def test_no_rows_and_no_edges(spark):
     assert [tuple(r) for r in C.density_clusters(S.knn(df, df, 3), df, "vec_id").collect()] == [(1, None)]
     near = spark.createDataFrame([], "q long, r long, sim double, rank int")
     assert C.density_clusters(near, df.filter("false"), "vec_id").count() == 0
+
+
+def test_no_round_sends_a_table_through_the_driver(spark):
+    """Tables of the rounds are shuffled however small they look; a broadcast of one would pass the driver in every round."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = lambda: {x.apply(i).executionId(): x.apply(i).physicalPlanDescription() for x in [store.executionsList()] for i in range(x.size())}
+    before = set(runs())
+    edges = [(i, i + 1 + i % 3, float(i % 5)) for i in range(40)]
+    steps = C.Steps(spark, "t")
+    assert {tuple(x) for x in C.spanning_forest(spark.createDataFrame(edges, "a long, b long, w double"), steps).collect()} == kruskal(edges)
+    assert {x["label"] for x in C.components(spark.createDataFrame([(1, 2), (2, 3), (7, 9)], "a long, b long"), steps).collect()} == {1, 7}
+    made = [plan for i, plan in runs().items() if i not in before]
+    assert len(made) > 5 and any("SortMergeJoin" in x for x in made)
+    assert not any("BroadcastExchange" in x for x in made)
