@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -432,6 +433,46 @@ def test_latent_basis_is_that_of_all_windows(spark):
     assert not os.path.exists(f"{shared.root.removeprefix('file://')}/sample")
 
 
+def test_documents_are_searched_together(monkeypatch):
+    """Many short documents are multiplied at once, over the ends of batches; each has the leaks it has alone."""
+    texts = [w.split() for w in (prose(40, 500 + i).lower() for i in range(6))]
+    items = decontaminate.Items(list(range(6)), [[w.encode() for w in t] for t in texts], [[b"nowhere"]] * 6)
+    space = decontaminate.Space(items.vocabulary, np.linspace(1, 3, len(items.vocabulary)))
+    basis = decontaminate.latent_basis(space, decontaminate.window_ids(items, space, items.windows()))
+    docs = [(None, None), (None, ""), (1, "..."), (2, "x")] + [(10 + i, prose(i % 9, i) + " " + " ".join(texts[i % 6][i % 5 : 41 - i % 3]).upper() + " " + prose(i % 25, 90 + i)) for i in range(120)]
+
+    class Frame:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    products = []
+    latent = decontaminate.latent
+    monkeypatch.setattr(decontaminate, "latent", lambda ids, rows: products.append(len(ids)) or latent(ids, rows))
+    run = decontaminate.search(Frame(), items, space, basis)
+    batches = [pa.RecordBatch.from_arrays([pa.array([d[0] for d in part], pa.int64()), pa.array([d[1] for d in part], pa.string())], names=["doc_id", "text"]) for part in (docs[i : i + 20] for i in range(0, len(docs), 20))]
+    rows = lambda batches: [r for b in run(iter(batches)) for r in b.to_pylist()]
+    products.clear()
+    together = rows(batches)
+    assert len(products) == 1 and len(together) >= 120
+    alone = [r for b in batches for i in range(b.num_rows) for r in rows([b.slice(i, 1)])]
+    assert together == alone
+    monkeypatch.setattr(decontaminate, "CHUNK_WORDS", 100)
+    monkeypatch.setattr(decontaminate, "HITS", 7)
+    assert rows(batches) == alone
+
+
+def test_common_subsequence_stops_at_the_bound():
+    """Too few shared words give their number, a bound of the length below the least."""
+    r = random.Random(9)
+    for _ in range(200):
+        a, b = ([bytes([r.choice(b"abcdefgh")]) for _ in range(r.randint(0, 20))] for _ in range(2))
+        got, right = decontaminate.common_subsequence(a, b, decontaminate.places_of(a), 6), brute_lcs(a, b)
+        assert got == right or right <= got < 6
+
+
 def test_leaks_recall_against_brute_force(spark):
     """All pairs whose common subsequence is long enough, by brute force, against what the cosine search lets through."""
     rng = random.Random(8)
