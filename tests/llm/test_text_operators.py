@@ -433,6 +433,64 @@ def test_latent_basis_is_that_of_all_windows(spark):
     assert not os.path.exists(f"{shared.root.removeprefix('file://')}/sample")
 
 
+def test_latent_basis_holds_all_passages_of_all_documents(spark, monkeypatch):
+    """What the basis is made from is the square of the matrix of all passages, foreign words counted, whatever the chunks."""
+    monkeypatch.setattr(decontaminate, "CHUNK_WORDS", 50)
+    monkeypatch.setattr(decontaminate, "PAIRS", 100)
+    r = random.Random(4)
+    known = [f"w{i}" for i in range(30)]
+    texts = [None, "", "alien " * 30, *(" ".join(r.choice([*known, "x", "y"]) for _ in range(r.randint(1, 70))) for _ in range(40))]
+    items = decontaminate.Items([1], [[w.encode() for w in known]], [[b"elsewhere"]])
+    space = decontaminate.Space(items.vocabulary, np.linspace(1, 3, 30))
+    shared = ws(spark)
+    codes, kind = decontaminate.coded(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], DOCS), items)
+    codes = shared.save(codes, "codes")
+    passages = [w[i : i + 12] for w in map(decontaminate.words_of, texts) for i in range(0, len(w), 12)]
+    want = np.zeros((30, 30))
+    for p in passages:
+        x = np.zeros(30)
+        for w in p:
+            if w in space.place:
+                x[space.place[w]] += space.idf[space.place[w]]
+        squares = sum(space.idf[space.place[w]] ** 2 if w in space.place else space.foreign**2 for w in p)
+        want += np.outer(x, x) / squares
+    times = decontaminate.corpus_square(codes, kind, space, shared, "square")
+    got = times(np.eye(30))
+    diagonal = sum(round(1 * y["product"]) for y in decontaminate.products(codes, kind, space).filter("a = b").collect()) / decontaminate.UNIT
+    assert np.allclose(got * diagonal, want, atol=1e-4)
+    assert decontaminate.corpus_square(codes.limit(0), kind, space, shared, "none") is None
+    own = decontaminate.window_ids(items, space, items.windows())
+    assert not np.allclose(*(abs(decontaminate.latent_basis(space, own, c)[:, 0]) for c in (None, times)), atol=1e-3)
+
+
+def test_items_without_an_id_leak(spark):
+    text = prose(40, 900)
+    bench = spark.createDataFrame([(None, text), (None, prose(40, 901)), (3, prose(40, 902))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, prose(50, 1) + " " + text), (2, prose(50, 2)), (None, prose(40, 902))], DOCS)
+    got = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench, ws(spark)).collect()), key=str)
+    assert got == [(1, None), (None, 3)]
+
+
+def test_every_alignment_is_compared():
+    """Two windows hit one passage; only the alignment of the second, two words on, has enough of the item in its region."""
+    item = [b"a%02d" % i for i in range(24)]
+    items = decontaminate.Items([1], [item], [[b"elsewhere"]])
+    space = decontaminate.Space(items.vocabulary, np.array([1.0] * 12 + [0.3] * 6 + [3.0] * 6))
+    words = [b"x%d" % i for i in range(72)]
+    words[4:9], words[36:48] = item[7:12], item[12:]
+
+    class Frame:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = decontaminate.search(Frame(), items, space, decontaminate.latent_basis(space, decontaminate.window_ids(items, space, items.windows())))
+    batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([b" ".join(words).decode()])], names=["doc_id", "text"])
+    assert [(r["doc_id"], r["item_id"], r["lcs"]) for b in run(iter([batch])) for r in b.to_pylist()] == [(5, 1, 17)]
+
+
 def test_documents_are_searched_together(monkeypatch):
     """Many short documents are multiplied at once, over the ends of batches; each has the leaks it has alone."""
     texts = [w.split() for w in (prose(40, 500 + i).lower() for i in range(6))]
