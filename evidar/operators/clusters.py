@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import scratch
 
+#: Edges that one task may finish (at most 40 bytes each); what is left of a graph is counted first.
+LIMIT = 1 << 18
+
 
 class Steps:
     """Tables written one after the other, so that a round never depends on the plan of the rounds before it."""
@@ -35,24 +42,84 @@ def roots(up: DataFrame, steps: Steps) -> DataFrame:
             return up
 
 
-def components(edges: DataFrame, steps: Steps, *level: str) -> DataFrame:
-    """(level..., node, label): the smallest node that each node of ``edges`` (level..., a, b) reaches within its level.
+class Sets:
+    """Sets of the values of two columns, joined one by one; each is named by its smallest value."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.names, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        self.x, self.y = at[: len(x)], at[len(x) :]
+        self.up = list(range(len(self.names)))
+
+    def end(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    def join(self, order: np.ndarray) -> list[int]:
+        """The places in ``order`` whose pairs joined two sets."""
+        made = []
+        for k, (i, j) in enumerate(zip(self.x[order].tolist(), self.y[order].tolist(), strict=True)):
+            i, j = self.end(i), self.end(j)
+            if i != j:
+                self.up[max(i, j)] = min(i, j)
+                made.append(k)
+        return made
+
+
+def joined(edges: DataFrame) -> DataFrame:
+    """(t, label) of the nodes of ``edges`` (a, b), at most LIMIT, in one task."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if parts := list(batches):
+            t = pa.Table.from_batches(parts)
+            sets = Sets(t["a"].to_numpy(), t["b"].to_numpy())
+            sets.join(np.arange(len(t)))
+            labels = sets.names[[sets.end(i) for i in range(len(sets.names))]]
+            yield pa.RecordBatch.from_arrays([pa.array(sets.names), pa.array(labels)], names=["t", "label"])
+
+    return edges.select("a", "b").repartition(1).mapInArrow(run, f"t {kind}, label {kind}")
+
+
+def without_cycles(edges: DataFrame, parts: int) -> DataFrame:
+    """``edges`` (a, b, w, x, y) less those that close a cycle of lesser ones among a share of the edges, of which there are ``parts``.
 
-    Labels travel along edges and along labels, so chains take a logarithmic
-    number of rounds.
+    The greatest edge of a cycle is in no least spanning forest, so none of
+    theirs goes; a share keeps fewer edges than there are trees.
     """
-    by = list(level)
-    both = steps.save(edges.select(*by, "a", "b").unionAll(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = steps.save(both.groupBy(*by, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := list(batches):
+            t = pa.Table.from_batches(held)
+            a, b, w, x, y = (t[c].to_numpy() for c in ("a", "b", "w", "x", "y"))
+            order = np.lexsort((b, a, w))
+            yield from t.take(pa.array(order[Sets(x, y).join(order)])).combine_chunks().to_batches()
+
+    return edges.repartition(parts).mapInArrow(run, edges.schema)
+
+
+def components(edges: DataFrame, steps: Steps) -> DataFrame:
+    """(node, label): the smallest node that each node of ``edges`` (a, b) reaches.
+
+    While more than LIMIT edges are left, each node joins its smallest
+    neighbour, if smaller, and edges within a set go; one task joins the rest.
+    """
+    nodes = edges.select(F.col("a").alias("node")).unionAll(edges.select("b")).distinct()
+    left = steps.save(edges.filter("a <> b").select("a", "b"))
+    labels = nodes.withColumn("label", F.col("node"))
     while True:
-        near = meet(both, labels.select(*by, F.col("node").alias("b"), "label"), [*by, "b"]).groupBy(*by, F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        far = labels.select(*by, F.col("node").alias("label"), F.col("label").alias("far"))
-        step = meet(meet(labels.withColumn("old", F.col("label")), far, [*by, "label"], "left"), near, [*by, "node"], "left")
-        labels = steps.save(step.select(*by, "node", F.least("label", "near", "far").alias("label"), "old"))
-        moved = labels.filter("label <> old").limit(1).count()
-        labels = labels.drop("old")
-        if not moved:
+        small = left.limit(LIMIT + 1).count() <= LIMIT
+        if small:
+            step = steps.save(joined(left))
+        else:
+            step = roots(steps.save(left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("t")).agg(F.least(F.min("b"), F.first("a")).alias("label"))), steps)
+        to = step.select(F.col("t").alias("label"), F.col("label").alias("to"))
+        labels = steps.save(meet(labels, to, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        if small:
             return labels
+        x, y = step.select(F.col("t").alias("a"), F.col("label").alias("x")), step.select(F.col("t").alias("b"), F.col("label").alias("y"))
+        left = steps.save(meet(meet(left, x, "a"), y, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
 def spanning_forest(edges: DataFrame, steps: Steps) -> DataFrame:
@@ -62,10 +129,13 @@ def spanning_forest(edges: DataFrame, steps: Steps) -> DataFrame:
     trees at least halve in number; edges within a tree go.  A tree points to
     the one that its edge leads to; as no two edges are equal, pointers meet in
     one pair of trees that took the same edge, whose smaller one is the end.
+    After a round, shares of the edges lose those that close cycles as long as
+    that halves them, and once LIMIT or fewer are left one task does the rest.
     """
     left = steps.save(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.min("w").alias("w")).select("a", "b", "w", F.col("a").alias("x"), F.col("b").alias("y")))
     forest = []
-    while left.limit(1).count():
+    n = left.count()
+    while n:
         e = F.struct("w", "a", "b", "x", "y").alias("e")
         best = left.select(F.col("x").alias("t"), e).unionAll(left.select(F.col("y").alias("t"), e)).groupBy("t").agg(F.min("e").alias("e"))
         best = steps.save(best.select("t", "e.a", "e.b", "e.w", F.when(F.col("t") == F.col("e.x"), F.col("e.y")).otherwise(F.col("e.x")).alias("up")))
@@ -76,12 +146,39 @@ def spanning_forest(edges: DataFrame, steps: Steps) -> DataFrame:
         labels = roots(taken.select("t", "label"), steps)
         x, y = labels.select(F.col("t").alias("x"), F.col("label").alias("lx")), labels.select(F.col("t").alias("y"), F.col("label").alias("ly"))
         left = steps.save(meet(meet(left, x, "x"), y, "y").filter("lx <> ly").select("a", "b", "w", F.col("lx").alias("x"), F.col("ly").alias("y")))
+        n, before = left.count(), 0
+        while n > LIMIT and (not before or 2 * n <= before):
+            left = steps.save(without_cycles(left, -(-n // LIMIT)))
+            n, before = left.count(), n
+        if 0 < n <= LIMIT:
+            forest.append(steps.save(without_cycles(left, 1)).select("a", "b", "w"))
+            break
     out = edges.select(*[F.col(c) for c in ("a", "b", "w")]).limit(0)
     for f in forest:
         out = out.unionAll(f)
     return out
 
 
+def components_by_level(forest: DataFrame, levels: int, steps: Steps) -> DataFrame:
+    """(j, node, label): the smallest node that each node of ``forest`` (a, b, j) reaches by edges of level j or below.
+
+    Each edge is looked at once, in its own level, where it joins components of
+    the level before.
+    """
+    labels = steps.save(forest.select(F.col("a").alias("node")).unionAll(forest.select("b")).distinct().withColumn("label", F.col("node")))
+    out = []
+    for j in range(levels):
+        x, y = labels.select(F.col("node").alias("a"), F.col("label").alias("x")), labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
+        new = components(meet(meet(forest.filter(F.col("j") == j), x, "a"), y, "b").select(F.col("x").alias("a"), F.col("y").alias("b")), steps)
+        to = new.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        labels = steps.save(meet(labels, to, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        out.append(labels.select(F.lit(j).alias("j"), "node", "label"))
+    all_ = out[0]
+    for x in out[1:]:
+        all_ = all_.unionAll(x)
+    return all_
+
+
 def reachability(near: DataFrame, samples: int) -> DataFrame:
     """(a, b, w): mutual reachability of the neighbour graph ``near`` (q, r, sim, rank), whose distance is 1 - sim.
 
@@ -118,10 +215,10 @@ def density_clusters(near: DataFrame, ids: DataFrame, id_: str, smallest: int =
     cuts = [round(lo + (hi - lo) * j / max(1, levels - 1), 9) for j in range(levels)]
     cuts = sorted(set(cuts))
     fall = [1 / max(d, 1e-6) - 1 / max(n, 1e-6) for d, n in zip(cuts, [*cuts[1:], 2 * cuts[-1]], strict=True)]
-    # All levels at once: an edge stands in each level that reaches its weight.
-    at = forest.select("a", "b", F.explode(F.filter(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(d).alias("d")) for j, d in enumerate(cuts)]), lambda x: x["d"] >= F.col("w"))).alias("x")).select("x.j", "a", "b")
-    labels = components(at, steps, "j")
-    big = labels.groupBy("j", "label").agg(F.count("*").alias("n")).filter(F.col("n") >= smallest)
+    # An edge stands in each level that reaches its weight.
+    first = F.array_min(F.filter(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(j).alias("j")) for j, d in enumerate(cuts)]), lambda x: x["d"] >= F.col("w")))["j"]
+    labels = components_by_level(steps.save(forest.select("a", "b", first.alias("j"))), len(cuts), steps)
+    big = labels.groupBy("j", "label").agg(F.count("*").alias("n")).filter(F.col("n") >= max(2, smallest))
     parents = labels.select((F.col("j") - 1).alias("j"), F.col("node").alias("label"), F.col("label").alias("parent"))  # a label is a node of its component
     big = steps.save(meet(big, parents, ["j", "label"], "left"))
     falls = F.element_at(F.array(*map(F.lit, fall)), F.col("j") + 1)

@@ -118,3 +118,39 @@ def test_no_round_sends_a_table_through_the_driver(spark):
     made = [plan for i, plan in runs().items() if i not in before]
     assert len(made) > 5 and any("SortMergeJoin" in x for x in made)
     assert not any("BroadcastExchange" in x for x in made)
+
+
+def test_shares_and_the_last_task_give_the_same_forest_and_sets(spark, monkeypatch):
+    """With a small limit the rounds and shares do most of the work, with a large one the last task does."""
+    r = random.Random(3)
+    edges = [(r.randrange(80), r.randrange(80), float(r.randint(1, 9))) for _ in range(400)] + [(200 + i, 201 + i, 1.0) for i in range(40)]
+    df = spark.createDataFrame(edges, "a long, b long, w double")
+    want = {(k, x) for k, v in parts([(a, b) for a, b, _ in edges]).items() for x in v}
+    for limit in (8, 100, 1 << 18):
+        monkeypatch.setattr(C, "LIMIT", limit)
+        steps = C.Steps(spark, "t")
+        got = C.spanning_forest(df, steps).collect()
+        assert {tuple(x) for x in got} == kruskal(edges) and len(got) == len(kruskal(edges))
+        assert {(x["label"], x["node"]) for x in C.components(df, steps).collect()} == want
+    cut = C.without_cycles(df.selectExpr("a", "b", "w", "a as x", "b as y"), 3).collect()
+    assert kruskal([(x["a"], x["b"], x["w"]) for x in cut]) == kruskal(edges) and len(cut) < len(edges)
+
+
+def test_components_by_level_take_each_edge_once(spark):
+    r = random.Random(5)
+    edges = [(i, r.randrange(i), r.randrange(4)) for i in range(1, 120)]
+    got = C.components_by_level(spark.createDataFrame(edges, "a long, b long, j int"), 4, C.Steps(spark, "t")).collect()
+    for j in range(4):
+        want = {x: k for k, v in parts([(a, b) for a, b, i in edges if i <= j]).items() for x in v}
+        assert {x["node"]: x["label"] for x in got if x["j"] == j} == {x: want.get(x, x) for x in range(120)}
+    assert len(got) == 480
+
+
+def test_long_chains_take_few_jobs(spark):
+    """One task names a small graph; by rounds alone a chain of 500 took 94 jobs."""
+    spark.sparkContext.setJobGroup("chain", "chain")
+    df = spark.createDataFrame([(i, i + 1) for i in range(500)], "a long, b long")
+    assert {x["label"] for x in C.components(df, C.Steps(spark, "t")).collect()} == {0}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert jobs <= 20, jobs
