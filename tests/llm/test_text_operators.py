@@ -383,6 +383,30 @@ def test_extract_keeps_every_row(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_words_in_place_equal_plain_python_without_a_function_for_each_word(spark):
+    """The words that stand in a pattern, against loops over words; no lambda is called for each word of the corpus."""
+    r = random.Random(12)
+    some = ["the", "The", "(see", "user=ab1", '"token="xy9",', "key:", "http://a", "a@b", "", "(((", "=", "it.", "Ünder:x", "to", "[id]", "\u00b2", "',:;"]
+    texts = [None, "", " \n", *("".join(r.choice(some) + r.choice([" ", "  ", "\n", "\t", " \r\n"]) for _ in range(r.randint(0, 30))) for _ in range(60))]
+    lead = re.compile(r"^[^\W\d_][^\W\d_.-]{0,23}[:=](?!/)")
+    want = []
+    for d, t in enumerate(texts):
+        v = re.findall(r"[^ \t-\r]+", t or "")
+        for i, w in enumerate(v):
+            two, one, right = v[i - 2] if i > 1 else "", v[i - 1] if i else "", v[i + 1] if i + 1 < len(v) else ""
+            bare = w.lstrip(pii.OPENS)
+            led = lead.match(bare)
+            value = (bare[led.end() :].lstrip(pii.OPENS) if led else bare).rstrip(pii.CLOSES)
+            named = [f"two {two} {one}"] * bool(two) + [f"one {one} {w[: len(w) - len(bare)]}"] * bool(one) + [f"both {one} {right}"] * bool(one and right) + [f"lead {led[0]}" for _ in "x" if led]
+            want += [(d, i, value, not re.search("[0-9@]", w), p.lower()) for p in named if value]
+    chosen = sorted({x[-1] for x in want})[::2]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    found = pii.in_place(docs, spark.createDataFrame([(p,) for p in chosen], "pattern string"))
+    got = [(x["doc_id"], x["place"], x["value"], x["plain"], x["pattern"]) for x in found.collect()]
+    assert len(chosen) > 30 and sorted(got) == sorted(x for x in want if x[-1] in chosen)
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 # decontamination
 
 
